@@ -25,15 +25,16 @@ EDUCATION_LEVELS = {
 }
 EDUCATION_REFERENCE = "unter_A_Level"
 YOUNGEST = "0-35"
+MODEL_COLUMNS = ("bestanden", "imd", "bildung", "alter_35plus", "disability_ja", "weiblich")
 
 
 def model_base(
-    report: DataFrame,
+    enrolments: DataFrame,
     imd_ranks: Mapping[str, int] = IMD_RANKS,
     education: Mapping[str, str] = EDUCATION_LEVELS,
     outcome: Outcome = Outcome(),
 ) -> DataFrame:
-    """The rows and recoded features of the models.
+    """The rows and recoded features of the models, from the report or the enrolments themselves.
 
     Withdrawn enrolments and rows without a band rank are left out. A missing result counts as not
     passed, a missing age as older, a missing flag as not set; an education that is not listed
@@ -41,7 +42,7 @@ def model_base(
     """
     result = F.col(outcome.column)
     return (
-        report.where(~result.eqNullSafe(outcome.excluded))
+        enrolments.where(~result.eqNullSafe(outcome.excluded))
         .withColumns(
             {
                 "bestanden": F.when(outcome.succeeded, 1).otherwise(0),
@@ -93,10 +94,12 @@ def model_features(
 ) -> DataFrame:
     """The model base with the standardised activity of all models.
 
-    The joined table is stored once in the shared checkpoint folder; group statistics, standardised
-    columns and every pass of the model fits start from there.
+    ``activity`` holds klicks_gesamt, klicks_frueh and a column per type. The joined table is stored
+    once in the shared checkpoint folder; group statistics, standardised columns and every pass of
+    the model fits start from there.
     """
-    joined = cut_lineage(with_activity(base, activity, ["klicks_frueh", *types], keys))
+    clicks = ["klicks_gesamt", "klicks_frueh", *types]
+    joined = cut_lineage(with_activity(base.select(*keys, *MODEL_COLUMNS), activity, clicks, keys))
     scores = {"klicks_z": "klicks_gesamt", "frueh_z": "klicks_frueh"}
     scores |= {f"{name}_z": name for name in types}
     return zscore_log1p(joined, scores, group)

@@ -68,15 +68,13 @@ def identifiability_report(
     return pairs.unionByName(constants)
 
 
-def gram_matrix(design: DataFrame, terms: Sequence[str], weight: str | None = None) -> np.ndarray:
-    """Cross products of all terms and the intercept, summed by Spark into one row."""
-    columns = [F.lit(1.0), *[F.col(term_name(t)) for t in terms]]
-    scale = F.lit(1.0) if weight is None else F.col(weight)
-    size = len(columns)
+def gram_matrix(rows: DataFrame, columns: Sequence[str], weight: str) -> np.ndarray:
+    """Weighted cross products of all columns and a leading 1, summed by Spark into one row."""
+    factors = ["1D", *[term_name(c) for c in columns]]
+    size = len(factors)
     cells = [(i, j) for i in range(size) for j in range(i, size)]
-    row = design.agg(
-        *[F.sum(columns[i] * columns[j] * scale).alias(f"g{i}_{j}") for i, j in cells]
-    ).first()
+    sums = [f"sum({factors[i]} * {factors[j]} * {term_name(weight)}) AS g{i}_{j}" for i, j in cells]
+    row = rows.selectExpr(*sums).first()
     gram = np.zeros((size, size))
     for i, j in cells:
         gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
@@ -88,11 +86,8 @@ def term_name(term: str) -> str:
     return f"`{term}`"
 
 
-def require_identifiable(
-    design: DataFrame, terms: Sequence[str], weight: str | None = None, tolerance: float = 1e-10
-) -> None:
-    """Raise ``SingularDesign`` unless the terms and the intercept are linearly independent."""
-    gram = gram_matrix(design, terms, weight)
+def require_identifiable(gram: np.ndarray, terms: Sequence[str], tolerance: float = 1e-10) -> None:
+    """Raise ``SingularDesign`` unless intercept and terms are linearly independent."""
     scale = np.sqrt(np.diag(gram))
     if not (scale > 0).all():
         empty = [term for term, s in zip(["(rows)", *terms], scale) if s == 0]

@@ -9,8 +9,10 @@ turns each pass over all enrolments into one over a few hundred weighted rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+import math
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.features import Categorical, design_matrix
-from cohortlens.operators.identifiability import require_identifiable, term_name
+from cohortlens.operators.identifiability import gram_matrix, require_identifiable, term_name
 from cohortlens.operators.integrity import union_all
 
 INTERCEPT = "Intercept"
@@ -67,21 +69,28 @@ def model_specs(types: Sequence[str] = ("oucontent", "forumng")) -> tuple[ModelS
 
 @dataclass(frozen=True)
 class LogitFit:
-    """Coefficients by term, the intercept first, with standard errors, p-values and deviances."""
+    """Coefficients by term, the intercept first, with standard errors and deviances."""
 
     terms: tuple[str, ...]
     coefficients: tuple[float, ...]
     standard_errors: tuple[float, ...]
-    p_values: tuple[float, ...]
     deviance: float
     null_deviance: float
 
+    @property
+    def p_values(self) -> tuple[float, ...]:
+        """Two-sided p-values of the z statistics."""
+        z = [abs(b / se) for b, se in zip(self.coefficients, self.standard_errors)]
+        return tuple(math.erfc(value / math.sqrt(2)) for value in z)
+
+    def score(self) -> Column:
+        """The linear predictor of a row of the design matrix."""
+        parts = [f"{b!r}D * {term_name(t)}" for t, b in zip(self.terms[1:], self.coefficients[1:])]
+        return F.expr(" + ".join([f"{self.coefficients[0]!r}D", *parts]))
+
     def probability(self) -> Column:
         """The fitted probability of a row of the design matrix."""
-        score = F.lit(self.coefficients[0])
-        for term, b in zip(self.terms[1:], self.coefficients[1:]):
-            score = score + F.col(term_name(term)) * b
-        return 1 / (1 + F.exp(-score))
+        return 1 / (1 + F.exp(-self.score()))
 
 
 def logit_fit(design: DataFrame, label: str, discrete: bool = False) -> LogitFit:
@@ -98,7 +107,8 @@ def logit_fit(design: DataFrame, label: str, discrete: bool = False) -> LogitFit
         rows = design.withColumn("_weight", F.lit(1.0))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        require_identifiable(rows, terms, "_weight")
+        gram = gram_matrix(rows, [label, *terms], "_weight")
+        require_identifiable(np.delete(np.delete(gram, 1, 0), 1, 1), terms)
         plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
         column = dict(zip(rows.columns, plain.columns))
         assembler = VectorAssembler(inputCols=[column[t] for t in terms], outputCol="features")
@@ -109,26 +119,36 @@ def logit_fit(design: DataFrame, label: str, discrete: bool = False) -> LogitFit
             weightCol=column["_weight"],
             solver="irls",
             regParam=0.0,
-            tol=1e-10,
+            tol=1e-8,
             maxIter=50,
         )
         model = regression.fit(assembler.transform(plain))
-        summary = model.summary
+        errors = model.summary.coefficientStandardErrors
         # Spark puts the intercept last.
-        return LogitFit(
+        fit = LogitFit(
             terms=(INTERCEPT, *terms),
             coefficients=(model.intercept, *model.coefficients.tolist()),
-            standard_errors=intercept_first(summary.coefficientStandardErrors),
-            p_values=intercept_first(summary.pValues),
-            deviance=summary.deviance,
-            null_deviance=summary.nullDeviance,
+            standard_errors=(errors[-1], *errors[:-1]),
+            deviance=0.0,
+            null_deviance=null_deviance(float(gram[0, 0]), float(gram[0, 1])),
         )
+        return replace(fit, deviance=deviance(rows, label, fit))
     finally:
         rows.unpersist()
 
 
-def intercept_first(values: Sequence[float]) -> tuple[float, ...]:
-    return (values[-1], *values[:-1])
+def null_deviance(n: float, successes: float) -> float:
+    """Deviance of the model with only an intercept."""
+    return -2 * sum(k * math.log(k / n) for k in (successes, n - successes) if k > 0)
+
+
+def deviance(rows: DataFrame, label: str, fit: LogitFit) -> float:
+    """Deviance of the fitted model, one pass over the weighted rows."""
+    score = F.col("score")
+    # ln(1 + exp(s)) without overflow.
+    softplus = F.greatest(score, F.lit(0.0)) + F.log1p(F.exp(-F.abs(score)))
+    loss = F.col("_weight") * (softplus - F.col(term_name(label)) * score)
+    return 2 * rows.withColumn("score", fit.score()).agg(F.sum(loss)).first()[0]
 
 
 def model_design(

@@ -52,21 +52,44 @@ def report_base(
     )
 
 
-def with_deviation(base: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """``base`` with the distance of ``value`` from its group mean.
+def with_deviation(
+    base: DataFrame, means: DataFrame, group: str, value: str, name: str
+) -> DataFrame:
+    """``base`` with the distance of ``value`` from its group's mean in ``means``.
 
-    A window over the group would put every enrolment of a module into one task; the means are
-    joined back instead. ``base`` is read twice, so hand in a stored one.
+    A window over the group would put every enrolment of a module into one task, so the means are
+    joined back instead.
     """
-    means = base.groupBy(F.col(group).alias("_group")).agg(mean_of(F.col(value)).alias("_mean"))
     deviation = F.col(value).cast("decimal(20,0)") - F.col("_mean")
     return (
-        base.join(small_side(means), F.col(group).eqNullSafe(F.col("_group")), "left")
+        base.join(means, F.col(group).eqNullSafe(F.col("_group")), "left")
         .withColumn(name, rounded(deviation, 1))
         .drop("_group", "_mean")
     )
 
 
+def group_means(base: DataFrame, group: str, value: str) -> DataFrame:
+    return base.groupBy(F.col(group).alias("_group")).agg(mean_of(F.col(value)).alias("_mean"))
+
+
+def report_view(
+    enrolments: DataFrame,
+    clicks: DataFrame,
+    submitted: DataFrame,
+    keys: Sequence[str] = ENROLMENT,
+    group: str = "code_module",
+    outcome: Outcome = Outcome(),
+) -> DataFrame:
+    """The report as a view: computed again on each read, and only as far as the reader needs it.
+
+    Reading the deviation computes the clicks twice, once for the means; to store the report, use
+    ``enrolment_report``.
+    """
+    base = report_base(enrolments, clicks, submitted, keys, outcome)
+    means = group_means(base, group, "klicks_gesamt")
+    return with_deviation(base, means, group, "klicks_gesamt", "klicks_diff_vom_modulschnitt")
+
+
 def enrolment_report(
     enrolments: DataFrame,
     clicks: DataFrame,
@@ -75,13 +98,14 @@ def enrolment_report(
     group: str = "code_module",
     outcome: Outcome = Outcome(),
 ) -> DataFrame:
-    """The report: ``report_base`` and the distance of each enrolment's clicks from the group mean.
+    """The report from a base that is computed once, into the shared checkpoint folder.
 
-    The base is computed once, into the shared checkpoint folder, so the click table is read once
-    and not again for the means.
+    The click table is read once, the means come from the stored base, and next to them the
+    enrolments are not shuffled by module.
     """
     base = cut_lineage(report_base(enrolments, clicks, submitted, keys, outcome))
-    return with_deviation(base, group, "klicks_gesamt", "klicks_diff_vom_modulschnitt")
+    means = small_side(group_means(base, group, "klicks_gesamt"))
+    return with_deviation(base, means, group, "klicks_gesamt", "klicks_diff_vom_modulschnitt")
 
 
 def report_counts(report: DataFrame, group: str = "code_module") -> DataFrame:

@@ -17,6 +17,7 @@ from cohortlens.functions.numeric import mean_of, percent, ratio, rounded
 from cohortlens.functions.ordering import ascending, descending
 from cohortlens.operators.rates import Outcome
 from cohortlens.operators.shares import with_group_total
+from cohortlens.session import cut_lineage
 from cohortlens.sources.schemas import ENROLMENT, FAILED
 
 
@@ -83,9 +84,10 @@ def top_usage(
     """The ``n`` most clicked activity types per group, with click share and reach.
 
     Counts every click, also before the start and of withdrawn students. Reach is the percentage of
-    enrolments that used the type at least once. Ties go by type name.
+    enrolments that used the type at least once. Ties go by type name. The sums per type are stored,
+    so that the group totals do not read the clicks a second time.
     """
-    per_type = (
+    per_type = cut_lineage(
         usage_per_entity(events, sites, keys)
         .groupBy(group, "activity_type")
         .agg(F.sum("klicks").alias("gesamtklicks"), F.count("*").alias("nutzende"))
@@ -166,10 +168,11 @@ def activity_profile(
     keys: Sequence[str] = ENROLMENT,
     early_until: int = 27,
 ) -> DataFrame:
-    """Early clicks and clicks per type, one column each, per enrolment, in one pass over the events.
+    """All, early and per-type clicks of each enrolment, in one pass over the events.
 
-    Holds what ``early_clicks`` and ``clicks_by_type_wide`` give from the course start on, without
-    reading the clicks twice. Events of a site that is not listed count as early clicks only.
+    Holds what ``usage_per_entity``, ``early_clicks`` and ``clicks_by_type_wide`` give from the course
+    start on, without reading the clicks three times. Events of a site that is not listed belong to
+    no type.
     """
     clicks, type_of = F.col("sum_click"), F.col("activity_type")
     return (
@@ -177,6 +180,7 @@ def activity_profile(
         .join(sites.select("id_site", "activity_type"), "id_site", "left")
         .groupBy(*keys)
         .agg(
+            F.sum(clicks).alias("klicks_gesamt"),
             F.sum(F.when(F.col("date") <= early_until, clicks)).alias("klicks_frueh"),
             *[F.sum(F.when(type_of == name, clicks)).alias(name) for name in types],
         )

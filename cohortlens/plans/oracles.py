@@ -532,7 +532,10 @@ add(
     "submissions",
     f"SELECT {KEYS}, abgaben, score_durchschnitt::DOUBLE AS score_durchschnitt FROM exam_results",
 )
-add("enrolment_report", "SELECT * FROM report")
+for name in ("enrolment_report", "report_view", "export_report"):
+    add(name, "SELECT * FROM report")
+add("export_early_clicks", "SELECT * FROM early")
+add("export_clicks_by_type", "SELECT * FROM by_type")
 add(
     "report_counts",
     f"SELECT code_module, count(*) AS zeilen, {n_if('klicks_gesamt = 0')} AS ohne_klicks FROM base GROUP BY 1",
@@ -568,7 +571,8 @@ add("features_early", f"SELECT {KEYS}, klicks_frueh, round(frueh_z, 6) AS frueh_
 add("clicks_by_type_wide", "SELECT * FROM wide")
 add(
     "activity_profile",
-    f"""SELECT {KEYS}, (sum(sum_click) FILTER (date <= 27))::BIGINT AS klicks_frueh, {", ".join(
+    f"""SELECT {KEYS}, sum(sum_click)::BIGINT AS klicks_gesamt,
+    (sum(sum_click) FILTER (date <= 27))::BIGINT AS klicks_frueh, {", ".join(
         f"(sum(sum_click) FILTER (activity_type = '{t}'))::BIGINT AS {t}" for t in TYPES
     )} FROM clicks c JOIN sites s USING (id_site) WHERE date >= 0
     GROUP BY c.code_module, c.code_presentation, c.id_student""".replace(
@@ -602,7 +606,6 @@ MODELS = {
         {"ECONOMY_z": "ECONOMY_z", "PROMO_z": "PROMO_z"},
     ),
 }
-SINGLE = {"disability_ja": "disability_ja::DOUBLE"}
 
 
 Z_95 = "1.959963984540054"

@@ -27,6 +27,7 @@ from cohortlens.operators import (
 from cohortlens.session import cut_lineage, scratch_path
 from cohortlens.sources import csvfiles, standins
 from cohortlens.sources import schemas as S
+from cohortlens.sources.tables import create_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,9 +436,20 @@ def enrolment_report(spark, folder):
     )
 
 
+def view(spark, folder):
+    return report.report_view(
+        info(spark, folder), clicks_from_start(spark, folder), submissions(spark, folder)
+    )
+
+
+@query
+def report_view(spark, folder):
+    return create_view(spark, "bericht", partial(view, spark, folder))
+
+
 @query
 def report_counts(spark, folder):
-    return report.report_counts(enrolment_report(spark, folder))
+    return report.report_counts(view(spark, folder))
 
 
 def stored_report(spark, folder):
@@ -453,7 +465,7 @@ def report_materialised(spark, folder):
 @query
 def report_key_duplicates(spark, folder):
     """Key check on the report and, to have repetitions, on the report per person."""
-    stored = enrolment_report(spark, folder)
+    stored = stored_report(spark, folder)
     checks = {"einschreibung": S.ENROLMENT, "person": ("code_module", "id_student")}
     return integrity.union_all(
         [
@@ -483,26 +495,45 @@ def csv_roundtrip(spark, folder):
     return audit.group_counts(loaded, "code_module", "imd_band", "final_result")
 
 
-# Features and models
+def exported(spark, df: DataFrame, schema) -> DataFrame:
+    path = csvfiles.export_csv(df.select(*schema.names), scratch_path(spark, "csv"))
+    return csvfiles.read_export(spark, path, schema)
 
 
-def report_lines(spark, folder):
-    """What the models need of the report, without the deviation."""
-    return report.report_base(
-        info(spark, folder), clicks_from_start(spark, folder), submissions(spark, folder)
-    )
+@query
+def export_report(spark, folder):
+    return exported(spark, enrolment_report(spark, folder), S.REPORT_EXPORT)
+
+
+@query
+def export_early_clicks(spark, folder):
+    return exported(spark, early_clicks(spark, folder), S.EARLY_EXPORT)
+
+
+@query
+def export_clicks_by_type(spark, folder):
+    return exported(spark, clicks_by_type(spark, folder), S.TYPE_EXPORT)
+
+
+# Features and models
 
 
 def base_of(spark, folder):
-    return features.model_base(report_lines(spark, folder), IMD_RANKS)
+    return features.model_base(info(spark, folder), IMD_RANKS)
+
+
+def base_with(spark, folder, activity: DataFrame, column: str) -> DataFrame:
+    return features.with_activity(base_of(spark, folder), activity, [column])
+
+
+def clicks_of(spark, folder):
+    return usage.usage_per_entity(events(spark, folder), since=0, name="klicks_gesamt")
 
 
 @query
 def model_base(spark, folder):
-    return base_of(spark, folder).select(
-        *S.ENROLMENT, "bestanden", "imd", "bildung", "alter_35plus", "disability_ja", "weiblich",
-        "klicks_gesamt",
-    )
+    base = base_with(spark, folder, clicks_of(spark, folder), "klicks_gesamt")
+    return base.select(*S.ENROLMENT, *features.MODEL_COLUMNS, "klicks_gesamt")
 
 
 @query
@@ -521,20 +552,19 @@ def digits(df: DataFrame, *names: str, n: int = 6) -> DataFrame:
     return df.withColumns({name: F.round(name, n) for name in names})
 
 
+def standardised(spark, folder, activity: DataFrame, column: str, name: str) -> DataFrame:
+    base = base_with(spark, folder, activity, column).select(*S.ENROLMENT, column)
+    return digits(features.zscore_log1p(cut_lineage(base), {name: column}), name)
+
+
 @query
 def zscore_log1p(spark, folder):
-    base = cut_lineage(base_of(spark, folder).select(*S.ENROLMENT, "klicks_gesamt"))
-    scored_base = features.zscore_log1p(base, {"klicks_z": "klicks_gesamt"})
-    return digits(scored_base, "klicks_z")
+    return standardised(spark, folder, clicks_of(spark, folder), "klicks_gesamt", "klicks_z")
 
 
 @query
 def features_early(spark, folder):
-    base = base_of(spark, folder).select(*S.ENROLMENT)
-    joined = cut_lineage(
-        features.with_activity(base, early_clicks(spark, folder), ["klicks_frueh"])
-    )
-    return digits(features.zscore_log1p(joined, {"frueh_z": "klicks_frueh"}), "frueh_z")
+    return standardised(spark, folder, early_clicks(spark, folder), "klicks_frueh", "frueh_z")
 
 
 @query

@@ -18,6 +18,8 @@ def local_session(cores: int | str = 8, app: str = "cohortlens", **settings: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "8g")
+        # Recording a Python stack trace per column expression slows building a query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in settings.items():
         builder = builder.config(key, value)

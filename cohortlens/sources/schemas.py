@@ -37,14 +37,6 @@ class TableSpec:
     def raw_schema(self) -> T.StructType:
         return text_schema(self.names)
 
-    @property
-    def typed_schema(self) -> T.StructType:
-        return T.StructType.fromDDL(
-            ", ".join(
-                f"{c.name} {'string' if c.type.startswith('varchar') else c.type}" for c in self.columns
-            )
-        )
-
 
 @dataclass(frozen=True)
 class Reference:
@@ -205,15 +197,35 @@ IMD_ORDER = (
 MODEL_ACTIVITY_TYPES = ("forumng", "homepage", "oucontent", "quiz", "subpage", "resource")
 
 # Schemas of the three exports that the models read.
-EARLY_EXPORT = T.StructType.fromDDL(
-    "code_module string, code_presentation string, id_student int, klicks_frueh bigint"
-)
-TYPE_EXPORT = T.StructType.fromDDL(
-    "code_module string, code_presentation string, id_student int, activity_type string, klicks bigint"
+ENROLMENT_FIELDS = [
+    T.StructField("code_module", T.StringType()),
+    T.StructField("code_presentation", T.StringType()),
+    T.StructField("id_student", T.LongType()),
+]
+EARLY_EXPORT = T.StructType([*ENROLMENT_FIELDS, T.StructField("klicks_frueh", T.LongType())])
+TYPE_EXPORT = T.StructType(
+    [
+        *ENROLMENT_FIELDS,
+        T.StructField("activity_type", T.StringType()),
+        T.StructField("klicks", T.LongType()),
+    ]
 )
-REPORT_EXPORT = T.StructType.fromDDL(
-    "id_student int, code_module string, code_presentation string, gender string, age_band string, "
-    "imd_band string, highest_education string, disability string, final_result string, "
-    "bestanden int, klicks_gesamt bigint, aktive_tage bigint, abgaben bigint, "
-    "score_durchschnitt double, klicks_diff_vom_modulschnitt double"
+REPORT_EXPORT = T.StructType(
+    [
+        T.StructField("id_student", T.LongType()),
+        T.StructField("code_module", T.StringType()),
+        T.StructField("code_presentation", T.StringType()),
+        T.StructField("gender", T.StringType()),
+        T.StructField("age_band", T.StringType()),
+        T.StructField("imd_band", T.StringType()),
+        T.StructField("highest_education", T.StringType()),
+        T.StructField("disability", T.StringType()),
+        T.StructField("final_result", T.StringType()),
+        T.StructField("bestanden", T.IntegerType()),
+        T.StructField("klicks_gesamt", T.LongType()),
+        T.StructField("aktive_tage", T.LongType()),
+        T.StructField("abgaben", T.LongType()),
+        T.StructField("score_durchschnitt", T.DoubleType()),
+        T.StructField("klicks_diff_vom_modulschnitt", T.DoubleType()),
+    ]
 )

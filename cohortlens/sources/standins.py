@@ -11,11 +11,11 @@ orders sends a few rows per task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cache
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # The mapping from the test tables to the domain.
@@ -34,6 +34,7 @@ BANDS = tuple(p for p in PRIORITIES if p != NO_PRIORITY)
 RESULTS = ("Distinction", "Fail", "Pass", "Withdrawn")
 ASSESSMENT_TYPES = ("TMA", "CMA", "Exam")
 ACTIVITY_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+EVENT_DAY = "CAST((l_orderkey * 7 + l_linenumber * 13) % 300 - 30 AS INT)"
 
 
 @cache
@@ -47,77 +48,78 @@ def star_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(star_schema(spark.sparkContext.applicationId, path)).parquet(path)
 
 
-def pick(values: tuple[str, ...], index: Column) -> Column:
+def pick(values: Sequence[str], index: str) -> str:
     """The value at a 0-based position, NULL for NULL."""
-    value = F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
-    # element_at takes a NULL index for the last element, hence the guard.
-    return F.when(index.isNotNull(), value)
+    cases = " ".join(f"WHEN {i} THEN '{value}'" for i, value in enumerate(values))
+    return f"CASE {index} {cases} END"
 
 
-def position(values: tuple[str, ...], column: Column) -> Column:
-    """0-based position of a text in ``values`` as an int; a text not listed fails in ``pick``."""
-    return (F.array_position(F.array(*[F.lit(v) for v in values]), column) - 1).cast("int")
+def position(values: Sequence[str], text: str) -> str:
+    """0-based position of a text as an int; a text that is not listed fails the job."""
+    cases = " ".join(f"WHEN '{value}' THEN {i}" for i, value in enumerate(values))
+    unlisted = f"CAST(raise_error(concat('not listed: ', {text})) AS INT)"
+    return f"CASE {text} {cases} ELSE IF({text} IS NULL, NULL, {unlisted}) END"
 
 
 def students(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer with everything an enrolment takes from the person."""
+    regions = star_table(spark, folder, "region").selectExpr(
+        "r_regionkey AS n_regionkey", "r_name AS region"
+    )
     places = (
         star_table(spark, folder, "nation")
-        .join(star_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region"))
+        .join(regions, "n_regionkey")
+        .selectExpr("n_nationkey AS c_nationkey", "region")
     )
-    key, balance = F.col("c_custkey"), F.col("c_acctbal")
     return (
         star_table(spark, folder, "customer")
         .join(places, "c_nationkey")
-        .select(
-            F.col("c_mktsegment").alias("code_module"),
-            key.alias("id_student"),
-            F.when(key % 2 == 0, "M").otherwise("F").alias("gender"),
+        .selectExpr(
+            "c_mktsegment AS code_module",
+            "c_custkey AS id_student",
+            "IF(c_custkey % 2 = 0, 'M', 'F') AS gender",
             "region",
-            pick(EDUCATION, F.col("c_nationkey") % 5).alias("highest_education"),
-            F.when(balance < 3000, "0-35")
-            .when(balance < 7000, "35-55")
-            .otherwise("55<=")
-            .alias("age_band"),
-            F.when(key % 10 == 0, "Y").otherwise("N").alias("disability"),
+            f"{pick(EDUCATION, 'c_nationkey % 5')} AS highest_education",
+            "CASE WHEN c_acctbal < 3000 THEN '0-35' WHEN c_acctbal < 7000 THEN '35-55' "
+            "ELSE '55<=' END AS age_band",
+            "IF(c_custkey % 10 = 0, 'Y', 'N') AS disability",
         )
     )
 
 
 def student_info(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer and order year."""
-    outcome = (
-        F.when(F.col("o_orderstatus") == "F", "Fail")
-        .when(F.col("o_orderstatus") == "P", "Withdrawn")
-        .when(F.col("o_totalprice") > 200000, "Distinction")
-        .otherwise("Pass")
+    priority = f"NULLIF(o_orderpriority, '{NO_PRIORITY}')"
+    # Positions in RESULTS, which is in text order like PRIORITIES: the smallest position is the
+    # smallest text.
+    result = (
+        "CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'P' THEN 3 "
+        "WHEN o_totalprice > 200000 THEN 0 ELSE 2 END"
     )
     per_year = (
         star_table(spark, folder, "orders")
-        .select(
-            F.col("o_custkey").alias("id_student"),
-            F.year("o_orderdate").alias("year"),
-            F.when(F.col("o_orderpriority") != NO_PRIORITY, position(PRIORITIES, F.col("o_orderpriority")))
-            .alias("band"),
-            position(RESULTS, outcome).alias("result"),
+        .selectExpr(
+            "o_custkey AS id_student",
+            "year(o_orderdate) AS year",
+            f"{position(PRIORITIES, priority)} AS band",
+            f"{result} AS result",
         )
         .groupBy("id_student", "year")
-        .agg(F.min("band").alias("band"), F.min("result").alias("result"))
+        .agg({"band": "min", "result": "min"})
     )
-    return per_year.join(students(spark, folder), "id_student").select(
+    return per_year.join(students(spark, folder), "id_student").selectExpr(
         "code_module",
-        F.col("year").cast("string").alias("code_presentation"),
+        "CAST(year AS STRING) AS code_presentation",
         "id_student",
         "gender",
         "region",
         "highest_education",
-        pick(PRIORITIES, F.col("band")).alias("imd_band"),
+        f"{pick(PRIORITIES, '`min(band)`')} AS imd_band",
         "age_band",
-        (F.col("id_student") % 3).cast("int").alias("num_of_prev_attempts"),
-        (30 * (1 + F.col("id_student") % 8)).cast("int").alias("studied_credits"),
+        "CAST(id_student % 3 AS INT) AS num_of_prev_attempts",
+        "CAST(30 * (1 + id_student % 8) AS INT) AS studied_credits",
         "disability",
-        pick(RESULTS, F.col("result")).alias("final_result"),
+        f"{pick(RESULTS, '`min(result)`')} AS final_result",
     )
 
 
@@ -127,62 +129,61 @@ def courses(spark: SparkSession, folder: str) -> DataFrame:
         student_info(spark, folder)
         .select("code_module", "code_presentation")
         .distinct()
-        .withColumn(
-            "module_presentation_length",
-            F.when(F.col("code_presentation").cast("int") % 2 == 0, 241).otherwise(268),
+        .selectExpr(
+            "*",
+            "IF(CAST(code_presentation AS INT) % 2 = 0, 241, 268) AS module_presentation_length",
         )
     )
 
 
 def student_registration(spark: SparkSession, folder: str) -> DataFrame:
     """One row per enrolment; a few unregistered without having withdrawn."""
-    key = F.col("id_student")
-    leaves = (F.col("final_result") == "Withdrawn") | (key % 97 == 0)
-    return student_info(spark, folder).select(
+    left = "(final_result = 'Withdrawn' OR id_student % 97 = 0) AND id_student % 89 <> 0"
+    return student_info(spark, folder).selectExpr(
         "code_module",
         "code_presentation",
         "id_student",
-        F.when(key % 71 != 0, (10 - key % 190)).cast("int").alias("date_registration"),
-        F.when(leaves & (key % 89 != 0), key % 200 - 20).cast("int").alias("date_unregistration"),
+        "CAST(IF(id_student % 71 <> 0, 10 - id_student % 190, NULL) AS INT) AS date_registration",
+        f"CAST(IF({left}, id_student % 200 - 20, NULL) AS INT) AS date_unregistration",
     )
 
 
 def assessments(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    return star_table(spark, folder, "supplier").select(
-        pick(SEGMENTS, key % 5).alias("code_module"),
-        (1995 + key % 7).cast("string").alias("code_presentation"),
-        key.alias("id_assessment"),
-        pick(ASSESSMENT_TYPES, key % 3).alias("assessment_type"),
-        F.when(key % 3 != 2, key * 2).cast("int").alias("date"),
-        F.when(key % 17 != 0, F.when(key % 3 == 2, 100).otherwise(key % 4 * 12.5))
-        .cast("decimal(5,2)")
-        .alias("weight"),
+    weight = "IF(s_suppkey % 3 = 2, 100, s_suppkey % 4 * 12.5)"
+    return star_table(spark, folder, "supplier").selectExpr(
+        f"{pick(SEGMENTS, 's_suppkey % 5')} AS code_module",
+        "CAST(1995 + s_suppkey % 7 AS STRING) AS code_presentation",
+        "s_suppkey AS id_assessment",
+        f"{pick(ASSESSMENT_TYPES, 's_suppkey % 3')} AS assessment_type",
+        "CAST(IF(s_suppkey % 3 <> 2, s_suppkey * 2, NULL) AS INT) AS date",
+        f"CAST(IF(s_suppkey % 17 <> 0, {weight}, NULL) AS DECIMAL(5,2)) AS weight",
     )
 
 
 def vle(spark: SparkSession, folder: str) -> DataFrame:
-    key, size = F.col("p_partkey"), F.col("p_size")
-    return star_table(spark, folder, "part").select(
-        key.alias("id_site"),
-        pick(SEGMENTS, key % 5).alias("code_module"),
-        (1995 + key % 7).cast("string").alias("code_presentation"),
-        F.col("p_type").alias("activity_type"),
-        F.when(size % 3 == 0, size).alias("week_from"),
-        F.when(size % 3 == 0, size + 1).alias("week_to"),
+    return star_table(spark, folder, "part").selectExpr(
+        "p_partkey AS id_site",
+        f"{pick(SEGMENTS, 'p_partkey % 5')} AS code_module",
+        "CAST(1995 + p_partkey % 7 AS STRING) AS code_presentation",
+        "p_type AS activity_type",
+        "IF(p_size % 3 = 0, p_size, NULL) AS week_from",
+        "IF(p_size % 3 = 0, p_size + 1, NULL) AS week_to",
     )
 
 
 def order_owners(spark: SparkSession, folder: str) -> DataFrame:
     """The enrolment of every order."""
+    buyers = star_table(spark, folder, "customer").selectExpr(
+        "c_custkey AS o_custkey", "c_mktsegment AS code_module"
+    )
     return (
         star_table(spark, folder, "orders")
-        .join(star_table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.col("o_orderkey").alias("l_orderkey"),
-            F.col("c_mktsegment").alias("code_module"),
-            F.year("o_orderdate").cast("string").alias("code_presentation"),
-            F.col("o_custkey").alias("id_student"),
+        .join(buyers, "o_custkey")
+        .selectExpr(
+            "o_orderkey AS l_orderkey",
+            "code_module",
+            "CAST(year(o_orderdate) AS STRING) AS code_presentation",
+            "o_custkey AS id_student",
         )
     )
 
@@ -196,35 +197,40 @@ def student_vle(spark: SparkSession, folder: str) -> DataFrame:
     return (
         star_table(spark, folder, "lineitem")
         .join(order_owners(spark, folder), "l_orderkey")
-        .select(
+        .selectExpr(
             "code_module",
             "code_presentation",
             "id_student",
-            F.col("l_partkey").alias("id_site"),
-            event_day().alias("date"),
-            F.col("l_quantity").cast("int").alias("sum_click"),
+            "l_partkey AS id_site",
+            f"{EVENT_DAY} AS date",
+            "CAST(l_quantity AS INT) AS sum_click",
         )
     )
 
 
-def event_day() -> Column:
-    return ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 300 - 30).cast("int")
-
-
 def student_assessment(spark: SparkSession, folder: str) -> DataFrame:
     """One row per supplier and customer."""
-    buyers = star_table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id_student")
+    buyers = star_table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS l_orderkey", "o_custkey AS id_student"
     )
-    score = F.when(F.col("l_linenumber") != 7, (F.col("l_quantity") * 2).cast("decimal(5,2)"))
     return (
         star_table(spark, folder, "lineitem")
         .join(buyers, "l_orderkey")
-        .groupBy(F.col("l_suppkey").alias("id_assessment"), "id_student")
-        .agg(
-            F.min(event_day()).alias("date_submitted"),
-            F.min(F.col("l_linenumber") % 2).cast("int").alias("is_banked"),
-            F.min(score).alias("score"),
+        .selectExpr(
+            "l_suppkey AS id_assessment",
+            "id_student",
+            f"{EVENT_DAY} AS day",
+            "l_linenumber % 2 AS banked",
+            "CAST(IF(l_linenumber <> 7, l_quantity * 2, NULL) AS DECIMAL(5,2)) AS points",
+        )
+        .groupBy("id_assessment", "id_student")
+        .agg({"day": "min", "banked": "min", "points": "min"})
+        .selectExpr(
+            "id_assessment",
+            "id_student",
+            "`min(day)` AS date_submitted",
+            "`min(banked)` AS is_banked",
+            "`min(points)` AS score",
         )
     )
 
@@ -240,15 +246,15 @@ TYPED = {
 }
 
 
-def as_text(df: DataFrame, **replaced: Column) -> DataFrame:
-    """Every column as text, with the given columns put in."""
-    return df.select(
-        *[replaced.get(name, F.col(name).cast("string")).alias(name) for name in df.columns]
+def as_text(df: DataFrame, **replaced: str) -> DataFrame:
+    """Every column as text, with the given expressions put in for some."""
+    return df.selectExpr(
+        *[f"{replaced.get(name, f'CAST({name} AS STRING)')} AS {name}" for name in df.columns]
     )
 
 
-def or_marker(name: str, marker: str = "?") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(marker))
+def or_marker(name: str, marker: str = "?") -> str:
+    return f"COALESCE(CAST({name} AS STRING), '{marker}')"
 
 
 def raw_courses(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,23 +263,20 @@ def raw_courses(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_assessments(spark: SparkSession, folder: str) -> DataFrame:
     """A missing exam date is NULL or ``?``, a missing weight ``?``."""
-    date = F.when(F.col("id_assessment") % 2 == 0, F.col("date").cast("string")).otherwise(or_marker("date"))
+    date = f"IF(id_assessment % 2 = 0, CAST(date AS STRING), {or_marker('date')})"
     return as_text(assessments(spark, folder), date=date, weight=or_marker("weight"))
 
 
 def raw_vle(spark: SparkSession, folder: str) -> DataFrame:
     """Missing weeks are ``?``, the empty text or NULL."""
-    key = F.col("id_site")
-    week = F.when(
-        F.col("week_from").isNull(),
-        F.when(key % 3 == 0, "?").when(key % 3 == 1, ""),
-    ).otherwise(F.col("week_from").cast("string"))
+    missing = "CASE id_site % 3 WHEN 0 THEN '?' WHEN 1 THEN '' END"
+    week = f"COALESCE(CAST(week_from AS STRING), {missing})"
     return as_text(vle(spark, folder), week_from=week, week_to=or_marker("week_to", ""))
 
 
 def raw_student_info(spark: SparkSession, folder: str) -> DataFrame:
     """Missing bands are ``?`` and one band is spelled differently."""
-    band = F.when(F.col("imd_band") == "2-HIGH", "HIGH").otherwise(or_marker("imd_band"))
+    band = f"IF(imd_band = '2-HIGH', 'HIGH', {or_marker('imd_band')})"
     return as_text(student_info(spark, folder), imd_band=band)
 
 
@@ -290,36 +293,31 @@ def raw_student_registration(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_student_assessment(spark: SparkSession, folder: str) -> DataFrame:
     """Scores without decimals, but some written ``46.0``; missing ones are ``?``."""
-    whole = F.col("score").cast("int").cast("string")
-    score = F.when(F.col("id_student") % 25 == 0, F.concat(whole, F.lit(".0"))).otherwise(whole)
-    return as_text(student_assessment(spark, folder), score=F.coalesce(score, F.lit("?")))
+    whole = "CAST(CAST(score AS INT) AS STRING)"
+    score = f"COALESCE(IF(id_student % 25 = 0, concat({whole}, '.0'), {whole}), '?')"
+    return as_text(student_assessment(spark, folder), score=score)
 
 
 def raw_student_vle(spark: SparkSession, folder: str) -> DataFrame:
     """Click counts of some orders are ``?``, of some others the empty text."""
+    clicks = (
+        "CASE WHEN l_orderkey % 97 = 0 THEN '?' WHEN l_orderkey % 89 = 0 THEN '' "
+        "ELSE CAST(CAST(l_quantity AS INT) AS STRING) END"
+    )
     return (
         star_table(spark, folder, "lineitem")
         .join(order_owners(spark, folder), "l_orderkey")
-        .select(
+        .selectExpr(
             "code_module",
             "code_presentation",
-            F.col("id_student").cast("string").alias("id_student"),
-            F.col("l_partkey").cast("string").alias("id_site"),
-            event_day().cast("string").alias("date"),
-            raw_clicks().alias("sum_click"),
+            "CAST(id_student AS STRING) AS id_student",
+            "CAST(l_partkey AS STRING) AS id_site",
+            f"CAST({EVENT_DAY} AS STRING) AS date",
+            f"{clicks} AS sum_click",
         )
     )
 
 
-def raw_clicks() -> Column:
-    key = F.col("l_orderkey")
-    return (
-        F.when(key % 97 == 0, "?")
-        .when(key % 89 == 0, "")
-        .otherwise(F.col("l_quantity").cast("int").cast("string"))
-    )
-
-
 RAW = {
     "courses": raw_courses,
     "assessments": raw_assessments,
