@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.ordering import ascending, mapped
-from cohortlens.functions.sized import small_side
+from cohortlens.functions.sized import distinct_values, small_side
 from cohortlens.operators.rates import Outcome
 from cohortlens.session import cut_lineage
 from cohortlens.sources.schemas import ENROLMENT, IMD_ORDER
@@ -128,6 +128,12 @@ class Categorical:
         }
 
 
+def categorical(df: DataFrame, column: str, reference: str | None = None) -> Categorical:
+    """The levels that occur in ``df``; the first one is the reference unless another is named."""
+    levels = tuple(distinct_values(df, column))
+    return Categorical(column, levels, levels[0] if reference is None else reference)
+
+
 def design_matrix(
     df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[Categorical] = ()
 ) -> DataFrame:
