@@ -95,7 +95,7 @@ def model_features(
     """The model base with the standardised activity of all models.
 
     ``activity`` holds klicks_gesamt, klicks_frueh and a column per type. The joined table is stored
-    once in the shared checkpoint folder; group statistics, standardised columns and every pass of
+    once in the shared folder; group statistics, standardised columns and every pass of
     the model fits start from there.
     """
     clicks = ["klicks_gesamt", "klicks_frueh", *types]

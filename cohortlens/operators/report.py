@@ -98,7 +98,7 @@ def enrolment_report(
     group: str = "code_module",
     outcome: Outcome = Outcome(),
 ) -> DataFrame:
-    """The report from a base that is computed once, into the shared checkpoint folder.
+    """The report from a base that is computed once, into the shared folder.
 
     The click table is read once, the means come from the stored base, and next to them the
     enrolments are not shuffled by module.

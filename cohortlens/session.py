@@ -48,12 +48,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder.
+    """``df`` computed once and written as Parquet to the shared folder.
 
     For a result that several later steps read: they start from the stored rows, also after an
-    executor was lost, instead of repeating the scans and joins behind them.
+    executor was lost, instead of repeating the scans and joins behind them. Unlike a checkpoint, the
+    files can be read by column and tell Spark their size.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -41,6 +41,25 @@ def read_tables(spark: SparkSession, database: str, names: list[str]) -> dict[st
     return {name: spark.table(f"{database}.{name}") for name in names}
 
 
+def store(
+    tables: Mapping[str, DataFrame], root: str, partition_by: Mapping[str, str] | None = None
+) -> dict[str, DataFrame]:
+    """Each DataFrame as a Parquet folder under ``root``, and the stored tables.
+
+    The same layout as ``write_tables`` without a catalog.
+    """
+    partition_by = partition_by or {}
+    stored = {}
+    for name, df in tables.items():
+        path = os.path.join(root, name)
+        writer = df.write.mode("errorifexists")
+        if name in partition_by:
+            writer = writer.partitionBy(partition_by[name])
+        writer.parquet(path)
+        stored[name] = df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored
+
+
 def create_view(spark: SparkSession, name: str, define: Callable[[], DataFrame]) -> DataFrame:
     """(Re)create the temporary view ``name``; reading it computes it again each time."""
     spark.sql(f"DROP VIEW IF EXISTS {name}")
