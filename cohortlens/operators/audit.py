@@ -133,6 +133,38 @@ def outlier_buckets(
     )
 
 
+def numeric_audit(df: DataFrame, column: str, threshold: int, pattern: str = UNSIGNED) -> DataFrame:
+    """Rows, wrong formats, profile and outliers of a text column of integers, in one pass.
+
+    The same figures as ``invalid_format_count``, ``numeric_profile`` and ``outlier_count``.
+    """
+    text = F.col(column)
+    number = F.when(matches(text, pattern), text.cast("decimal(18,0)"))
+    valued = df.select(text.alias("text"), number.alias("value"))
+    return valued.agg(
+        F.count("*").alias("zeilen"),
+        F.count_if(~matches(F.col("text"), pattern)).alias("ungueltig"),
+        F.min("value").cast("double").alias("minimum"),
+        F.max("value").cast("double").alias("maximum"),
+        rounded(mean_of(F.col("value")), 1).alias("durchschnitt"),
+        F.round(F.stddev_samp("value"), 1).alias("streuung"),
+        F.count_if(F.col("value") > threshold).alias("ausreisser"),
+    )
+
+
+def category_domains(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distinct values of several text columns, as (column name, value), in one pass."""
+    values = [F.struct(F.lit(c).alias("spalte"), F.col(c).alias("wert")) for c in columns]
+    return (
+        df.select(F.inline(F.array(*values))).distinct().orderBy(*ascending("spalte", "wert"))
+    )
+
+
+def whitespace_domains(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The values of several text columns that have leading or trailing spaces, in one pass."""
+    return category_domains(df, columns).where(F.col("wert") != F.trim("wert"))
+
+
 def category_domain(df: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column, NULL last."""
     return df.select(column).distinct().orderBy(*ascending(column))

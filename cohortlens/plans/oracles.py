@@ -237,6 +237,30 @@ add(
 )
 RAW_BAND = "CASE WHEN imd_band IS NULL THEN '?' WHEN imd_band = '2-HIGH' THEN 'HIGH' ELSE imd_band END"
 add("category_domain", f"SELECT DISTINCT {RAW_BAND} AS imd_band FROM info")
+add(
+    "numeric_audit",
+    f"""SELECT (SELECT count(*) FROM clicks) AS zeilen,
+        (SELECT count(*) FROM clicks WHERE raw_click IN ('', '?')) AS ungueltig, {NUMBERS},
+        {n_if("v > 20")} AS ausreisser FROM numbers""",
+    numbers=CLICK_NUMBERS,
+)
+add(
+    "category_domains",
+    " UNION ".join(
+        f"SELECT '{name}' AS spalte, {value} AS wert FROM info"
+        for name, value in (
+            ("gender", "gender"),
+            ("disability", "disability"),
+            ("highest_education", "highest_education"),
+            ("age_band", "age_band"),
+            ("imd_band", RAW_BAND),
+        )
+    ),
+)
+add(
+    "whitespace_domains",
+    "SELECT DISTINCT 'region' AS spalte, region || ' ' AS wert FROM info WHERE disability = 'Y'",
+)
 add("whitespace_values", "SELECT DISTINCT region || ' ' AS region FROM info WHERE disability = 'Y'")
 for suffix, column in (("", "final_result"), ("_disability", "disability")):
     add(

@@ -150,18 +150,35 @@ def outlier_buckets(spark, folder):
     return audit.outlier_buckets(raw, "sum_click", 20, CLICK_BUCKETS, "ueber 45")
 
 
+@query
+def numeric_audit(spark, folder):
+    return audit.numeric_audit(standins.raw_student_vle(spark, folder), "sum_click", 20)
+
+
+@query
+def category_domains(spark, folder):
+    columns = ("gender", "disability", "highest_education", "age_band", "imd_band")
+    return audit.category_domains(standins.raw_student_info(spark, folder), columns)
+
+
 @query
 def category_domain(spark, folder):
     return audit.category_domain(standins.raw_student_info(spark, folder), "imd_band")
 
 
+def padded_info(spark, folder):
+    padded = "IF(disability = 'Y', concat(region, ' '), region)"
+    return standins.raw_student_info(spark, folder).withColumn("region", F.expr(padded))
+
+
 @query
 def whitespace_values(spark, folder):
-    padded = F.when(F.col("disability") == "Y", F.concat(F.col("region"), F.lit(" ")))
-    raw = standins.raw_student_info(spark, folder).withColumn(
-        "region", F.coalesce(padded, F.col("region"))
-    )
-    return audit.whitespace_values(raw, "region")
+    return audit.whitespace_values(padded_info(spark, folder), "region")
+
+
+@query
+def whitespace_domains(spark, folder):
+    return audit.whitespace_domains(padded_info(spark, folder), ["region", "highest_education"])
 
 
 @query

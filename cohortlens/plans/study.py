@@ -46,6 +46,7 @@ CLICK_THRESHOLD = 100
 CLICK_BUCKETS = (("100-500", 100, 500), ("501-1000", 501, 1000), ("1001-2000", 1001, 2000))
 BEYOND = "ueber 2000"
 MODEL_TYPES = ("oucontent", "forumng")
+CATEGORIES = ("gender", "disability", "highest_education", "age_band", "imd_band")
 BELOW_A_LEVEL = ("No Formal quals", "Lower Than A Level")
 REPORT_TABLE = "mv_zentrumsbericht"
 
@@ -80,24 +81,20 @@ def audit_raw(raw: Tables, modules: Sequence[str] = MODULES) -> dict[str, DataFr
         return clean.in_modules(getters(raw), name, modules)
 
     info, clicks, scores = rows("student_info"), rows("student_vle"), rows("student_assessment")
-    found = {
+    return {
         "score_format": audit.invalid_format_count(scores, "score"),
         "doppelte_abgaben": audit.duplicate_keys(scores, S.STUDENT_ASSESSMENT.key),
         "doppelte_einschreibungen": audit.duplicate_keys(info, S.ENROLMENT),
         "imd_fehlend": audit.missing_by_group(info, "imd_band", "code_module"),
-        "klicks": audit.numeric_profile(clicks, "sum_click"),
-        "klicks_ausreisser": audit.outlier_count(clicks, "sum_click", CLICK_THRESHOLD),
+        "klicks": audit.numeric_audit(clicks, "sum_click", CLICK_THRESHOLD),
         "klicks_bereiche": audit.outlier_buckets(
             clicks, "sum_click", CLICK_THRESHOLD, CLICK_BUCKETS, BEYOND
         ),
         "pruefung_ohne_datum": audit.missing_by_type(rows("assessments"), "date", "assessment_type"),
         "woche_platzhalter": audit.placeholder_counts(rows("vle"), "week_from", "activity_type"),
+        "werte": audit.category_domains(info, CATEGORIES),
+        "leerzeichen": audit.whitespace_domains(info, ("region", "highest_education")),
     }
-    for column in ("gender", "disability", "highest_education", "age_band", "imd_band"):
-        found[f"werte_{column}"] = audit.category_domain(info, column)
-    for column in ("region", "highest_education"):
-        found[f"leerzeichen_{column}"] = audit.whitespace_values(info, column)
-    return found
 
 
 def clean_and_store(

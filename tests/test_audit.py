@@ -61,6 +61,15 @@ def test_duplicates_domain_and_whitespace(spark):
     assert tuples(audit.distinct_profile(df, "k", {"n": "n"})) == [(" b", 1), ("a", 1), (None, 1)]
 
 
+def test_shared_passes_equal_single_checks(values):
+    audited = audit.numeric_audit(values, "v", 0).first()
+    assert (audited["zeilen"], audited["ungueltig"], audited["ausreisser"]) == (7, 5, 1)
+    assert tuples(audit.category_domains(values, ["v", "k"])) == [
+        ("k", "a"), ("k", "b"), ("k", None), ("v", ""), ("v", "1"), ("v", "7\n"), ("v", "78.5"), ("v", "?"), ("v", None),
+    ]
+    assert tuples(audit.whitespace_domains(values, ["v", "k"])) == []
+
+
 def test_orphans_and_null_keys(spark):
     child = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (None, "x"), (3, None)], "a int, b string")
     parent = spark.createDataFrame([(2, "x"), (3, "y")], "a int, b string")

@@ -47,7 +47,7 @@ def test_comparison_and_audit(raw):
     assert card[0]["entscheidung"] == "AUSGEWAEHLT"
     found = {name: df.count() for name, df in study.audit_raw(raw).items()}
     assert found["imd_fehlend"] == 3 and found["doppelte_einschreibungen"] == 0
-    assert found["werte_imd_band"] == 5
+    assert found["werte"] == 2 + 2 + 5 + 3 + 5 and found["leerzeichen"] == 0
 
 
 def test_cleaning_keeps_rows_and_keys(raw, cleaned, root):
