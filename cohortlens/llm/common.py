@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
+import io
+import os
+from pathlib import Path
+from zipfile import ZipFile
+
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.session import scratch_path
+
+#: Applications that have been sent this package's code.
+SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they inherit a path to it or have it installed."""
+    home = Path(__file__).resolve().parents[2]
+    inherited = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    application = spark.sparkContext.applicationId
+    if "site-packages" in home.parts or str(home) in map(os.path.realpath, inherited) or application in SHIPPED:
+        return
+    zipped = io.BytesIO()
+    with ZipFile(zipped, "w") as archive:
+        for module in sorted(home.joinpath("cohortlens").rglob("*.py")):
+            archive.write(module, module.relative_to(home))
+    folder = scratch_path(spark, "code")
+    system, path = open_folder(folder)
+    with system.open_output_stream(f"{path}/cohortlens.zip") as stream:
+        stream.write(zipped.getvalue())
+    spark.sparkContext.addPyFile(f"{folder}/cohortlens.zip")
+    SHIPPED.add(application)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A test table, for operators whose Python tasks need this package on the workers."""
+    ship_code(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -14,6 +46,10 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Longer keys are computed each time, so that the size of a cache stays bounded.
+LONGEST_KEY = 64
+
+
 class TwoGenerations(dict):
     """A bounded cache: ``self[key]`` computes a missing value with ``compute``.
 
@@ -35,5 +71,13 @@ class TwoGenerations(dict):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[key] = value
+        if len(key) <= LONGEST_KEY:
+            self[key] = value
         return value
+
+
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder and the folder's path in it, for files that tasks write."""
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path, recursive=True)
+    return system, path

@@ -4,19 +4,41 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortlens.llm import byte_bpe
 from cohortlens.llm.common import table
 from cohortlens.llm.token_counts import token_counts
+from cohortlens.llm.token_files import token_files
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.tiktoken"
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    done = byte_bpe.round_trip(
+        table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
+    )
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op9_token_files": op9_token_files,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 #: Twins of the queries that SQL can express.
