@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import byte_bpe
 from cohortlens.llm.common import table
+from cohortlens.llm.decontaminate import contamination
+from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.token_files import token_files
 
@@ -19,6 +21,31 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -37,6 +64,8 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_decontaminate": op6_decontaminate,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
 }
