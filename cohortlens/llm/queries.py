@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from cohortlens.llm import byte_bpe
 from cohortlens.llm.common import table
 from cohortlens.llm.decontaminate import contamination
+from cohortlens.llm.main_text import main_text
 from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.token_files import token_files
+from cohortlens.llm.warc import archive_round_trip
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -21,6 +23,16 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
         "doc_id",
@@ -64,6 +76,8 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc": op2_warc,
+    "op4_main_text": op4_main_text,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op9_token_files": op9_token_files,
@@ -71,4 +85,22 @@ QUERIES = {
 }
 
 #: Twins of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), d AS (
+            SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest
+            FROM p
+        ), h AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS holder FROM d
+        )
+        SELECT
+            page_id,
+            payload_bytes,
+            payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id < holder THEN holder END AS refers_to
+        FROM h
+    """,
+}
