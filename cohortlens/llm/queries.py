@@ -11,6 +11,7 @@ from cohortlens.llm.chat_format import format_chats, learned_text, read_chat
 from cohortlens.llm.common import table
 from cohortlens.llm.decontaminate import contamination
 from cohortlens.llm.main_text import main_text
+from cohortlens.llm.pii import find_personal_data
 from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.token_files import token_files
@@ -30,6 +31,18 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal_data(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(table(spark, folder, "pages"))
 
@@ -103,6 +116,7 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_warc": op2_warc,
+    "op3_pii": op3_pii,
     "op4_main_text": op4_main_text,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
