@@ -10,12 +10,14 @@ a rank. Each worker keeps the ids of recent pieces in bounded caches. Rows never
 from __future__ import annotations
 
 import re
+from array import array
 from base64 import b64decode
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from cohortlens.llm.perfect_hash import PerfectHash
 
 #: A space next to other white space, or at an end: there a pre-token may span what lies beside a space.
 SPACES_MEET = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
-RARE_SPACE = re.compile("[\x0b\x0c\x85\xa0  -     　]")
+RARE_SPACE = re.compile("[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,42 +57,44 @@ class Vocabulary:
         positions, ranks = self.tokens.positions.tolist(), self.ranks.tolist()
         return {ranks[positions[s]]: blob[ends[s] : ends[s + 1]] for s in range(self.tokens.size)}
 
+    def array(self) -> pa.BinaryArray:
+        """The tokens in the order of their ranks; NULL where a rank has none."""
+        tokens = self.by_rank()
+        return pa.array(map(tokens.get, range(max(tokens, default=-1) + 1)), pa.binary())
 
-def merge_bytes(piece: bytes, rank) -> list[int]:
-    """The ranks of the tokens that the merges leave of ``piece``; ``rank`` gives a token's rank."""
+
+def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ranks of the tokens that the merges leave of ``piece``."""
     size = len(piece)
+    rank = ranks.get
     after = list(range(1, size + 1))
     before = list(range(-1, size - 1))
-    pair: list[int | None] = [rank(piece[i : i + 2]) for i in range(size - 1)]
+    pair = [rank(piece[i : i + 2]) for i in range(size - 1)]
     pair.append(None)
     heap = [(r, i) for i, r in enumerate(pair) if r is not None]
     heapify(heap)
-
-    def renew(i: int) -> None:
-        middle = after[i]
-        found = rank(piece[i : after[middle]]) if middle < size else None
-        pair[i] = found
-        if found is not None:
-            heappush(heap, (found, i))
-
     while heap:
         r, i = heappop(heap)
         if pair[i] != r:
             continue  # the pair went when a neighbour was merged
         gone = after[i]
         pair[gone] = None
-        after[i] = after[gone]
-        if after[i] < size:
-            before[after[i]] = i
-        renew(i)
-        if before[i] >= 0:
-            renew(before[i])
+        end = after[i] = after[gone]
+        if end < size:
+            before[end] = i
+            pair[i] = found = rank(piece[i : after[end]])
+            if found is not None:
+                heappush(heap, (found, i))
+        else:
+            pair[i] = None
+        left = before[i]
+        if left >= 0:
+            pair[left] = found = rank(piece[left:end])
+            if found is not None:
+                heappush(heap, (found, left))
     ids, i = [], 0
     while i < size:
-        token = rank(piece[i : after[i]])
-        if token is None:
-            raise ValueError(f"no token for byte {piece[i]}")
-        ids.append(token)
+        ids.append(ranks[piece[i : after[i]]])
         i = after[i]
     return ids
 
@@ -101,15 +105,14 @@ class ByteEncoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.find = regex.compile(pattern).findall
         whole = vocabulary.rank_reader()
-        part = TwoGenerations(lambda token: (whole(token),))
+        ranks = {token: rank for rank, token in vocabulary.by_rank().items()}
 
         def pre_token(text: str) -> bytes:
             piece = text.encode()
             found = whole(piece)
-            ids = merge_bytes(piece, lambda token: part[token][0]) if found is None else [found]
-            return np.array(ids, np.int32).tobytes()
+            return array("i", merge_bytes(piece, ranks) if found is None else (found,)).tobytes()
 
-        self.by_pre_token = TwoGenerations(pre_token)
+        self.by_pre_token = TwoGenerations(pre_token, 1 << 17)
         self.after_space = TwoGenerations(lambda chunk: self.cut(" " + chunk))
 
     def cut(self, text: str) -> bytes:
@@ -162,12 +165,18 @@ def decoder(spark, path: str):
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = vocabulary.value.by_rank().__getitem__
+        tokens = vocabulary.value.array()
         for batch in batches:
-            yield pa.array(
-                [None if ids is None else b"".join(map(token, ids)) for ids in batch.to_pylist()],
-                pa.binary(),
-            )
+            taken = tokens.take(batch.flatten())
+            if taken.null_count:
+                raise ValueError("an id stands for no token")
+            # The tokens taken lie one after the other: a row's bytes are those between two offsets.
+            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+            places = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :]
+            ends = places[np.concatenate([[0], np.cumsum(lengths)])]
+            data = taken.buffers()[2] or pa.py_buffer(b"")
+            whole = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), data])
+            yield pc.if_else(batch.is_valid(), whole, pa.scalar(None, pa.binary()))
 
     return decode
 

@@ -15,7 +15,7 @@ import re
 from functools import lru_cache
 
 #: The white space of the Unicode property, which the library drops.
-WHITE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Python's ``str.split`` drops these as well; the library keeps them.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
