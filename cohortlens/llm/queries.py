@@ -13,6 +13,7 @@ from cohortlens.llm.decontaminate import contamination
 from cohortlens.llm.main_text import main_text
 from cohortlens.llm.pii import find_personal_data
 from cohortlens.llm.quality_rules import quality_rules
+from cohortlens.llm.shingle_join import shingle_components
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.token_files import token_files
 from cohortlens.llm.warc import archive_round_trip
@@ -97,6 +98,10 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_components(table(spark, folder, "documents"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -121,6 +126,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,
+    "op8_shingle_join": op8_shingle_join,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
 }
