@@ -17,14 +17,18 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(F.lit(Decimal("100.0")) * part / F.nullif(whole, F.lit(0)), digits).cast("double")
 
 
-def exact_mean(total: Column, count: Column, scale: int = 0) -> Column:
-    """total / count as decimal(38, 18) for a total with ``scale`` decimals, NULL for no rows."""
-    return total.cast(f"decimal({20 + scale},{scale})") / F.nullif(count, F.lit(0))
+def exact_mean(total: Column, count: Column, scale: int = 0, digits: int = 20) -> Column:
+    """total / count as a decimal of 38 digits, NULL for no rows.
 
+    ``total`` has ``scale`` decimals and up to ``digits`` digits before them; 20 leave 18 decimals to the
+    mean, 28 leave 10.
+    """
+    return total.cast(f"decimal({digits + scale},{scale})") / F.nullif(count, F.lit(0))
 
-def mean_of(column: Column, scale: int = 0) -> Column:
+
+def mean_of(column: Column, scale: int = 0, digits: int = 20) -> Column:
     """Aggregate: exact mean of the non-NULL values of an integer or decimal column."""
-    return exact_mean(F.sum(column), F.count(column), scale)
+    return exact_mean(F.sum(column), F.count(column), scale, digits)
 
 
 def rounded(column: Column, digits: int) -> Column:

@@ -21,9 +21,11 @@ def small_side(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def distinct_values(df: DataFrame, column: str, max_values: int = 100) -> list:
-    """The sorted distinct non-NULL values of a category column, refused beyond ``max_values``."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"{column} has more than {max_values} values")
+def distinct_values(df: DataFrame, column: str) -> list:
+    """The sorted distinct non-NULL values of a category column.
+
+    Meant for the levels of a model factor: each becomes a term of the design, whose square matrix the
+    driver holds anyway. Pass the levels instead of reading them if they are known.
+    """
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(row[0] for row in rows)

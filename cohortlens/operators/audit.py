@@ -15,6 +15,10 @@ from cohortlens.functions.numeric import mean_of, rounded
 from cohortlens.functions.ordering import ascending, descending
 from cohortlens.functions.text import UNSIGNED, matches
 
+#: Raw numbers may be long: all audits read them as widely as Spark can, and sum up to 28 digits.
+WIDE_DECIMAL, WIDE_INTEGER, WIDE_TOTAL = "decimal(38,4)", "decimal(38,0)", 28
+
+
 
 def distinct_profile(df: DataFrame, group: str, entities: Mapping[str, str]) -> DataFrame:
     """Exact number of distinct entities per group, most first. ``entities``: result name → column."""
@@ -36,7 +40,7 @@ def numeric_profile(
     column: str,
     pattern: str = UNSIGNED,
     group: str | None = None,
-    type: str = "decimal(18,4)",
+    type: str = WIDE_DECIMAL,
 ) -> DataFrame:
     """Minimum, maximum, mean and sample standard deviation of a text column's numeric values."""
     number = F.when(matches(F.col(column), pattern), F.col(column).cast(type))
@@ -47,7 +51,7 @@ def numeric_profile(
     profile = (values.groupBy(group) if group else values.groupBy()).agg(
         F.min("value").cast("double").alias("minimum"),
         F.max("value").cast("double").alias("maximum"),
-        rounded(mean_of(F.col("value"), scale), 1).alias("durchschnitt"),
+        rounded(mean_of(F.col("value"), scale, WIDE_TOTAL), 1).alias("durchschnitt"),
         F.round(F.stddev_samp("value"), 1).alias("streuung"),
     )
     return profile.orderBy(*descending("streuung"), *ascending(group)) if group else profile
@@ -100,7 +104,7 @@ def placeholder_counts(
 
 def number_in(column: str) -> Column:
     """The integer in a text column, NULL for any other format."""
-    return F.when(matches(F.col(column), UNSIGNED), F.col(column).cast("decimal(38,0)"))
+    return F.when(matches(F.col(column), UNSIGNED), F.col(column).cast(WIDE_INTEGER))
 
 
 def outlier_count(df: DataFrame, column: str, threshold: int) -> DataFrame:
@@ -139,14 +143,14 @@ def numeric_audit(df: DataFrame, column: str, threshold: int, pattern: str = UNS
     The same figures as ``invalid_format_count``, ``numeric_profile`` and ``outlier_count``.
     """
     text = F.col(column)
-    number = F.when(matches(text, pattern), text.cast("decimal(18,0)"))
+    number = F.when(matches(text, pattern), text.cast(WIDE_INTEGER))
     valued = df.select(text.alias("text"), number.alias("value"))
     return valued.agg(
         F.count("*").alias("zeilen"),
         F.count_if(~matches(F.col("text"), pattern)).alias("ungueltig"),
         F.min("value").cast("double").alias("minimum"),
         F.max("value").cast("double").alias("maximum"),
-        rounded(mean_of(F.col("value")), 1).alias("durchschnitt"),
+        rounded(mean_of(F.col("value"), 0, WIDE_TOTAL), 1).alias("durchschnitt"),
         F.round(F.stddev_samp("value"), 1).alias("streuung"),
         F.count_if(F.col("value") > threshold).alias("ausreisser"),
     )

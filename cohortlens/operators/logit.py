@@ -24,6 +24,19 @@ from cohortlens.operators.identifiability import gram_matrix, require_identifiab
 from cohortlens.operators.integrity import union_all
 
 INTERCEPT = "Intercept"
+MAX_ITERATIONS = 50
+#: Standard errors per standard deviation of the term, and shares of the null deviance, of separated data.
+LARGEST_ERROR, PERFECT_FIT = 100.0, 1e-6
+
+
+class SeparatedData(ValueError):
+    """The outcomes are separated by the terms: the likelihood has no maximum."""
+
+
+class NotConverged(ValueError):
+    """The iterations ran out before the fit settled."""
+
+
 Z_95 = 1.959963984540054
 
 # Odds ratio bands and significance levels, and the labels of the terms.
@@ -97,7 +110,8 @@ def logit_fit(design: DataFrame, label: str, discrete: bool = False) -> LogitFit
     """Unregularised logit of ``label`` on all other columns of ``design``.
 
     ``discrete`` counts equal rows first; use it where the terms take few values. Raises
-    ``SingularDesign`` where the coefficients are not determined.
+    ``SingularDesign`` where the coefficients are not determined, ``SeparatedData`` where a term
+    separates the outcomes and so has no finite coefficient, ``NotConverged`` where the iterations ran out.
     """
     terms = [name for name in design.columns if name != label]
     quoted = [term_name(name) for name in design.columns]
@@ -120,10 +134,11 @@ def logit_fit(design: DataFrame, label: str, discrete: bool = False) -> LogitFit
             solver="irls",
             regParam=0.0,
             tol=1e-8,
-            maxIter=50,
+            maxIter=MAX_ITERATIONS,
         )
         model = regression.fit(assembler.transform(plain))
         errors = model.summary.coefficientStandardErrors
+        require_convergence(model.summary.numIterations, errors, gram)
         # Spark puts the intercept last.
         fit = LogitFit(
             terms=(INTERCEPT, *terms),
@@ -132,11 +147,23 @@ def logit_fit(design: DataFrame, label: str, discrete: bool = False) -> LogitFit
             deviance=0.0,
             null_deviance=null_deviance(float(gram[0, 0]), float(gram[0, 1])),
         )
-        return replace(fit, deviance=deviance(rows, label, fit))
+        fit = replace(fit, deviance=deviance(rows, label, fit))
+        if fit.deviance < PERFECT_FIT * fit.null_deviance:
+            raise SeparatedData("the terms tell the outcomes apart without error")
+        return fit
     finally:
         rows.unpersist()
 
 
+def require_convergence(iterations: int, errors: Sequence[float], gram: np.ndarray) -> None:
+    """Refuse a fit that is none. ``gram`` holds the sums over (1, label, terms)."""
+    spread = np.sqrt(np.maximum(np.diag(gram) / gram[0, 0] - (gram[0] / gram[0, 0]) ** 2, 0.0))[2:]
+    if len(spread) and float(np.max(spread * np.asarray(errors[: len(spread)]))) > LARGEST_ERROR:
+        raise SeparatedData("a term's standard error has no bound")
+    if iterations >= MAX_ITERATIONS:
+        raise NotConverged(f"no convergence after {iterations} iterations")
+
+
 def null_deviance(n: float, successes: float) -> float:
     """Deviance of the model with only an intercept."""
     return -2 * sum(k * math.log(k / n) for k in (successes, n - successes) if k > 0)
@@ -164,8 +191,12 @@ def fit_model(
     return logit_fit(model_design(features, spec, factors, label), label, not spec.activity)
 
 
-def odds_ratios(spark: SparkSession, fit: LogitFit, digits: int = 3) -> DataFrame:
-    """One row per term: odds ratio, 95 % confidence interval and p-value."""
+def odds_ratios(spark: SparkSession, fit: LogitFit, digits: int | None = 3) -> DataFrame:
+    """One row per term: odds ratio, 95 % confidence interval and p-value; unrounded without ``digits``."""
+
+    def shown(value: Column) -> Column:
+        return value if digits is None else F.round(value, digits)
+
     rows = list(
         zip(range(len(fit.terms)), fit.terms, fit.coefficients, fit.standard_errors, fit.p_values)
     )
@@ -174,10 +205,10 @@ def odds_ratios(spark: SparkSession, fit: LogitFit, digits: int = 3) -> DataFram
     return table.select(
         "position",
         "term",
-        F.round(F.exp(b), digits).alias("OR"),
-        F.round(F.exp(b - margin), digits).alias("ci_unten"),
-        F.round(F.exp(b + margin), digits).alias("ci_oben"),
-        F.round("p", digits).alias("p"),
+        shown(F.exp(b)).alias("OR"),
+        shown(F.exp(b - margin)).alias("ci_unten"),
+        shown(F.exp(b + margin)).alias("ci_oben"),
+        shown(F.col("p")).alias("p"),
     )
 
 
@@ -201,7 +232,10 @@ def significance(p: Column) -> Column:
 
 
 def with_effect_size(table: DataFrame) -> DataFrame:
-    """The odds ratio table with the size band of each effect and its significance stars."""
+    """An unrounded odds ratio table with the size band of each effect and its significance stars.
+
+    Rounding first would move values across the bounds.
+    """
     return table.withColumns(
         {"effekt": effect_size(F.col("OR")), "signifikanz": significance(F.col("p"))}
     )

@@ -58,11 +58,12 @@ def with_deviation(
     """``base`` with the distance of ``value`` from its group's mean in ``means``.
 
     A window over the group would put every enrolment of a module into one task, so the means are
-    joined back instead.
+    joined back instead. Plain equality (a module is part of the key and never NULL) lets Spark drop the
+    join for readers who do not ask for the deviation.
     """
     deviation = F.col(value).cast("decimal(20,0)") - F.col("_mean")
     return (
-        base.join(means, F.col(group).eqNullSafe(F.col("_group")), "left")
+        base.join(means, F.col(group) == F.col("_group"), "left")
         .withColumn(name, rounded(deviation, 1))
         .drop("_group", "_mean")
     )
@@ -173,14 +174,22 @@ def write_version(df: DataFrame, folder: str, keys: Sequence[str]) -> str:
 def materialise(
     df: DataFrame, table: str, folder: str, keys: Sequence[str] = ENROLMENT
 ) -> DataFrame:
-    """Store ``df`` as the table ``table`` under ``folder``, replacing an earlier definition."""
+    """Store ``df`` as the table ``table`` under ``folder``; a table of that name then reads it."""
     spark = df.sparkSession
     path = write_version(df, folder, keys)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    if spark.catalog.tableExists(table):
+        return point_to(spark, table, path)
     spark.catalog.createTable(table, path=path, source="parquet")
     return spark.table(table)
 
 
+def point_to(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """Let ``table`` read from ``path`` from now on; it is never missing in between."""
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
 def refresh(df: DataFrame, table: str, folder: str, keys: Sequence[str] = ENROLMENT) -> DataFrame:
     """Store ``df`` as the new content of ``table``.
 
@@ -188,7 +197,4 @@ def refresh(df: DataFrame, table: str, folder: str, keys: Sequence[str] = ENROLM
     version keep their files.
     """
     spark: SparkSession = df.sparkSession
-    path = write_version(df, folder, keys)
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
-    spark.catalog.refreshTable(table)
-    return spark.table(table)
+    return point_to(spark, table, write_version(df, folder, keys))

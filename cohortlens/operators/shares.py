@@ -17,7 +17,7 @@ from cohortlens.functions.ordering import ascending, rank_of
 
 
 def enrolments_vs_persons(df: DataFrame, group: str, person: str) -> DataFrame:
-    """Rows and distinct persons per group, and how many rows are repeats."""
+    """Rows and distinct persons per group."""
     return (
         df.groupBy(group)
         .agg(
@@ -35,8 +35,8 @@ def repeat_surplus(df: DataFrame, group: str, person: str) -> DataFrame:
     )
 
 
-def repeat_enrolments(df: DataFrame, group: str, person: str, n: int | None = 10) -> DataFrame:
-    """Persons with more than one enrolment in a group; the first ``n`` by group and person."""
+def repeat_enrolments(df: DataFrame, group: str, person: str, n: int | None = None) -> DataFrame:
+    """Persons with more than one enrolment in a group, or the first ``n`` by group and person."""
     repeated = (
         df.groupBy(group, person)
         .agg(F.count("*").alias("n_praesentationen"))

@@ -1,9 +1,8 @@
 """Click usage per enrolment and material type.
 
 Clicks are summed per enrolment before they meet the enrolments, so what a join moves is one row per
-enrolment (and type), not one per click. The site table joins without a hint: Spark broadcasts it
-when its size allows and otherwise shuffles by site, splitting a site with very many clicks, which
-it may because the grouping after the join shuffles anyway.
+enrolment (and type), not one per click. The types of the sites are broadcast after a check of their
+number, so clicks are summed per enrolment and type in the map stage.
 """
 
 from __future__ import annotations
@@ -15,11 +14,13 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.numeric import mean_of, percent, ratio, rounded
 from cohortlens.functions.ordering import ascending, descending
+from cohortlens.functions.sized import small_side
 from cohortlens.operators.rates import Outcome
-from cohortlens.operators.shares import with_group_total
-from cohortlens.session import cut_lineage
 from cohortlens.sources.schemas import ENROLMENT, FAILED
 
+#: Sites up to which their types are broadcast; beyond, Spark joins as it sees fit.
+MAX_SITES = 100_000
+
 
 def within(events: DataFrame, since: int | None = None, until: int | None = None) -> DataFrame:
     """The events from day ``since`` to day ``until``, both included."""
@@ -39,14 +40,18 @@ def usage_per_entity(
     types: Sequence[str] | None = None,
     name: str = "klicks",
 ) -> DataFrame:
-    """Summed clicks per enrolment, and per activity type if ``sites`` is given."""
+    """Summed clicks per enrolment, and per activity type if ``sites`` is given.
+
+    Sites are few beside clicks. Up to ``MAX_SITES`` of them are broadcast, so that the clicks, many of
+    them on one home page, are not shuffled by site.
+    """
     events = within(events, since, until)
     if sites is None:
         return events.groupBy(*keys).agg(F.sum("sum_click").alias(name))
     if types is not None:
         sites = sites.where(F.col("activity_type").isin(*types))
     return (
-        events.join(sites.select("id_site", "activity_type"), "id_site")
+        events.join(small_side(sites.select("id_site", "activity_type"), MAX_SITES), "id_site")
         .groupBy(*keys, "activity_type")
         .agg(F.sum("sum_click").alias(name))
     )
@@ -84,18 +89,18 @@ def top_usage(
     """The ``n`` most clicked activity types per group, with click share and reach.
 
     Counts every click, also before the start and of withdrawn students. Reach is the percentage of
-    enrolments that used the type at least once. Ties go by type name. The sums per type are stored,
-    so that the group totals do not read the clicks a second time.
+    enrolments that used the type at least once. Ties go by type name. The windows see a row per group
+    and type.
     """
-    per_type = cut_lineage(
+    per_type = (
         usage_per_entity(events, sites, keys)
         .groupBy(group, "activity_type")
         .agg(F.sum("klicks").alias("gesamtklicks"), F.count("*").alias("nutzende"))
+        .withColumn("alle_klicks", F.sum("gesamtklicks").over(Window.partitionBy(group)))
     )
     sizes = enrolments.groupBy(group).agg(F.count("*").alias("einschreibungen"))
     shares = (
-        with_group_total(per_type, group, "gesamtklicks", "alle_klicks")
-        .join(sizes, group)
+        per_type.join(small_side(sizes), group)
         .select(
             group,
             "activity_type",

@@ -1,14 +1,13 @@
 """SQL for a logistic regression by Newton's method, as an independent check of the fitted models.
 
 The iterations are written out: sums of the weighted cross products in a table of their own, then one
-nested sweep per unknown on that single row. The effects in the test data are weak, so few iterations
-reach the optimum.
+nested sweep per unknown on that single row.
 """
 
 from __future__ import annotations
 
 # The step after the last iteration also gives the standard errors.
-ITERATIONS = 3
+ITERATIONS = 8
 
 
 def cells(size: int) -> list[tuple[int, int]]:

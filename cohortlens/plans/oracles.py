@@ -323,17 +323,19 @@ TYPED = {
     "student_registration": "registered",
     "student_vle": "clicks",
 }
+RAW_ROWS = {
+    name: f"SELECT count(*) FROM {table} WHERE code_module IN {SELECTED}" for name, table in TYPED.items()
+} | {
+    "student_assessment": f"""SELECT count(*) FROM submitted JOIN exams USING (id_assessment)
+        WHERE code_module IN {SELECTED}"""
+}
+# The cleaned side is counted from the twins of the cleaned tables.
 add(
     "row_reconcile",
     " UNION ALL ".join(
-        [
-            f"SELECT '{name}' AS tabelle, count(*) AS raw_zeilen, count(*) AS cleaned_zeilen FROM {table} WHERE code_module IN {SELECTED}"
-            for name, table in TYPED.items()
-        ]
-        + [
-            f"""SELECT 'student_assessment', count(*), count(*) FROM submitted JOIN exams USING (id_assessment)
-            WHERE code_module IN {SELECTED}"""
-        ]
+        f"""SELECT '{name}' AS tabelle, ({raw}) AS raw_zeilen,
+        (SELECT count(*) FROM ({ORACLES[f"clean_{name}"]})) AS cleaned_zeilen"""
+        for name, raw in RAW_ROWS.items()
     ),
 )
 add(
@@ -383,7 +385,6 @@ PRIMARY = {
     "student_info": ("info", (*COURSE, "id_student")),
     "student_registration": ("registered", (*COURSE, "id_student")),
     "student_assessment": ("submitted", ("id_assessment", "id_student")),
-    "student_vle": ("clicks", (*COURSE, "id_student", "id_site", "date")),
     "vle_weeks": ("sites", ("activity_type", "week_from")),
 }
 add(
@@ -694,7 +695,7 @@ add(
                WHEN "OR" < 6.71 THEN 'mittel' ELSE 'groß' END AS effekt,
            CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*'
                 ELSE 'n.s.' END AS signifikanz
-        FROM ({ODDS} ({coefficients(LEVELS, "fitted")}))""",
+        FROM (SELECT term, exp(b) AS "OR", {two_sided_p("abs(b / se)")} AS p FROM ({coefficients(LEVELS, "fitted")}))""",
     **fit_tables(LEVELS, True),
 )
 add(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache, partial
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,9 +245,9 @@ for table in S.TABLES:
 @query
 def row_reconcile(spark, folder):
     raw = raw_tables(spark, folder)
-    cleaned = clean.clean_tables(raw, specs(), SELECTED)
+    stored = {name: cut_lineage(df) for name, df in clean.clean_tables(raw, specs(), SELECTED).items()}
     return integrity.row_reconcile(
-        [(name, clean.in_modules(raw, name, SELECTED), cleaned[name]) for name in cleaned]
+        [(name, clean.in_modules(raw, name, SELECTED), stored[name]) for name in stored]
     )
 
 
@@ -280,11 +281,10 @@ def fk_violations(spark, folder):
 
 @query
 def pk_violations(spark, folder):
-    clicks = S.TableSpec("student_vle", S.STUDENT_VLE.columns, (*S.ENROLMENT, "id_site", "date"))
     weeks = S.TableSpec("vle_weeks", S.VLE.columns, ("activity_type", "week_from"))
     tables = typed_tables(spark, folder)
     tables["vle_weeks"] = tables["vle"]
-    return integrity.pk_violations(tables, [*S.TABLES.values(), clicks, weeks])
+    return integrity.pk_violations(tables, [*(table for table in S.TABLES.values() if table.key), weeks])
 
 
 @query
@@ -319,7 +319,7 @@ def repeat_surplus(spark, folder):
 
 @query
 def repeat_enrolments(spark, folder):
-    return shares.repeat_enrolments(info(spark, folder), "code_module", "id_student")
+    return shares.repeat_enrolments(info(spark, folder), "code_module", "id_student", n=10)
 
 
 @query
@@ -471,7 +471,8 @@ def report_counts(spark, folder):
 
 def stored_report(spark, folder):
     target = scratch_path(spark, "report")
-    return report.materialise(enrolment_report(spark, folder), "bericht_gespeichert", target)
+    table = f"bericht_{uuid.uuid4().hex}"  # runs at the same time do not share a table
+    return report.materialise(enrolment_report(spark, folder), table, target)
 
 
 @query
@@ -674,7 +675,7 @@ def forest_table(spark, folder):
 @query
 def effect_size_label(spark, folder):
     fit = logit.fit_model(base_of(spark, folder), model("m1"), factors())
-    return logit.with_effect_size(logit.odds_ratios(spark, fit)).select(
+    return logit.with_effect_size(logit.odds_ratios(spark, fit, digits=None)).select(
         "term", "effekt", "signifikanz"
     )
 

@@ -118,3 +118,14 @@ def test_scorecard_grades_and_inner_join(spark):
         ("BBB", "+", "+", "+", "o", "+", "+", "+", "AUSGEWAEHLT"),
         ("AAA", "-", "o", "-", "-", "-", "+", "+", ""),
     ]
+
+
+@pytest.mark.parametrize("long", ["123456789012345", "1234567890123456789"])
+def test_long_numbers_give_the_same_figures(spark, long):
+    df = spark.createDataFrame([("1",), (long,), ("?",)], "v string")
+    number = float(int(long))
+    assert tuples(audit.numeric_profile(df, "v").select("minimum", "maximum")) == [(1.0, number)]
+    row = audit.numeric_audit(df, "v", 100).first()
+    assert (row["minimum"], row["maximum"], row["ausreisser"], row["ungueltig"]) == (1.0, number, 1, 1)
+    assert row["durchschnitt"] == audit.numeric_profile(df, "v").first()["durchschnitt"] == (int(long) + 1) / 2
+    assert tuples(audit.outlier_count(df, "v", 100)) == [(1,)]

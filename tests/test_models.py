@@ -187,3 +187,39 @@ def test_group_mean(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, -1.0)], "flag int, z double")
     assert tuples(features.group_mean(df, "flag", "z")) == [(0, 2, 1.5), (1, 1, -1.0)]
     assert column(features.group_mean(df, "flag", "z"), "anzahl") == [2, 1]
+
+
+def test_labels_of_a_fit_use_unrounded_values(spark):
+    def fit(odds_ratio, p):
+        z = next(z / 1e4 for z in range(10_000, 60_000) if math.erfc(z / 1e4 / math.sqrt(2)) <= p)
+        b = math.log(odds_ratio)
+        return logit.LogitFit(("Intercept", "x"), (0.1, b), (1.0, b / z), 1.0, 2.0)
+
+    for odds_ratio, p, labels in (
+        (1.6796, 0.0007, ("sehr klein", "***")),
+        (1.6804, 0.0097, ("klein", "**")),
+        (6.7096, 0.0497, ("mittel", "*")),
+    ):
+        table = logit.odds_ratios(spark, fit(odds_ratio, p), digits=None)
+        labelled = logit.with_effect_size(table).where("term = 'x'").select("effekt", "signifikanz")
+        assert tuples(labelled) == [labels]
+
+
+def test_separated_data_are_refused(spark):
+    df = spark.range(200).select(
+        (F.col("id") >= 100).cast("double").alias("y"), F.col("id").cast("double").alias("x")
+    )
+    with pytest.raises(logit.SeparatedData):
+        logit.logit_fit(df, "y")
+    quasi = df.withColumn("x", (F.col("x") >= 150).cast("double"))
+    with pytest.raises(logit.SeparatedData):
+        logit.logit_fit(quasi, "y", discrete=True)
+
+
+def test_a_factor_may_have_many_levels(spark):
+    df = spark.range(450).select(
+        (F.col("id") % 2).cast("double").alias("y"), F.format_string("%03d", F.col("id") % 150).alias("m")
+    )
+    factor = features.categorical(df, "m")
+    assert len(factor.levels) == 150
+    assert len(features.design_matrix(df, "y", [], [factor]).columns) == 150
