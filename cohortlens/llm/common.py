@@ -46,6 +46,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that columns added beside them cannot clash with their names."""
+    return F.struct(*(F.col(f"`{name}`") for name in docs.columns))
+
+
 #: Longer keys are computed each time, so that the size of a cache stays bounded.
 LONGEST_KEY = 64
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from cohortlens.llm.common import text_or_empty
+from cohortlens.llm.common import packed, text_or_empty
 
 WINDOW = 10
 #: Characters of items in one automaton; bounds what is broadcast and held by a worker.
@@ -242,14 +242,13 @@ def decontaminate(
     Same columns as ``docs``; ``n_chars``, if there, follows the text. Texts without hits stay as they
     are, NULL included.
     """
-    columns = docs.columns
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["first"])
-    kept = with_hits(docs, items, window).where(hit <= F.lit(max_coverage) * F.col("hit_n_words"))
-    cleaned = kept.withColumn(
-        "text",
-        F.when(F.size("hit_spans") > 0, without_spans("text", "hit_spans")).otherwise(F.col("text")),
-    )
-    if "n_chars" in columns:
+    beside = docs.select(packed(docs).alias("row"), "text")
+    kept = with_hits(beside, items, window).where(hit <= F.lit(max_coverage) * F.col("hit_n_words"))
+    some = F.size("hit_spans") > 0
+    cleaned = kept.withColumn("text", F.when(some, without_spans("text", "hit_spans")).otherwise(F.col("text")))
+    values = {name: F.col(f"row.`{name}`") for name in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in values:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.when(F.size("hit_spans") > 0, length).otherwise(F.col("n_chars")))
-    return cleaned.select(*columns)
+        values["n_chars"] = F.when(some, length).otherwise(values["n_chars"])
+    return cleaned.select(*(value.alias(name) for name, value in values.items()))

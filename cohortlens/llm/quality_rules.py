@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortlens.functions.sized import small_side
-from cohortlens.llm.common import text_or_empty
+from cohortlens.llm.common import packed, text_or_empty
 from cohortlens.session import cut_lineage
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -212,9 +212,11 @@ def quality_rules(
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with the columns of ``docs``.
 
-    The texts are not shuffled: the verdict is worked out anew beside each text.
+    The texts are not shuffled: the verdict is worked out anew beside each text. NULLs, repeated rows
+    and empty tables are treated as there.
     """
     small = docs.select("doc_id", "lang", "text")
     measured = cut_lineage(with_features(small).select("doc_id", "stratum", "features"))
     cutoffs = thresholds(measured, labels, risk, level)
-    return judged(with_features(docs), cutoffs).where("kept").select(*docs.columns)
+    beside = with_features(docs.select(packed(docs).alias("row"), "lang", "text"))
+    return judged(beside, cutoffs).where("kept").select("row.*")
