@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.sized import small_side
-from cohortlens.llm.common import text_or_empty
+from cohortlens.llm.common import packed, text_or_empty
 from cohortlens.session import cut_lineage
 
 #: Code points on either side of a span whose words are its context, and words taken of them.
@@ -210,20 +210,33 @@ def entities(found: DataFrame) -> DataFrame:
     )
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, n_docs: int) -> DataFrame:
-    """Terms that give away an entity: ``entity``, ``term`` and ``share`` of its information.
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, n_docs: int, least: float) -> DataFrame:
+    """Terms that give away at least ``least`` of an entity's information: ``entity``, ``term``, ``share``.
 
-    Documents of the entity and of the pair are counted among the mentions; those of a term over all
-    texts of the corpus, for terms that have enough contexts. Every count is a sum that starts in the
-    map stage.
+    Documents of the entity and of the pair are counted among the mentions. A term is in at least as many
+    documents as it is near any entity, which bounds its share from above and settles most pairs, common
+    words first; only the others are counted over all texts of the corpus. Every count starts in the map
+    stage.
     """
     doc = F.struct("key", "content")
+
+    def share(n_term: str) -> Column:
+        information = -F.log2(F.col("n_entity") / n_docs)
+        mutual = F.log2(F.col("n_pair") * F.lit(float(n_docs)) / (F.col(n_term) * F.col("n_entity")))
+        return F.when(information > 0, mutual / information).otherwise(0.0)
+
     held = mentions.groupBy("entity").agg(F.count_distinct(doc).alias("n_entity"))
-    pairs = cut_lineage(
+    near = cut_lineage(
         mentions.select("key", "content", "entity", F.xxhash64("near").alias("context"), F.explode("near").alias("term"))
-        .groupBy("entity", "term")
+    )
+    near_any = near.groupBy("term").agg(F.count_distinct(doc).alias("n_near"))
+    pairs = cut_lineage(
+        near.groupBy("entity", "term")
         .agg(F.count_distinct(doc).alias("n_pair"), F.count_distinct("context").alias("n_contexts"))
         .where(F.col("n_contexts") >= MIN_CONTEXTS)
+        .join(held, "entity")
+        .join(near_any, "term")
+        .where(share("n_near") >= least)
     )
     wanted = small_side(pairs.select("term").distinct(), SMALL_TERMS)
     in_corpus = (
@@ -232,10 +245,8 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, n_docs: int) -> DataF
         .groupBy("term")
         .agg(F.count("*").alias("n_term"))
     )
-    information = -F.log2(F.col("n_entity") / n_docs)
-    mutual = F.log2(F.col("n_pair") * F.lit(float(n_docs)) / (F.col("n_term") * F.col("n_entity")))
-    share = F.when(information > 0, mutual / information).otherwise(0.0)
-    return pairs.join(in_corpus, "term").join(held, "entity").select("entity", "term", share.alias("share"))
+    shares = pairs.join(in_corpus, "term").select("entity", "term", share("n_term").alias("share"))
+    return cut_lineage(shares.where(F.col("share") >= least))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -278,11 +289,11 @@ def disclosing_spans(docs: DataFrame, stored: DataFrame, generalise_at: float, r
     found = stored.select(F.col("pii_key").alias("key"), F.col("pii_content").alias("content"), F.col("pii_base").alias("base"))
     mentions = cut_lineage(entities(found))
     texts = keyed(docs.select("doc_id", "text")).select("pii_key", "pii_content", F.col("pii_text").alias("text"))
-    terms = disclosing_terms(texts, mentions, max(1, stored.count()))
+    terms = disclosing_terms(texts, mentions, max(1, stored.count()), generalise_at)
     per_doc = cut_lineage(
         mentions.select("key", "content", "entity")
         .distinct()
-        .join(cut_lineage(terms.where(F.col("share") >= generalise_at)), "entity")
+        .join(terms, "entity")
         .groupBy("key", "content", "term")
         .agg(F.max("share").alias("share"))
         .groupBy(F.col("key").alias("pii_key"), F.col("content").alias("pii_content"))
@@ -347,7 +358,6 @@ def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: f
     (number, name, word), removed terms by nothing. Of spans that overlap, the union is replaced, by the
     mask of the first. Texts without spans stay as they are; ``n_chars``, if there, follows the text.
     """
-    columns = docs.columns
 
     def mask(kind: Column, value: Column) -> Column:
         masked = (
@@ -363,7 +373,7 @@ def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: f
 
     extra = disclosing_spans(docs, stored_spans(docs), generalise_at, remove_at)
     spanned = (
-        with_base(keyed(docs))
+        with_base(keyed(docs.select(packed(docs).alias("row"), "doc_id", "text")))
         .join(extra, ["pii_key", "pii_content"], "left")
         .withColumn("pii_spans", every_span())
         .withColumn("pii_far", F.col("pii_spans.end"))
@@ -389,8 +399,9 @@ def sanitise(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: f
     )
     tail = cut(F.array_max("pii_far"), F.size("pii_chars").cast("long"))
     replaced = ready.withColumn("pii_new", F.when(some, F.concat(F.array_join(parts, ""), tail)))
-    values = {"text": F.when(some, F.col("pii_new")).otherwise(F.col("text"))}
-    if "n_chars" in columns:
+    values = {name: F.col(f"row.`{name}`") for name in docs.columns}
+    values["text"] = F.when(some, F.col("pii_new")).otherwise(F.col("text"))
+    if "n_chars" in values:
         kind = docs.schema["n_chars"].dataType
-        values["n_chars"] = F.when(some, F.length("pii_new").cast(kind)).otherwise(F.col("n_chars"))
-    return replaced.withColumns(values).select(*columns)
+        values["n_chars"] = F.when(some, F.length("pii_new").cast(kind)).otherwise(values["n_chars"])
+    return replaced.select(*(value.alias(name) for name, value in values.items()))
