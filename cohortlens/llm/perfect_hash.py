@@ -8,6 +8,8 @@ import numpy as np
 from xxhash import xxh3_128_intdigest
 
 MASK = (1 << 64) - 1
+#: Any odd number with well mixed bits.
+STEP = 0x9E3779B97F4A7C15
 KEYS_PER_BUCKET = 4
 TRIES_AT_ONCE = 256
 
@@ -53,7 +55,9 @@ class PerfectHash:
         first = 0
         while True:
             tries = np.arange(first, first + TRIES_AT_ONCE, dtype=np.uint64)
-            places = (halves[:, 1:] + tries * (halves[:, :1] | np.uint64(1))) % np.uint64(self.size)
+            places = halves[:, 1:] + tries * np.uint64(STEP)
+            places = (places ^ (places >> np.uint64(32))) * (halves[:, :1] | np.uint64(1))
+            places = (places ^ (places >> np.uint64(29))) % np.uint64(self.size)
             good = (slots[places.astype(np.int64)] < 0).all(axis=0)
             for k in np.flatnonzero(good).tolist():
                 found = places[:, k].astype(np.int64)
@@ -77,7 +81,9 @@ class PerfectHash:
             if displacement < 0:
                 slot = -displacement - 1
             else:
-                slot = (((whole >> 64) + displacement * (low | 1)) & MASK) % size
+                place = ((whole >> 64) + displacement * STEP) & MASK
+                place = ((place ^ (place >> 32)) * (low | 1)) & MASK
+                slot = (place ^ (place >> 29)) % size
             return positions[slot] if blob[ends[slot] : ends[slot + 1]] == key else None
 
         return position
