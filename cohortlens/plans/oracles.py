@@ -566,6 +566,19 @@ add(
     f"SELECT code_module, count(*) AS zeilen, {n_if('klicks_gesamt = 0')} AS ohne_klicks FROM base GROUP BY 1",
 )
 add("report_materialised", f"SELECT code_module, {mean('s', 'n')} AS klicks_schnitt FROM module_totals")
+for name, other in (
+    ("report_view_means", "report_materialised"),
+    ("report_refreshed", "report_materialised"),
+    ("report_stored_counts", "report_counts"),
+):
+    ORACLES[name] = ORACLES[other]
+add(
+    "rebuild_counts",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS tabelle, count(*) AS zeilen FROM {TYPED[name]}"
+        for name in ("courses", "assessments", "vle", "student_info")
+    ),
+)
 add(
     "report_key_duplicates",
     """SELECT 'einschreibung' AS schluessel, 0::BIGINT AS doppelte UNION ALL

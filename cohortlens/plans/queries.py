@@ -28,11 +28,12 @@ from cohortlens.operators import (
 from cohortlens.session import cut_lineage, scratch_path
 from cohortlens.sources import csvfiles, standins
 from cohortlens.sources import schemas as S
-from cohortlens.sources.tables import create_view
+from cohortlens.sources.tables import create_view, read_tables, rebuild_database, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+REBUILT = ("courses", "assessments", "vle", "student_info")
 SELECTED = list(standins.SELECTED)
 MODEL_TYPES = ("ECONOMY", "PROMO")
 IMD_RANKS = {band: rank for rank, band in enumerate(standins.BANDS, 1)}
@@ -480,6 +481,41 @@ def report_materialised(spark, folder):
     return report.mean_clicks(stored_report(spark, folder))
 
 
+@query
+def report_view_means(spark, folder):
+    """The same means from the view, computed instead of read."""
+    return report.mean_clicks(view(spark, folder))
+
+
+@query
+def report_stored_counts(spark, folder):
+    return report.report_counts(stored_report(spark, folder))
+
+
+@query
+def report_refreshed(spark, folder):
+    """A report stored without the withdrawn enrolments, after its refresh from the whole source."""
+    current = enrolment_report(spark, folder)
+    older = current.where(F.col("final_result") != S.WITHDRAWN)
+    table, target = f"bericht_{uuid.uuid4().hex}", scratch_path(spark, "report")
+    report.materialise(older, table, target)
+    return report.mean_clicks(report.refresh(current, table, target))
+
+
+@query
+def rebuild_counts(spark, folder):
+    """Rows of tables whose database was built twice: the second run replaces the first."""
+    database, root = f"stand_{uuid.uuid4().hex}", scratch_path(spark, "database")
+    typed = {name: standins.TYPED[name](spark, folder) for name in REBUILT}
+    for _ in range(2):
+        rebuild_database(spark, database, root)
+        write_tables(typed, database)
+    stored = read_tables(spark, database, list(REBUILT))
+    return integrity.union_all(
+        [df.agg(F.count("*").alias("zeilen")).select(F.lit(name).alias("tabelle"), "zeilen") for name, df in stored.items()]
+    )
+
+
 @query
 def report_key_duplicates(spark, folder):
     """Key check on the report and, to have repetitions, on the report per person."""
