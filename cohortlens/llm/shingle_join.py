@@ -7,12 +7,13 @@ the overlaps. Only pairs that can reach the link threshold are multiplied out:
 2. The columns are cut into blocks by hash, their number following from the sizes: linked sets of a size
    class differ in at most so many shingles, hence agree on some whole block. Each row signs its strongest
    blocks; rows are brought together by signature (``signed`` to ``buckets``).
-3. Within a bucket the first row is multiplied with the others (a star, not all pairs). A byte per block
-   counts the blocks that differ, a lower bound of the difference; pairs above the bound that their sizes
-   allow are discarded, the others verified on the whole texts.
+3. Within a bucket the first row is multiplied with the others (a star, not all pairs). A sketch of the
+   row, a parity bit for each of many cells of its columns, accumulates a lower bound of the difference;
+   pairs above what their sizes allow are discarded, the others verified on the whole texts.
 4. The links so far give components. Only buckets that hold several components are multiplied further, all
-   pairs across components, in blocks of ``CHUNK`` rows; the byte count discards nearly all of them inside
-   the task, and what is left is verified. Pairs within a component cannot change the result.
+   pairs across components, in blocks of ``CHUNK`` rows; the sketches discard nearly all of them inside
+   the task, and what is left is verified: first as many pairs as would span a dense group, then, with the
+   components that gives, every pair still across. Pairs within a component cannot change the result.
 
 No link is lost: a linked pair shares a bucket, and every pair of a bucket is either within a component or
 tested. No pairs of copies are written out, and no list of documents, links or components reaches the
@@ -33,8 +34,10 @@ from xxhash import xxh3_64_intdigest
 from cohortlens.llm.common import text_or_empty
 from cohortlens.llm.components import components
 from cohortlens.llm.shingles import (
+    LINK,
     class_of,
     classes_of,
+    differing,
     linked,
     most_different,
     shingle_set,
@@ -50,6 +53,8 @@ CHUNK = 1024
 MAX_FREQUENT = 100_000
 #: A shingle in this part of the distinct sets of a batch, and in at least so many, counts as frequent.
 FREQUENT_SHARE, FREQUENT_LEAST = 0.005, 4
+#: Documents whose signatures are held at a time.
+DOCUMENTS_AT_ONCE = 256
 #: Class ids up to which the list of those to verify is broadcast; beyond, Spark joins as it sees fit.
 SMALL_LIST = 500_000
 
@@ -108,9 +113,9 @@ def signed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for texts in np.array_split(batch.column(0).to_pylist(), max(1, len(batch) // 256)):
+            for start in range(0, len(batch), DOCUMENTS_AT_ONCE):
                 found, nodes, sizes = [], [], []
-                for text in texts:
+                for text in batch.column(0).slice(start, DOCUMENTS_AT_ONCE).to_pylist():
                     members = shingle_set(text)
                     node = class_id(members)
                     if node not in seen:
@@ -224,24 +229,22 @@ def star_pairs(found: DataFrame, sketches: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            smaller = batch.column(2).to_pylist()
-            one, other = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             keep = [
-                np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)) <= most_different(m)
-                for x, y, m in zip(one, other, smaller)
+                differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= most_different(m, n)
+                for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6)))
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     smaller, larger = F.least("n", "first_n"), F.greatest("n", "first_n")
     pairs = cut_lineage(
-        found.where((F.col("first") != F.col("node")) & (100 * smaller >= 85 * larger))
-        .select(F.col("first").alias("a"), F.col("node").alias("b"), smaller.alias("smaller"))
+        found.where((F.col("first") != F.col("node")) & (100 * smaller >= LINK * larger))
+        .select(F.col("first").alias("a"), F.col("node").alias("b"), smaller.alias("smaller"), larger.alias("larger"))
         .distinct()
-        .mapInArrow(with_class, "a long, b long, smaller long, size_class long")
+        .mapInArrow(with_class, "a long, b long, smaller long, larger long, size_class long")
     )
     of_a, of_b = (sketches.select(F.col("node").alias(x), "size_class", F.col("bytes").alias(f"bytes_{x}")) for x in "ab")
     both = pairs.join(of_b, ["b", "size_class"]).join(of_a, ["a", "size_class"])
-    return cut_lineage(both.select("a", "b", "smaller", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long"))
+    return cut_lineage(both.select("a", "b", "smaller", "larger", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long"))
 
 
 def with_class(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +254,11 @@ def with_class(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, classes], [*batch.schema.names, "size_class"])
 
 
-def cross_pairs(found: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+def cross_pairs(found: DataFrame, labels: DataFrame, sketches: DataFrame, spanning: bool) -> DataFrame:
     """Pairs of classes of one bucket that are in different components and not ruled out, stored.
 
-    A bucket is dealt out in pairs of chunks, so a large one is spread over many tasks.
+    A bucket is dealt out in pairs of chunks, so a large one is spread over many tasks. With ``spanning``
+    only as many pairs as would join what they can join: of a dense group a row less than its members.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,12 +283,16 @@ def cross_pairs(found: DataFrame, labels: DataFrame, sketches: DataFrame) -> Dat
         bytes_ = np.stack([np.frombuffer(one, np.uint8) for one in rows.column("bytes").to_pylist()])
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        group = component.copy()
         found = []
         for x in a:
-            others = b[(node[b] > node[x]) & (component[b] != component[x])] if i == j else b[component[b] != component[x]]
+            others = b[(group[b] != group[x]) & ((node[b] > node[x]) | (i != j))]
             others = others[sizes_fit(n[x], n[others])]
-            differ = np.count_nonzero(bytes_[others] != bytes_[x], axis=1)
-            others = others[differ <= most_different(np.minimum(n[x], n[others]))]
+            others = others[differing(bytes_[others], bytes_[x]) <= most_different(n[x], n[others])]
+            if spanning and len(others):
+                groups, first = np.unique(group[others], return_index=True)
+                others = others[first]
+                group[np.isin(group, groups)] = group[x]
             found.extend((min(node[x], node[y]), max(node[x], node[y])) for y in others)
         if found:
             columns = [pa.array(column, pa.int64()) for column in zip(*set(found))]
@@ -324,15 +332,21 @@ def linked_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> Data
     sketches = cut_lineage(texts.select("node", F.explode("sketches").alias("s")).select("node", "s.*"))
     stars = verified(star_pairs(found, sketches), texts)
     labels = components(stars)
-    more = verified(cross_pairs(found, labels, sketches), texts)
-    if more.isEmpty():
+    for spanning in (True, False):
+        labels = with_links(labels, verified(cross_pairs(found, labels, sketches, spanning), texts))
+    return labels
+
+
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links (a, b) have joined components, stored."""
+    if links.isEmpty():
         return labels
-    label_of = {x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"}
-    between = more.join(label_of["a"], "a", "left").join(label_of["b"], "b", "left")
+    of_a, of_b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left")
     edges = between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
     joined = components(edges)
-    merged = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("merged")), "component", "left")
-    old = merged.select("node", F.coalesce("merged", "component").alias("component"))
+    renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    old = labels.join(renamed, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
     return cut_lineage(old.union(joined.join(labels, "node", "left_anti").select("node", "component")))
 
 

@@ -162,11 +162,19 @@ def signatures(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def sketch(members: np.ndarray, size_class: int) -> bytes:
-    """A byte of the content of each block. Blocks whose bytes differ, differ."""
-    edges = block_edges(members, blocks_of(size_class)[0])
-    return (block_contents(members, edges) >> np.uint64(56)).astype(np.uint8).tobytes()
+    """A bit per cell: whether an odd number of members fall into it. A member that only one of two sets
+    has changes one bit, so no more bits differ than members do, and with two cells for each member of
+    the largest set of the class hardly fewer."""
+    cells = 2 * (size_classes()[size_class + 1] - 1)
+    counts = np.bincount((mixed(members ^ BASE) % np.uint64(cells)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def most_different(smaller):
-    """In how many members, and so in how many blocks at most, a set linked to one of this size differs."""
-    return (100 - LINK) * smaller // LINK
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits sketches (rows of bytes) differ: at most as many as the sets' members that differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def most_different(a, b):
+    """In how many members linked sets of these sizes differ at most."""
+    return (100 - LINK) * (a + b) // (100 + LINK)
