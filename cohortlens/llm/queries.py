@@ -99,7 +99,7 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
-    return shingle_components(table(spark, folder, "documents"))
+    return shingle_components(table(spark, folder, "documents"), words=4, link=85)
 
 
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:

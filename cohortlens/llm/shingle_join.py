@@ -35,6 +35,7 @@ from cohortlens.llm.common import text_or_empty
 from cohortlens.llm.components import components
 from cohortlens.llm.shingles import (
     LINK,
+    SHINGLE_WORDS,
     class_of,
     classes_of,
     differing,
@@ -64,13 +65,13 @@ def class_id(members: np.ndarray) -> int:
     return xxh3_64_intdigest(members.tobytes()) - (1 << 63)
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, words: int) -> DataFrame:
     """Per row: ``doc_id``, ``n`` shingles, ``node`` (the class) and, on the first row of a batch, ``often``:
     the shingles that many distinct sets of the batch share, with the number of sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text) for text in batch.column(1).to_pylist()]
+            sets = [shingle_set(text, words) for text in batch.column(1).to_pylist()]
             nodes = [class_id(members) for members in sets]
             distinct = list(dict(zip(nodes, sets)).values())
             values, counts = np.unique(np.concatenate(distinct), return_counts=True) if distinct else ([], [])
@@ -106,7 +107,7 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([row["shingle"] for row in often.collect()], np.int64).astype(np.uint64))
 
 
-def signed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def signed(docs: DataFrame, frequent: np.ndarray, words: int, link: int) -> DataFrame:
     """Signature, class and size for each signed block; a task signs each class once."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -116,11 +117,11 @@ def signed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             for start in range(0, len(batch), DOCUMENTS_AT_ONCE):
                 found, nodes, sizes = [], [], []
                 for text in batch.column(0).slice(start, DOCUMENTS_AT_ONCE).to_pylist():
-                    members = shingle_set(text)
+                    members = shingle_set(text, words)
                     node = class_id(members)
                     if node not in seen:
                         seen.add(node)
-                        found.append(signatures(members, shared.value))
+                        found.append(signatures(members, shared.value, link))
                         nodes.append(node)
                         sizes.append(len(members))
                 times = [len(own) for own in found]
@@ -174,7 +175,7 @@ def buckets(signatures_: DataFrame) -> DataFrame:
     return signatures_.repartition("sig").mapInArrow(run, BUCKET)
 
 
-def listed(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+def listed(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int, link: int) -> DataFrame:
     """For the classes in ``nodes``: a text and the sketch per size class, stored.
 
     One document stands for a class. The list of those documents is broadcast if it is small.
@@ -186,11 +187,12 @@ def listed(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             nodes, texts, sketches = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                members = shingle_set(text)
+                members = shingle_set(text, words)
                 if class_id(members) == node:  # rows may repeat an id with another text
                     nodes.append(node)
                     texts.append(text)
-                    sketches.append([{"size_class": c, "bytes": sketch(members, c)} for c in classes_of(len(members))])
+                    own = classes_of(len(members), link)
+                    sketches.append([{"size_class": c, "bytes": sketch(members, c)} for c in own])
             kind = pa.list_(pa.struct([("size_class", pa.int64()), ("bytes", pa.binary())]))
             columns = [pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), pa.array(sketches, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "text", "sketches"])
@@ -201,7 +203,7 @@ def listed(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
     return cut_lineage(found.mapInArrow(run, schema).dropDuplicates(["node"]))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, link: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole texts are linked, stored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,12 +213,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if node not in held:
                 if len(held) >= 64:
                     held.clear()
-                held[node] = shingle_set(text)
+                held[node] = shingle_set(text, words)
             return held[node]
 
         for batch in batches:
             a, b, text_a, text_b = (column.to_pylist() for column in batch.columns)
-            keep = [linked(members(x, s), shingle_set(t)) for x, s, t in zip(a, text_a, text_b)]
+            keep = [linked(members(x, s), shingle_set(t, words), link) for x, s, t in zip(a, text_a, text_b)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     first, second = (texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}")) for name in "ab")
@@ -224,20 +226,20 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(both.mapInArrow(run, "a long, b long"))
 
 
-def star_pairs(found: DataFrame, sketches: DataFrame) -> DataFrame:
+def star_pairs(found: DataFrame, sketches: DataFrame, link: int) -> DataFrame:
     """The first class of each bucket with the others, less those that sizes or sketches rule out, stored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [
-                differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= most_different(m, n)
+                differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= most_different(m, n, link)
                 for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6)))
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     smaller, larger = F.least("n", "first_n"), F.greatest("n", "first_n")
     pairs = cut_lineage(
-        found.where((F.col("first") != F.col("node")) & (100 * smaller >= LINK * larger))
+        found.where((F.col("first") != F.col("node")) & (100 * smaller >= link * larger))
         .select(F.col("first").alias("a"), F.col("node").alias("b"), smaller.alias("smaller"), larger.alias("larger"))
         .distinct()
         .mapInArrow(with_class, "a long, b long, smaller long, larger long, size_class long")
@@ -254,7 +256,7 @@ def with_class(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, classes], [*batch.schema.names, "size_class"])
 
 
-def cross_pairs(found: DataFrame, labels: DataFrame, sketches: DataFrame, spanning: bool) -> DataFrame:
+def cross_pairs(found: DataFrame, labels: DataFrame, sketches: DataFrame, spanning: bool, link: int) -> DataFrame:
     """Pairs of classes of one bucket that are in different components and not ruled out, stored.
 
     A bucket is dealt out in pairs of chunks, so a large one is spread over many tasks. With ``spanning``
@@ -287,8 +289,8 @@ def cross_pairs(found: DataFrame, labels: DataFrame, sketches: DataFrame, spanni
         found = []
         for x in a:
             others = b[(group[b] != group[x]) & ((node[b] > node[x]) | (i != j))]
-            others = others[sizes_fit(n[x], n[others])]
-            others = others[differing(bytes_[others], bytes_[x]) <= most_different(n[x], n[others])]
+            others = others[sizes_fit(n[x], n[others], link)]
+            others = others[differing(bytes_[others], bytes_[x]) <= most_different(n[x], n[others], link)]
             if spanning and len(others):
                 groups, first = np.unique(group[others], return_index=True)
                 others = others[first]
@@ -325,15 +327,16 @@ def cross_pairs(found: DataFrame, labels: DataFrame, sketches: DataFrame, spanni
     )
 
 
-def linked_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+def linked_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, link: int) -> DataFrame:
     """Per class that is linked to another: ``node`` and ``component``, the smallest class of its component."""
-    found = cut_lineage(buckets(signed(docs, frequent_shingles(rows))))
-    texts = listed(docs, found.select("node").distinct(), classes)
+    found = cut_lineage(buckets(signed(docs, frequent_shingles(rows), words, link)))
+    texts = listed(docs, found.select("node").distinct(), classes, words, link)
     sketches = cut_lineage(texts.select("node", F.explode("sketches").alias("s")).select("node", "s.*"))
-    stars = verified(star_pairs(found, sketches), texts)
+    stars = verified(star_pairs(found, sketches, link), texts, words, link)
     labels = components(stars)
     for spanning in (True, False):
-        labels = with_links(labels, verified(cross_pairs(found, labels, sketches, spanning), texts))
+        across = cross_pairs(found, labels, sketches, spanning, link)
+        labels = with_links(labels, verified(across, texts, words, link))
     return labels
 
 
@@ -350,20 +353,20 @@ def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(old.union(joined.join(labels, "node", "left_anti").select("node", "component")))
 
 
-def shingle_components(docs: DataFrame) -> DataFrame:
+def shingle_components(docs: DataFrame, words: int = SHINGLE_WORDS, link: int = LINK) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``.
 
-    A text's set is its distinct runs of four words (all its words, if fewer). Sets are linked if their
-    intersection is at least 85 % of their union. ``component_id`` is the smallest id reachable by links.
+    A text's set is its distinct runs of ``words`` words (all its words, if fewer). Sets are linked if their
+    intersection is at least ``link`` percent of their union. ``component_id`` is the smallest id reachable by links.
 
     A NULL or empty text has an empty set, is linked with nothing and keeps its own id. Repeated rows and
     copies are linked. Rows that repeat an id with another text are linked only by their texts. NULL ids
     are passed over for the smallest, unless a component has no other. Other columns of ``docs`` are
     ignored. An empty table gives an empty table.
     """
-    rows = cut_lineage(measured(docs))
+    rows = cut_lineage(measured(docs, words))
     classes = cut_lineage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
-    labels = linked_classes(docs, rows, classes)
+    labels = linked_classes(docs, rows, classes, words, link)
     smallest = cut_lineage(
         classes.join(labels, "node").groupBy("component").agg(F.min("rep").alias("smallest"))
     )
@@ -378,13 +381,13 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, link: int = LINK) -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest id, and of rows that repeat it one.
 
     Documents without shingles all stay. The texts are not shuffled: rows to drop are found by id, and
     their list is broadcast if it is small.
     """
-    found = cut_lineage(shingle_components(docs))
+    found = cut_lineage(shingle_components(docs, words, link))
     dropped = cut_lineage(found.where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct())
     small = F.broadcast(dropped) if dropped.count() <= SMALL_LIST else dropped
     return docs.join(small, docs["doc_id"] == small["dropped_id"], "left_anti")

@@ -7,11 +7,12 @@ from functools import lru_cache
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
+#: Words of a shingle and link threshold in percent, unless a caller names others.
 SHINGLE_WORDS = 4
 #: Seeds of the hash of byte strings; any odd base and table will do.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTES = np.array([xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
-#: Links: 100 * intersection >= LINK * union.
+#: Links: 100 * intersection >= link * union.
 LINK = 85
 
 
@@ -58,7 +59,7 @@ def shingle_set(text: str, words: int = SHINGLE_WORDS) -> np.ndarray:
     starts = np.concatenate([[0], spaces + 1])
     ends = np.concatenate([spaces, [len(raw)]])
     if len(starts) > words:
-        starts, ends = starts[: 1 - words], ends[words - 1 :]
+        starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     return np.unique(mixed((sums[ends] - sums[starts]) * down[starts]))
@@ -75,14 +76,14 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[places] == a).sum())
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, link: int = LINK) -> bool:
     both = common(a, b)
-    return both > 0 and 100 * both >= LINK * (len(a) + len(b) - both)
+    return both > 0 and 100 * both >= link * (len(a) + len(b) - both)
 
 
-def sizes_fit(a, b):
+def sizes_fit(a, b, link: int = LINK):
     """Whether sets of these sizes may be linked: the union has the larger size at least."""
-    return 100 * np.minimum(a, b) >= LINK * np.maximum(a, b)
+    return 100 * np.minimum(a, b) >= link * np.maximum(a, b)
 
 
 @lru_cache(maxsize=1)
@@ -94,16 +95,16 @@ def size_classes() -> list[int]:
     return bounds
 
 
-def blocks_of(size_class: int) -> tuple[int, int]:
+def blocks_of(size_class: int, link: int = LINK) -> tuple[int, int]:
     """Number of blocks of a size class and how many of them a set signs.
 
-    If the smaller of two linked sets has ``m`` members, they differ in at most ``3 m / 17`` (15 of 85).
-    With more blocks than that, some block is the same in both; with ``spare`` more blocks each set may
+    If the smaller of two linked sets has ``m`` members, they differ in at most
+    ``(100 - link) / link * m`` (15 of 85, 20 of 80). With more blocks than that, some block is the same in both; with ``spare`` more blocks each set may
     leave its ``spare`` weakest blocks unsigned, and of the blocks that are the same the strongest is
     still signed by both.
     """
     largest = size_classes()[size_class + 1] - 1
-    differ = (100 - LINK) * largest // LINK
+    differ = (100 - link) * largest // link
     spare = 0 if differ == 0 else max(1, differ // 8)
     return differ + 1 + spare, differ + 1
 
@@ -113,16 +114,13 @@ def class_of(sizes):
     return np.searchsorted(size_classes(), sizes, side="right") - 1
 
 
-def classes_of(n: int) -> list[int]:
-    """The size classes in which a set of ``n`` members may meet a linked set: its own, and the one below
+def classes_of(n: int, link: int = LINK) -> list[int]:
+    """The size classes in which a set of ``n`` members may meet a linked set: its own, and those below
     if a set there can be linked to it. Classes in which linked sets are equal are left out."""
     if n == 0:
         return []
-    own = int(class_of(n))
-    classes = [own]
-    if own > 0 and 100 * (size_classes()[own] - 1) >= LINK * n:
-        classes.append(own - 1)
-    return [c for c in classes if blocks_of(c)[0] > 1]
+    lowest = int(class_of(max(1, -(-link * n // 100))))
+    return [c for c in range(int(class_of(n)), lowest - 1, -1) if blocks_of(c, link)[0] > 1]
 
 
 def block_edges(members: np.ndarray, blocks: int) -> np.ndarray:
@@ -139,7 +137,7 @@ def block_contents(members: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return mixed(sums[edges[1:]] - sums[edges[:-1]])
 
 
-def signatures(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def signatures(members: np.ndarray, frequent: np.ndarray, link: int = LINK) -> np.ndarray:
     """Hashes of the signed blocks of a sorted set, over its size classes.
 
     ``frequent`` holds sorted hashes of shingles that many documents share; a block is the stronger the
@@ -151,8 +149,8 @@ def signatures(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         rare = frequent[places] != members
     rares = np.concatenate([[0], np.cumsum(rare)])
     found = [np.empty(0, np.uint64)]
-    for size_class in classes_of(len(members)):
-        blocks, signed = blocks_of(size_class)
+    for size_class in classes_of(len(members), link):
+        blocks, signed = blocks_of(size_class, link)
         edges = block_edges(members, blocks)
         strength = (rares[edges[1:]] - rares[edges[:-1]]) * (len(members) + 1) + np.diff(edges)
         strongest = np.argsort(strength, kind="stable")[blocks - signed :]
@@ -175,6 +173,6 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def most_different(a, b):
+def most_different(a, b, link: int = LINK):
     """In how many members linked sets of these sizes differ at most."""
-    return (100 - LINK) * (a + b) // (100 + LINK)
+    return (100 - link) * (a + b) // (100 + link)

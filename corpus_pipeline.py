@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each stored before the next reads it.
 
 1. quality rules: documents that the base rules or the proven cutoffs reject go.
-2. near duplicates: one document of each group of linked ones stays.
+2. near duplicates: one document of each group of linked ones (five-word shingles, similarity from 0.8) stays.
 3. decontamination: benchmark passages are cut out; a document that is mostly benchmark goes.
 4. personal data: spans are replaced by what kind they are.
 5. token ids: byte-level BPE, with the decoded text beside the ids.
@@ -25,13 +25,16 @@ from cohortlens.llm.queries import BYTE_BPE
 from cohortlens.llm.shingle_join import one_of_each
 from cohortlens.session import cut_lineage
 
+#: Near copies of stage 2: words of a shingle, and intersection in percent of the union from which on.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -533,6 +533,55 @@ def test_linked_sets_share_a_signature(n):
             assert shingles.differing(one, other) <= len(a ^ b) <= shingles.most_different(len(a), len(b))
 
 
+def kept_by_force(texts: dict[int, str], words: int, percent: int) -> set[int]:
+    sets = {}
+    for i, text in texts.items():
+        own = text.lower().split()
+        sets[i] = {tuple(own[k : k + words]) for k in range(max(1, len(own) - words + 1))}
+    group = {i: i for i in texts}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            a, b = sets[i], sets[j]
+            if group[i] != group[j] and 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return set(group.values())
+
+
+def test_near_duplicates_stage_links_five_words_from_80_percent(spark, folder):
+    random = Random(80)
+    texts = {}
+    for n in (12, 30, 100, 400):
+        for group in range(8):
+            base = [f"g{n}x{group}w{k}" for k in range(n)]
+            for _ in range(4):
+                copy = list(base)
+                for _ in range(random.choice([0, 1, 1, 2, 2, max(2, n // 40)])):
+                    copy[random.randrange(n)] = f"u{random.getrandbits(40)}"
+                texts[len(texts)] = " ".join(copy)
+    # Five words: 86 of 106 are common; four words: 89 of 105, under 85 %.
+    base = [f"b{k}" for k in range(100)]
+    pair = {1000: " ".join(base), 1001: " ".join("new" + w if k in (30, 60) else w for k, w in enumerate(base))}
+    texts |= pair
+    assert kept_by_force(pair, 5, 80) == {1000} and kept_by_force(pair, 4, 85) == {1000, 1001}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {row["doc_id"] for row in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
+    assert kept == kept_by_force(texts, 5, 80) != kept_by_force(texts, 4, 85)
+
+
+@pytest.mark.parametrize("n", [4, 8, 17, 60, 200])
+def test_linked_sets_share_a_signature_at_80_percent(n):
+    random = Random(n)
+    none = np.empty(0, np.uint64)
+    for _ in range(200):
+        a = {random.getrandbits(64) for _ in range(n)}
+        b = set(random.sample(sorted(a), n - random.randint(0, n // 5))) | {random.getrandbits(64) for _ in range(n // 16)}
+        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        if a != b and shingles.linked(x, y, 80):
+            assert np.intersect1d(shingles.signatures(x, none, 80), shingles.signatures(y, none, 80)).size
+            assert len(a ^ b) <= shingles.most_different(len(a), len(b), 80)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 200), (300, 200), (-5, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
