@@ -27,11 +27,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from cohortlens.llm.common import text_or_empty
+from cohortlens.llm.common import packed, text_or_empty
 from cohortlens.llm.components import components
 from cohortlens.llm.shingles import (
     LINK,
@@ -66,12 +66,13 @@ def class_id(members: np.ndarray) -> int:
 
 
 def measured(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: ``doc_id``, ``n`` shingles, ``node`` (the class) and, on the first row of a batch, ``often``:
-    the shingles that many distinct sets of the batch share, with the number of sets."""
+    """Per row: ``doc_id``, ``mark`` (a hash of the text), ``n`` shingles, ``node`` (the class) and, on the
+    first row of a batch, ``often``: the shingles that many distinct sets of the batch share, with the number
+    of sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text, words) for text in batch.column(1).to_pylist()]
+            sets = [shingle_set(text, words) for text in batch.column(2).to_pylist()]
             nodes = [class_id(members) for members in sets]
             distinct = list(dict(zip(nodes, sets)).values())
             values, counts = np.unique(np.concatenate(distinct), return_counts=True) if distinct else ([], [])
@@ -81,17 +82,17 @@ def measured(docs: DataFrame, words: int) -> DataFrame:
             kind = pa.list_(pa.struct([("shingle", pa.int64()), ("sets", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array([len(members) for members in sets], pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array(lists, kind),
                 ],
-                ["doc_id", "n", "node", "often"],
+                ["doc_id", "mark", "n", "node", "often"],
             )
 
-    chosen = docs.select("doc_id", text_or_empty().alias("text"))
+    chosen = docs.select("doc_id", F.xxhash64("text").alias("mark"), text_or_empty().alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, node long, often array<struct<shingle:long,sets:long>>"
+    schema = f"doc_id {kind}, mark long, n long, node long, often array<struct<shingle:long,sets:long>>"
     return chosen.mapInArrow(run, schema)
 
 
@@ -163,12 +164,12 @@ def buckets(signatures_: DataFrame) -> DataFrame:
             fixed = (np.full(m, v, np.int64) for v in (class_of(sizes.min()), own[0], sizes[0], m))
             rows.append((np.full(m, bucket, np.int64), own, sizes, *fixed))
             if sum(len(row[0]) for row in rows[-64:]) > 1 << 14 or len(rows) >= 1 << 12:
-                yield packed(rows)
+                yield as_batch(rows)
                 rows = []
         if rows:
-            yield packed(rows)
+            yield as_batch(rows)
 
-    def packed(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def as_batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         columns = [pa.array(np.concatenate(column), pa.int64()) for column in zip(*rows)]
         return pa.RecordBatch.from_arrays(columns, [field.split()[0] for field in BUCKET.split(", ")])
 
@@ -180,7 +181,7 @@ def listed(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int, li
 
     One document stands for a class. The list of those documents is broadcast if it is small.
     """
-    wanted = cut_lineage(nodes.join(classes, "node").select("node", F.col("rep").alias("rep_id")))
+    wanted = cut_lineage(nodes.join(classes, "node").select("node", F.col("rep").alias("rep_id"), "rep_mark"))
     small = F.broadcast(wanted) if wanted.count() <= SMALL_LIST else wanted
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def listed(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int, li
             nodes, texts, sketches = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 members = shingle_set(text, words)
-                if class_id(members) == node:  # rows may repeat an id with another text
+                if class_id(members) == node:  # the hash of another text may be the same
                     nodes.append(node)
                     texts.append(text)
                     own = classes_of(len(members), link)
@@ -197,8 +198,9 @@ def listed(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int, li
             columns = [pa.array(nodes, pa.int64()), pa.array(texts, pa.string()), pa.array(sketches, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["node", "text", "sketches"])
 
-    chosen = docs.select("doc_id", text_or_empty().alias("text"))
-    found = chosen.join(small, chosen["doc_id"].eqNullSafe(small["rep_id"])).select("node", "text")
+    chosen = docs.select("doc_id", F.xxhash64("text").alias("mark"), text_or_empty().alias("text"))
+    same = [chosen["doc_id"].eqNullSafe(small["rep_id"]), chosen["mark"] == small["rep_mark"]]
+    found = chosen.join(small, same).select("node", "text")
     schema = "node long, text string, sketches array<struct<size_class:long,bytes:binary>>"
     return cut_lineage(found.mapInArrow(run, schema).dropDuplicates(["node"]))
 
@@ -353,6 +355,19 @@ def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(old.union(joined.join(labels, "node", "left_anti").select("node", "component")))
 
 
+def first_row() -> Column:
+    """The smallest (id, hash of the text) of a group's rows; a NULL id only if there is no other."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first")
+
+
+def classes_of_rows(rows: DataFrame) -> DataFrame:
+    """Per class that has shingles: ``node``, and id and text hash of the row that stands for it, stored."""
+    first = rows.where("n > 0").groupBy("node").agg(first_row())
+    return cut_lineage(
+        first.select("node", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("rep_mark"))
+    )
+
+
 def shingle_components(docs: DataFrame, words: int = SHINGLE_WORDS, link: int = LINK) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -365,7 +380,7 @@ def shingle_components(docs: DataFrame, words: int = SHINGLE_WORDS, link: int =
     ignored. An empty table gives an empty table.
     """
     rows = cut_lineage(measured(docs, words))
-    classes = cut_lineage(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
+    classes = classes_of_rows(rows)
     labels = linked_classes(docs, rows, classes, words, link)
     smallest = cut_lineage(
         classes.join(labels, "node").groupBy("component").agg(F.min("rep").alias("smallest"))
@@ -382,12 +397,34 @@ def shingle_components(docs: DataFrame, words: int = SHINGLE_WORDS, link: int =
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, link: int = LINK) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id, and of rows that repeat it one.
+    """``docs`` with one row of each component: of the smallest id, a NULL id only if the component has no other.
 
-    Documents without shingles all stay. The texts are not shuffled: rows to drop are found by id, and
-    their list is broadcast if it is small.
+    Rows are told apart by id and text, so of rows that repeat an id each stays or goes by its own text;
+    of rows equal in both one stays. Documents without shingles all stay. The texts are not shuffled but
+    for those repeated rows: rows to drop are found by id and a hash of the text, and their list is
+    broadcast if it is small.
     """
-    found = cut_lineage(shingle_components(docs, words, link))
-    dropped = cut_lineage(found.where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct())
-    small = F.broadcast(dropped) if dropped.count() <= SMALL_LIST else dropped
-    return docs.join(small, docs["doc_id"] == small["dropped_id"], "left_anti")
+    rows = cut_lineage(measured(docs, words))
+    classes = classes_of_rows(rows)
+    labels = linked_classes(docs, rows, classes, words, link)
+    kept = cut_lineage(
+        classes.select("node", F.col("rep").alias("doc_id"), F.col("rep_mark").alias("mark"))
+        .join(labels, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("component"))
+        .agg(first_row())
+        .select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"))
+    )
+    counted = rows.where("n > 0").groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
+    is_kept = [counted["doc_id"].eqNullSafe(kept["kept_id"]), counted["mark"] == kept["kept_mark"]]
+    judged = counted.join(kept, is_kept, "left").withColumn("drop", F.col("kept_mark").isNull())
+    found = cut_lineage(
+        judged.where("drop OR times > 1").select(F.col("doc_id").alias("found_id"), F.col("mark").alias("found_mark"), "drop")
+    )
+    small = F.broadcast(found) if found.count() <= SMALL_LIST else found
+    marked = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64("text").alias("mark"))
+    is_found = [marked["doc_id"].eqNullSafe(small["found_id"]), marked["mark"] == small["found_mark"]]
+    stays = marked.join(small, is_found, "left_anti").select("row.*")
+    if found.where("NOT drop").isEmpty():
+        return stays
+    repeated = marked.join(small.where("NOT drop"), is_found, "left_semi").dropDuplicates(["doc_id", "mark"])
+    return stays.unionByName(repeated.select("row.*"))

@@ -511,6 +511,23 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6, 7]
 
 
+def test_one_of_each_decides_per_row(spark):
+    a, b, c, d = (" ".join(f"{letter}{k}" for k in range(40)) for letter in "abcd")
+    rows = [(3, a), (7, a.upper()), (7, b), (3, a), (3, a), (8, b + " more"), (3, a + " x")]
+    rows += [(None, c)] * 50 + [(None, c + " y"), (None, a), (None, d), (9, d), (None, None), (None, ""), (9, d)]
+    rows += [(None, f"{c} {c[::-1]} {k}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x"))
+    for frame in (docs, docs.repartition(7)):
+        kept = one_of_each(frame)
+        assert kept.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        alike = {k: [(i, t) for i, t in got if t and t.startswith(k)] for k in ("a0", "b0", "c0", "d0")}
+        assert len(alike["a0"]) == 1 and alike["a0"][0][0] == 3
+        assert alike["b0"] == [(7, b)] and alike["d0"] == [(9, d)]
+        assert len(alike["c0"]) == 2 and all(i is None for i, _ in alike["c0"])  # c, and c with its reverse
+        assert len(got) == 7  # and the two without shingles
+
+
 @pytest.mark.parametrize("n", [8, 17, 60, 200])
 def test_linked_sets_share_a_signature(n):
     random = Random(n)
