@@ -1,16 +1,17 @@
 """Main text of web pages by differencing each page with the nearest page of its host.
 
 Pages of a site share what is not article: menus, notices, footers. Pages are ordered by host and
-path; consecutive ones form blocks of ``BLOCK`` pages, and a page is paired with the page of its block
-and host whose path is nearest in that order (the longer common path at ties, then the earlier).
-Their lines are aligned by longest common subsequence and the shared lines are deleted.
+path, and each is paired with the page of its host that is nearest in that order (the longer common path
+at ties, then the earlier) and no copy of it. Their lines are aligned by longest common subsequence and the
+shared lines are deleted.
 
-What a page's own mark-up settles is settled first, since the nearest page may be built from another
-template or be missing: elements that are by name, class or role a menu, header, footer, sidebar,
-notice, advert, form or comment are dropped, and if the page names its article (``article``, ``main``)
-only lines inside are taken and shared ones stay, as an article may appear under two addresses.
-Differencing decides for all lines of the other pages. A partner that shares most of a page's text is
-a copy of it, and the next nearest page is taken.
+A copy is told by its rare lines, those on at most a third of the host's pages: two pages are copies if
+more than half of the one's rare text is on the other too, or if neither has any. So an article under two
+addresses stays, however much menu surrounds it. Pages are compared in blocks of ``BLOCK``; a block sees
+the blocks beside it, and two pages of the host with different rare lines for pages amid copies.
+
+Elements that are by name, class or role a menu, header, footer, sidebar, notice, advert, form or comment
+are dropped first, and of a page that names its article (``article``, ``main``) the lines inside are taken.
 
 The heavy html is not shuffled: a first pass reduces each page to fingerprints of its lines, only those
 are ordered and paired, and the line numbers to delete are joined back.
@@ -33,7 +34,9 @@ from cohortlens.llm.page_lines import Line, page_lines
 from cohortlens.session import cut_lineage
 
 BLOCK = 32
-#: A partner sharing more than this part of a page's text is a copy of the page.
+#: A line on more than one in so many pages of a host belongs to the host.
+RARE_PART = 3
+#: A page with more than this part of another's rare text is a copy of it.
 COPY_SHARE = 0.5
 
 
@@ -43,7 +46,7 @@ def fingerprint(line: Line) -> int:
 
 
 def fingerprints(pages: DataFrame) -> DataFrame:
-    """Per page its key, host, path, whether it names its article, and fingerprint and length of its lines."""
+    """Per page its key, host, path, and for its lines whether they are in a named article, fingerprint and length."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,16 +54,16 @@ def fingerprints(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:4],
-                    pa.array([any(line.in_main for line in own) for own in lines], pa.bool_()),
+                    pa.array([[line.in_main for line in own] for own in lines], pa.list_(pa.bool_())),
                     pa.array([[fingerprint(line) for line in own] for own in lines], pa.list_(pa.int64())),
                     pa.array([[len(line.text) for line in own] for own in lines], pa.list_(pa.int32())),
                 ],
-                ["page", "content", "host", "path", "named", "lines", "sizes"],
+                ["page", "content", "host", "path", "main", "lines", "sizes"],
             )
 
     return keyed(pages).mapInArrow(
         run,
-        "page long, content long, host string, path string, named boolean, lines array<long>, sizes array<int>",
+        "page long, content long, host string, path string, main array<boolean>, lines array<long>, sizes array<int>",
     )
 
 
@@ -106,47 +109,88 @@ def ranked(light: DataFrame) -> DataFrame:
     )
 
 
-def partners(paths: list[str], own: int) -> list[int]:
-    """The other pages of a block and host, nearest in the order first."""
+def with_rare(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``rare``, the lines that at most one in ``RARE_PART`` pages of the host has.
+
+    The other lines are at most ``RARE_PART`` times as many a host as an average page has.
+    """
+    distinct = cut_lineage(pages.select("host", "page", "content", F.array_distinct("lines").alias("own")).distinct())
+    n_pages = distinct.groupBy("host").agg(F.count("*").alias("n_pages"))
+    counted = distinct.select("host", F.explode("own").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    common = (
+        counted.join(n_pages, "host")
+        .where(F.col("n") > F.floor(F.col("n_pages") / RARE_PART))
+        .groupBy("host")
+        .agg(F.collect_list("line").alias("common"))
+    )
+    none = F.array().cast("array<bigint>")
+    rare = F.array_sort(F.array_except("lines", F.coalesce("common", none)))
+    return cut_lineage(pages.join(cut_lineage(common), "host", "left").withColumn("rare", rare).drop("common"))
+
+
+def seen_by_blocks(pages: DataFrame) -> DataFrame:
+    """The rows that each block sees, with ``seen_by`` its number: its own, the two blocks beside it, and of
+    each of its hosts the pages of the smallest and the largest hash of the rare lines."""
+    columns = ["page", "content", "host", "path", "main", "lines", "sizes", "rare", "rank", "block"]
+    beside = F.explode(F.array(*(F.col("block") + k for k in (-1, 0, 1)))).alias("seen_by")
+    key = F.struct(F.xxhash64("rare").alias("hash"), "rank")
+    ends = pages.groupBy("host").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    ranks = ends.select("host", F.explode(F.array_distinct(F.array("low.rank", "high.rank"))).alias("rank"))
+    shown = pages.join(ranks, ["host", "rank"])
+    hosts = pages.select("host", F.col("block").alias("seen_by")).distinct()
+    return pages.select(*columns, beside).unionByName(shown.join(hosts, "host").select(*columns, "seen_by"))
+
+
+def is_copy(page: dict, other: dict) -> bool:
+    if not page["rare"] and not other["rare"]:
+        return True
+    held, sizes = set(other["rare"]), dict(zip(page["lines"], page["sizes"]))
+    shared = sum(sizes[line] for line in page["rare"] if line in held)
+    return shared > COPY_SHARE * sum(sizes[line] for line in page["rare"])
+
+
+def partner(pages: list[dict], page: dict) -> dict | None:
+    """The page nearest in the order that is no copy."""
 
-    def far(other: int) -> tuple[int, int, int]:
-        return abs(other - own), -len(commonprefix([paths[own], paths[other]])), other
+    def far(other: dict) -> tuple[int, int, int]:
+        return abs(other["rank"] - page["rank"]), -len(commonprefix([page["path"], other["path"]])), other["rank"]
 
-    return sorted((k for k in range(len(paths)) if k != own), key=far)
+    others = (other for other in sorted(pages, key=far) if other["rank"] != page["rank"] and other["lines"])
+    return next((other for other in others if not is_copy(page, other)), None)
 
 
-def shared_lines(lines: list[list[int]], sizes: list[list[int]], paths: list[str], own: int) -> list[int]:
-    """The numbers of the lines that page ``own`` shares with its partner."""
-    total = sum(sizes[own])
-    for other in partners(paths, own):
-        places = common_places(lines[own], lines[other])
-        if sum(sizes[own][place] for place in places) <= COPY_SHARE * total:
-            return places
-    return []
+def shared_lines(pages: list[dict], page: dict) -> list[int] | None:
+    """The numbers of the lines that a page shares with its partner; None if mark-up alone decides."""
+    other = None if any(page["main"]) else partner(pages, page)
+    if other is None:
+        return None
+    places = common_places(page["lines"], other["lines"])
+    inside = {place for place, in_main in enumerate(page["main"]) if in_main}
+    return None if inside and inside <= set(places) else places
 
 
 def deletions(light: DataFrame) -> DataFrame:
-    """Per page that does not name its article: its key and the numbers of the lines to delete."""
+    """Per page that the difference decides: its key and the numbers of the lines to delete."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if held and held[-1]["block"] != row["block"]:
+                if held and held[-1]["seen_by"] != row["seen_by"]:
                     yield from differenced(held)
                     held = []
                 held.append(row)
         yield from differenced(held)
 
     def differenced(block: list[dict]) -> Iterator[pa.RecordBatch]:
-        by_host: dict[str, list[dict]] = {}
+        by_host: dict[str, dict[int, dict]] = {}
         for row in block:
-            by_host.setdefault(row["host"], []).append(row)
+            by_host.setdefault(row["host"], {})[row["rank"]] = row
         found: list[tuple[int | None, int, list[int]]] = []
-        for pages in by_host.values():
-            lines, sizes, paths = ([page[name] for page in pages] for name in ("lines", "sizes", "path"))
-            for own, page in enumerate(pages):
-                if not page["named"] and (places := shared_lines(lines, sizes, paths, own)):
+        for by_rank in by_host.values():
+            pages = list(by_rank.values())
+            for page in pages:
+                if page["block"] == page["seen_by"] and (places := shared_lines(pages, page)) is not None:
                     found.append((page["page"], page["content"], places))
         if found:
             types = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
@@ -154,10 +198,9 @@ def deletions(light: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["page", "content", "deleted"])
 
     return (
-        ranked(light)
-        .repartition("block")
-        .sortWithinPartitions("block", "rank")
-        .select("page", "content", "host", "path", "named", "lines", "sizes", "block")
+        seen_by_blocks(with_rare(ranked(light)))
+        .repartition("seen_by")
+        .sortWithinPartitions("seen_by", "rank")
         .mapInArrow(run, "page long, content long, deleted array<int>")
         .dropDuplicates(["page", "content"])
     )
@@ -168,12 +211,12 @@ def main_text_of(htmls: pa.Array, deleted: pa.Array) -> pa.Array:
     texts = []
     for html, gone in zip(htmls.to_pylist(), deleted.to_pylist()):
         lines = page_lines(html)
-        if any(line.in_main for line in lines):
-            chosen = [line.text for line in lines if line.in_main]
-        else:
-            without = set(gone or ())
-            chosen = [line.text for k, line in enumerate(lines) if k not in without]
-        texts.append(" ".join(chosen))
+        without = set(gone or ())
+        kept = [line for k, line in enumerate(lines) if k not in without]
+        inside = [line for line in kept if line.in_main]
+        named = sum(len(line.text) for line in inside)
+        teaser = gone is not None and 2 * named < sum(len(line.text) for line in kept)
+        texts.append(" ".join(line.text for line in (inside if inside and not teaser else kept)))
     return pa.array(texts, pa.string())
 
 

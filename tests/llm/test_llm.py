@@ -221,6 +221,17 @@ def test_main_text_by_differencing(spark):
     assert deletions(fingerprints(pages)).where("page = 93").count() == 0
 
 
+def test_differencing_on_named_pages_and_across_blocks(spark):
+    menu = "".join(f"<div>menu entry {k} of the long shared list</div>" for k in range(20))
+    rows = [(k, f"http://heavy.example/{k:03d}", f"{menu}<p>short {k}</p>") for k in range(6)]
+    # More copies than three blocks hold, and the only other page of the host behind them.
+    rows += [(400, "http://run.example/zz", "<div>Top</div><p>another</p><div>End</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
+    assert [got[k] for k in range(6)] == [f"short {k}" for k in range(6)]
+    assert {got[200 + k] for k in range(120)} == {"copied article"} and got[400] == "another"
+
+
 # Personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
