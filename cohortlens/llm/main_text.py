@@ -3,15 +3,17 @@
 Pages of a site share what is not article: menus, notices, footers. Pages are ordered by host and
 path, and each is paired with the page of its host that is nearest in that order (the longer common path
 at ties, then the earlier) and no copy of it. Their lines are aligned by longest common subsequence and the
-shared lines are deleted.
+shared lines are deleted, inside a named article too.
 
 A copy is told by its rare lines, those on at most a third of the host's pages: two pages are copies if
 more than half of the one's rare text is on the other too, or if neither has any. So an article under two
 addresses stays, however much menu surrounds it. Pages are compared in blocks of ``BLOCK``; a block sees
 the blocks beside it, and two pages of the host with different rare lines for pages amid copies.
 
-Elements that are by name, class or role a menu, header, footer, sidebar, notice, advert, form or comment
-are dropped first, and of a page that names its article (``article``, ``main``) the lines inside are taken.
+Mark-up comes before and after: elements that are by name, class or role a menu, header, footer, sidebar,
+notice, advert, form or comment are dropped first. Of what the difference leaves, the lines inside the
+named article (``article``, ``main``) are taken if they are at least half of the text. Mark-up alone
+decides where there is no page to compare with or the difference leaves nothing of the named article.
 
 The heavy html is not shuffled: a first pass reduces each page to fingerprints of its lines, only those
 are ordered and paired, and the line numbers to delete are joined back.
@@ -161,7 +163,7 @@ def partner(pages: list[dict], page: dict) -> dict | None:
 
 def shared_lines(pages: list[dict], page: dict) -> list[int] | None:
     """The numbers of the lines that a page shares with its partner; None if mark-up alone decides."""
-    other = None if any(page["main"]) else partner(pages, page)
+    other = partner(pages, page)
     if other is None:
         return None
     places = common_places(page["lines"], other["lines"])

@@ -224,11 +224,17 @@ def test_main_text_by_differencing(spark):
 def test_differencing_on_named_pages_and_across_blocks(spark):
     menu = "".join(f"<div>menu entry {k} of the long shared list</div>" for k in range(20))
     rows = [(k, f"http://heavy.example/{k:03d}", f"{menu}<p>short {k}</p>") for k in range(6)]
+    rows += [(100 + k, f"http://n.example/{k:03d}", f"<main><div>Top</div><p>own {k} text</p><div>End</div></main>") for k in range(6)]
+    teaser = "<article>see also</article><div>Top</div><div>the text of this page stands in plain parts</div><div>End</div>"
+    rows.append((120, "http://n.example/002b", teaser))
     # More copies than three blocks hold, and the only other page of the host behind them.
+    rows += [(200 + k, f"http://run.example/{k:03d}", "<div>Top</div><p>copied article</p><div>End</div>") for k in range(120)]
     rows += [(400, "http://run.example/zz", "<div>Top</div><p>another</p><div>End</div>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in main_text(pages).collect()}
     assert [got[k] for k in range(6)] == [f"short {k}" for k in range(6)]
+    assert [got[100 + k] for k in range(6)] == [f"own {k} text" for k in range(6)]
+    assert "the text of this page stands in plain parts" in got[120]
     assert {got[200 + k] for k in range(120)} == {"copied article"} and got[400] == "another"
 
 
