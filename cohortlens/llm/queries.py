@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from cohortlens.llm import byte_bpe
 from cohortlens.llm.chat_format import format_chats, learned_text, read_chat
 from cohortlens.llm.common import table
+from cohortlens.llm.conversation_repair import conversation_repair
 from cohortlens.llm.decontaminate import contamination
 from cohortlens.llm.main_text import main_text
 from cohortlens.llm.pii import find_personal_data
 from cohortlens.llm.quality_rules import quality_rules
 from cohortlens.llm.shingle_join import shingle_components
+from cohortlens.llm.source_divergence import source_divergence
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.token_files import token_files
+from cohortlens.llm.toxicity import toxicity
 from cohortlens.llm.warc import archive_round_trip
 
 WORD_BPE = "word_bpe_49k.json"
@@ -118,6 +121,18 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair(table(spark, folder, "conversations"))
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_warc": op2_warc,
@@ -129,6 +144,9 @@ QUERIES = {
     "op8_shingle_join": op8_shingle_join,
     "op9_token_files": op9_token_files,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_toxicity": op12_toxicity,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: Twins of the queries that SQL can express.
@@ -177,4 +195,49 @@ ORACLES: dict[str, str] = {
         FROM e
         GROUP BY conv_id
     """,
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), w AS (
+            SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), dc AS (
+            SELECT doc, lang, source, term, count(*) AS n FROM w GROUP BY ALL
+        ), kept AS (
+            SELECT lang, term FROM dc GROUP BY lang, term HAVING count(*) >= 30
+        ), v AS (
+            SELECT lang, count(*) AS v FROM kept GROUP BY lang
+        ), c AS (
+            SELECT lang, source, term, sum(n)::HUGEINT AS c FROM dc JOIN kept USING (lang, term) GROUP BY ALL
+        ), g AS (
+            SELECT lang, source, coalesce(any_value(n), 0)::HUGEINT AS n, coalesce(any_value(v), 0)::HUGEINT AS v
+            FROM (SELECT DISTINCT lang, source FROM d)
+            LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) USING (lang, source)
+            LEFT JOIN v USING (lang)
+            GROUP BY lang, source
+        ), p AS (
+            SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c,
+                1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (g.n + 5 * g.v) AS p
+            FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+        ), q AS (
+            SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v) AS q
+            FROM (SELECT lang, term, sum(c)::HUGEINT AS c FROM c GROUP BY ALL)
+            JOIN (SELECT lang, sum(n)::HUGEINT AS n, max(v) AS v FROM g GROUP BY lang) USING (lang)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f
+            FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY ALL
+        ), parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+            FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+            UNION ALL
+            SELECT p.lang, p.source, 'term', p.term, CAST(p.p - q.q AS BIGINT)
+            FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q
+        )
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+        FROM parts
+        QUALIFY part = 'pair' OR rank <= 50
+    """,
 }
