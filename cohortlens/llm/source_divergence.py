@@ -25,6 +25,7 @@ number of different terms.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,22 +35,46 @@ from pyspark.sql.window import Window
 from cohortlens.llm.common import text_or_empty
 from cohortlens.session import scratch_path
 
-#: What separates terms: everything in ASCII that is no letter.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Per UTF-8 byte: ASCII letters in lower case, bytes of other characters as they are, the rest separates.
+LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
 MIN_DF, SMOOTHING, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 LARGEST_INT = 2**31 - 1
-#: Stands between language and term; no term contains it.
-MARK = "\x00"
+#: Stands between a language (in hexadecimal) and a term; neither contains it, nor a space.
+MARK = ":"
 
 #: A stored sparse vector, read back as plain columns.
 VECTOR = StructType([StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
 
 
-def terms_of(column: str) -> Column:
-    """The terms of a text in order; a text without terms has none."""
-    parts = F.split(F.translate(text_or_empty(column), UPPER, LOWER), BETWEEN)
-    return F.filter(parts, lambda part: part != "")
+def tagged(texts: pa.Array, tags: pa.Array, once: bool) -> pa.Array:
+    """The terms of each text in order (``once``: each only once), behind the text's tag, separated by spaces."""
+    out = []
+    for text, tag in zip(texts.cast(pa.binary()).to_pylist(), tags.cast(pa.binary()).to_pylist()):
+        terms = text.translate(LETTERS).split()
+        out.append((b" " + tag).join([b"", *(dict.fromkeys(terms) if once else terms)])[1:])
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
+@F.arrow_udf(StringType())
+def all_terms(texts: pa.Array, tags: pa.Array) -> pa.Array:
+    return tagged(texts, tags, once=False)
+
+
+@F.arrow_udf(StringType())
+def different_terms(texts: pa.Array, tags: pa.Array) -> pa.Array:
+    return tagged(texts, tags, once=True)
+
+
+def terms_of(docs: DataFrame, cut) -> DataFrame:
+    """``lang``, ``source`` and ``terms``, an array of tagged terms; empty for a text without terms."""
+    lang = text_or_empty("lang")
+    joined = cut(text_or_empty("text"), F.concat(F.hex(lang), F.lit(MARK)))
+    return docs.select(
+        lang.alias("lang"),
+        text_or_empty("source").alias("source"),
+        F.array_remove(F.split(joined, " "), "").alias("terms"),
+    )
 
 
 def vectorised(docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
@@ -58,23 +83,19 @@ def vectorised(docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     ``min_df`` rows with one term of their own keep the vocabulary from being empty, which the fit refuses.
     """
     spark = docs.sparkSession
-    tagged = docs.select(
-        text_or_empty("lang").alias("lang"),
-        text_or_empty("source").alias("source"),
-        F.transform(terms_of("text"), lambda term: F.concat(text_or_empty("lang"), F.lit(MARK), term)).alias("terms"),
-    )
     filler = spark.range(0, min_df, 1, 1).select(F.array(F.lit(MARK)).alias("terms"))
     vectorizer = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT)
-    model = vectorizer.fit(tagged.select("terms").unionByName(filler))
-    words = pd.Series(model.vocabulary, dtype="object")
-    # A language may contain the mark, a term cannot: the last one separates.
-    split = [word.rpartition(MARK) for word in words]
-    vocabulary = spark.createDataFrame(
-        pd.DataFrame({"index": range(len(split)), "lang": [s[0] for s in split], "term": [s[2] for s in split]}),
-        "index int, lang string, term string",
-    ).where("term <> ''")
+    # A document frequency counts a term of a document once, however often it occurs there.
+    model = vectorizer.fit(terms_of(docs, different_terms).select("terms").unionByName(filler))
+    words = pd.DataFrame({"index": range(len(model.vocabulary)), "word": model.vocabulary})
+    parts = F.split("word", MARK)
+    vocabulary = (
+        spark.createDataFrame(words, "index int, word string")
+        .where(F.col("word") != MARK)
+        .select("index", F.unhex(parts[0]).cast("string").alias("lang"), parts[1].alias("term"))
+    )
     folder = scratch_path(spark, "vectors")
-    model.transform(tagged).select("lang", "source", "counts").write.parquet(folder)
+    model.transform(terms_of(docs, all_terms)).select("lang", "source", "counts").write.parquet(folder)
     schema = StructType([StructField("lang", StringType()), StructField("source", StringType()), StructField("counts", VECTOR)])
     return spark.read.schema(schema).parquet(folder), vocabulary
 
