@@ -1,9 +1,10 @@
 """How far the sources of a language differ in their words, and which words make a source stand out.
 
-A ``CountVectorizer`` with a minimum document frequency and no limit on the vocabulary turns every text
-into an exact sparse count vector. A term is counted under its language, so that one fit gives each
-language its own vocabulary, however many languages there are. The vectors are summed per source and
-term like ``Summarizer`` does, but without its dense buffer per group: only occurring terms are rows.
+A ``CountVectorizer`` with a minimum document frequency and no limit on the vocabulary says which terms
+count, and every text becomes an exact sparse count vector over them. A term is counted under its
+language, so that one fit gives each language its own vocabulary, however many languages there are. The
+vectors are summed per source and term like ``Summarizer`` does, but without its dense buffer per group:
+only occurring terms are rows.
 
 A group's probability of a term is an integer of billionths, ``1 + floor(10^9 (count + 5) / (N + 5 V))``,
 so a term that does not occur has a positive one too, the same for all of them: the group's floor.
@@ -15,7 +16,7 @@ The distance of two groups over the whole vocabulary is then evaluated sparsely:
 
 The second line needs only how many terms of a group have which probability, a short list by Zipf's law;
 only the third joins terms, and each pair of groups is summed in the map stage. All numbers are integers
-held in decimals or longs; doubles occur only as counts of a term in one document.
+held in decimals or longs.
 
 The vocabulary (terms in at least ``min_df`` documents of a language) is held by the driver and sent to
 the executors: that is how ``CountVectorizer`` works, and it is the one thing here that grows with the
@@ -24,16 +25,21 @@ number of different terms.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import repeat
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from cohortlens.llm.common import text_or_empty
-from cohortlens.session import scratch_path
+from cohortlens.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Per UTF-8 byte: ASCII letters in lower case, bytes of other characters as they are, the rest separates.
@@ -43,61 +49,81 @@ LARGEST_INT = 2**31 - 1
 #: Stands between a language (in hexadecimal) and a term; neither contains it, nor a space.
 MARK = ":"
 
-#: A stored sparse vector, read back as plain columns.
-VECTOR = StructType([StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
-
 
-def tagged(texts: pa.Array, tags: pa.Array, once: bool) -> pa.Array:
-    """The terms of each text in order (``once``: each only once), behind the text's tag, separated by spaces."""
+@F.arrow_udf(StringType())
+def different_terms(texts: pa.Array, tags: pa.Array) -> pa.Array:
+    """The terms of each text, each once and behind the text's tag, separated by spaces."""
     out = []
     for text, tag in zip(texts.cast(pa.binary()).to_pylist(), tags.cast(pa.binary()).to_pylist()):
-        terms = text.translate(LETTERS).split()
-        out.append((b" " + tag).join([b"", *(dict.fromkeys(terms) if once else terms)])[1:])
+        out.append((b" " + tag).join([b"", *dict.fromkeys(text.translate(LETTERS).split())])[1:])
     return pa.array(out, pa.binary()).cast(pa.string())
 
 
-@F.arrow_udf(StringType())
-def all_terms(texts: pa.Array, tags: pa.Array) -> pa.Array:
-    return tagged(texts, tags, once=False)
+def tag_of(lang: Column) -> Column:
+    return F.concat(F.hex(lang), F.lit(MARK))
 
 
-@F.arrow_udf(StringType())
-def different_terms(texts: pa.Array, tags: pa.Array) -> pa.Array:
-    return tagged(texts, tags, once=True)
+def kept_terms(docs: DataFrame, min_df: int) -> list[str]:
+    """The tagged terms in at least ``min_df`` documents of their language: a ``CountVectorizer``'s vocabulary.
+
+    ``min_df`` rows with one term of their own keep the vocabulary from being empty, which the fit
+    refuses. A document frequency counts a term of a document once, however often it occurs there, so
+    the fit gets each only once.
+    """
+    spark = docs.sparkSession
+    joined = different_terms(text_or_empty("text"), tag_of(text_or_empty("lang")))
+    terms = docs.select(F.array_remove(F.split(joined, " "), "").alias("terms"))
+    filler = spark.range(0, min_df, 1, 1).select(F.array(F.lit(MARK)).alias("terms"))
+    vectorizer = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT)
+    return vectorizer.fit(terms.unionByName(filler)).vocabulary
 
 
-def terms_of(docs: DataFrame, cut) -> DataFrame:
-    """``lang``, ``source`` and ``terms``, an array of tagged terms; empty for a text without terms."""
+def sparse_vectors(docs: DataFrame, words: list[str]) -> DataFrame:
+    """Per document ``lang``, ``source`` and its sparse count vector over ``words``: ``indices`` and ``counts``; stored.
+
+    What the vectorizer's own model gives, with whole numbers: built in Arrow batches from counted terms,
+    since the model looks up every occurrence of a term as a string of its own.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index_of: dict[bytes, dict[bytes, int]] = {}
+        for index, word in enumerate(shared.value):
+            tag, _, term = word.encode().partition(MARK.encode())
+            index_of.setdefault(tag, {})[term] = index
+        for batch in batches:
+            indices, counts, ends = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [0]
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for text, tag in zip(texts, batch.column(3).cast(pa.binary()).to_pylist()):
+                found = Counter(text.translate(LETTERS).split())
+                known = index_of.get(tag[: -len(MARK)], {})
+                own = np.fromiter(map(known.get, found, repeat(-1)), np.int32, len(found))
+                times = np.fromiter(found.values(), np.int64, len(found))
+                kept = np.flatnonzero(own >= 0)
+                kept = kept[np.argsort(own[kept])]
+                indices.append(own[kept])
+                counts.append(times[kept])
+                ends.append(ends[-1] + len(kept))
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat))) for flat in (indices, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["lang", "source", "indices", "counts"])
+
     lang = text_or_empty("lang")
-    joined = cut(text_or_empty("text"), F.concat(F.hex(lang), F.lit(MARK)))
-    return docs.select(
-        lang.alias("lang"),
-        text_or_empty("source").alias("source"),
-        F.array_remove(F.split(joined, " "), "").alias("terms"),
+    chosen = docs.select(
+        lang.alias("lang"), text_or_empty("source").alias("source"), text_or_empty("text").alias("text"), tag_of(lang).alias("tag")
     )
+    return cut_lineage(chosen.mapInArrow(run, "lang string, source string, indices array<int>, counts array<long>"))
 
 
-def vectorised(docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """Per document ``lang``, ``source`` and its sparse counts; and the vocabulary: ``index``, ``lang``, ``term``.
-
-    ``min_df`` rows with one term of their own keep the vocabulary from being empty, which the fit refuses.
-    """
-    spark = docs.sparkSession
-    filler = spark.range(0, min_df, 1, 1).select(F.array(F.lit(MARK)).alias("terms"))
-    vectorizer = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT)
-    # A document frequency counts a term of a document once, however often it occurs there.
-    model = vectorizer.fit(terms_of(docs, different_terms).select("terms").unionByName(filler))
-    words = pd.DataFrame({"index": range(len(model.vocabulary)), "word": model.vocabulary})
+def vocabulary_of(docs: DataFrame, words: list[str]) -> DataFrame:
+    """``index``, ``lang`` and ``term`` of the kept terms."""
+    table = pd.DataFrame({"index": range(len(words)), "word": words})
     parts = F.split("word", MARK)
-    vocabulary = (
-        spark.createDataFrame(words, "index int, word string")
+    return (
+        docs.sparkSession.createDataFrame(table, "index int, word string")
         .where(F.col("word") != MARK)
         .select("index", F.unhex(parts[0]).cast("string").alias("lang"), parts[1].alias("term"))
     )
-    folder = scratch_path(spark, "vectors")
-    model.transform(terms_of(docs, all_terms)).select("lang", "source", "counts").write.parquet(folder)
-    schema = StructType([StructField("lang", StringType()), StructField("source", StringType()), StructField("counts", VECTOR)])
-    return spark.read.schema(schema).parquet(folder), vocabulary
 
 
 def whole(column: Column) -> Column:
@@ -110,19 +136,12 @@ def probability(count: Column, total: Column, terms: Column) -> Column:
     return F.when(terms > 0, 1 + F.call_function("div", top, (total + SMOOTHING * terms).cast("decimal(20,0)")))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def term_counts(vectors: DataFrame) -> DataFrame:
     """Occurrences per ``lang``, ``source`` and term ``index``, summed in the map stage first."""
-    entry = F.explode(F.arrays_zip("counts.indices", "counts.values")).alias("entry")
     return (
-        vectors.select("lang", "source", entry)
+        vectors.select("lang", "source", F.explode(F.arrays_zip("indices", "counts")).alias("entry"))
         .groupBy("lang", "source", F.col("entry.indices").alias("index"))
-        .agg(F.sum(F.col("entry.values").cast("long")).alias("count"))
+        .agg(F.sum("entry.counts").alias("count"))
     )
 
 
@@ -177,26 +196,25 @@ def source_divergence(docs: DataFrame, min_df: int = MIN_DF, top_terms: int = TO
     rows count each; a language without kept terms has distances 0 and no terms; a language with one source
     has no pairs. Other columns are ignored. An empty table gives an empty table.
     """
-    vectors, vocabulary = vectorised(docs, min_df)
-    counted = stored(term_counts(vectors), "counts")
+    words = kept_terms(docs, min_df)
+    vectors, vocabulary = sparse_vectors(docs, words), vocabulary_of(docs, words)
+    counted = cut_lineage(term_counts(vectors))
     terms = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
     totals = counted.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     no_terms = F.coalesce("terms", F.lit(0))
-    groups = stored(
+    groups = cut_lineage(
         vectors.select("lang", "source")
         .distinct()
         .join(totals, ["lang", "source"], "left")
         .join(terms, "lang", "left")
         .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), no_terms.alias("terms"))
         .withColumn("floor", probability(F.lit(0), F.col("total"), F.col("terms"))),
-        "groups",
     )
-    likely = stored(
+    likely = cut_lineage(
         counted.join(groups, ["lang", "source"]).select(
             "lang", "source", "index", "count", "floor",
             probability(F.col("count"), F.col("total"), F.col("terms")).alias("p"),
         ),
-        "likely",
     )
     # Distances need a floor; without kept terms there is none, and no distance either.
     pairs = pair_values(groups.withColumn("floor", F.coalesce("floor", F.lit(0))), likely)
