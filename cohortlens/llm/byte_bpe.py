@@ -4,7 +4,8 @@ A text is cut into pre-tokens by the pattern. Tier one resolves a whole pre-toke
 vocabulary by a minimal perfect hash, broadcast as flat arrays (its size is that of the vocabulary).
 Tier two merges the bytes of any other pre-token: the bytes form a linked list, a heap holds the rank
 of each neighbouring pair, and the pair of lowest rank, leftmost at ties, is merged until no pair has
-a rank. Each worker keeps the ids of recent pieces in bounded caches. Rows never leave their task.
+a rank. Each worker process keeps the ids of recent pieces in bounded caches, also from one task to the
+next. Rows never leave their task.
 """
 
 from __future__ import annotations
@@ -135,6 +136,26 @@ class ByteEncoder:
         return self.cut(first) + b"".join(map(self.after_space.__getitem__, rest))
 
 
+#: The encoder and the decoder's tokens of this worker process, the last ones used. Only functions of this
+#: module may name them: a function that is sent to the workers would bring a copy along.
+ENCODERS: dict[tuple[str, str], ByteEncoder] = {}
+TOKENS: dict[str, pa.BinaryArray] = {}
+
+
+def held_encoder(path: str, pattern: str, vocabulary) -> ByteEncoder:
+    if (path, pattern) not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[path, pattern] = ByteEncoder(vocabulary.value, pattern)
+    return ENCODERS[path, pattern]
+
+
+def held_tokens(path: str, vocabulary) -> pa.BinaryArray:
+    if path not in TOKENS:
+        TOKENS.clear()
+        TOKENS[path] = vocabulary.value.array()
+    return TOKENS[path]
+
+
 def encode(
     docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -148,7 +169,7 @@ def encode(
     id_type = chosen.schema[0].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(vocabulary.value, pattern)
+        encoder = held_encoder(path, pattern, vocabulary)
         for batch in batches:
             packed = [encoder.packed(text) for text in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(ids) // 4 for ids in packed)]).astype(np.int32)
@@ -165,7 +186,7 @@ def decoder(spark, path: str):
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = vocabulary.value.array()
+        tokens = held_tokens(path, vocabulary)
         for batch in batches:
             taken = tokens.take(batch.flatten())
             if taken.null_count:

@@ -23,7 +23,7 @@ WORD_END = "</w>"
 
 
 class LengthTable:
-    """Lengths of pre-tokens as two flat buffers; each worker unfolds them into a hash table once."""
+    """Lengths of pre-tokens as two flat buffers; each worker process unfolds them into a hash table once."""
 
     def __init__(self, lengths: dict[str, int]) -> None:
         self.words = "\n".join(lengths).encode()
@@ -51,14 +51,12 @@ def frequent_lengths(path: str) -> LengthTable:
     return LengthTable(lengths)
 
 
-def token_counter(spark, path: str):
-    """A Pandas UDF from a text to its number of tokens, without begin, end or added special tokens."""
-    frequent = spark.sparkContext.broadcast(frequent_lengths(path))
+class Counter:
+    """Token counts of chunks: the table first, then a cache of what the library says."""
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = encoder(path)
-        table = frequent.value.unfold()
+    def __init__(self, path: str, frequent: LengthTable) -> None:
+        words, table = encoder(path), frequent.unfold()
+        by_word = TwoGenerations(lambda word: len(words.pre_token_ids(word)))
 
         def miss(chunk: str) -> int:
             parts = pre_tokens(chunk)
@@ -66,9 +64,28 @@ def token_counter(spark, path: str):
                 return len(words.chunk_ids(chunk))
             return sum(table.get(part) or by_word[part] for part in parts)
 
-        by_word = TwoGenerations(lambda word: len(words.pre_token_ids(word)))
-        by_chunk = TwoGenerations(miss)
-        length = by_chunk.__getitem__
+        self.by_chunk = TwoGenerations(miss)
+
+
+#: The counter of this worker process, by vocabulary file; its caches stay from one task to the next.
+COUNTERS: dict[str, Counter] = {}
+
+
+def held_counter(path: str, frequent) -> Counter:
+    """Not inside the UDF: that would bring a copy of ``COUNTERS`` along."""
+    if path not in COUNTERS:
+        COUNTERS.clear()
+        COUNTERS[path] = Counter(path, frequent.value)
+    return COUNTERS[path]
+
+
+def token_counter(spark, path: str):
+    """A Pandas UDF from a text to its number of tokens, without begin, end or added special tokens."""
+    frequent = spark.sparkContext.broadcast(frequent_lengths(path))
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        length = held_counter(path, frequent).by_chunk.__getitem__
         for texts in batches:
             yield pd.Series([sum(map(length, chunks(text))) for text in texts], dtype="int64")
 

@@ -134,6 +134,20 @@ class Shard:
     index_columns = ("doc_id", "start", "n_tokens")
 
 
+#: Ids of recent chunks of this worker process, by vocabulary and width; they stay from task to task.
+PACKED: dict[tuple[str, str], TwoGenerations] = {}
+
+
+def packed_chunks(tokenizer_path: str, code: str) -> TwoGenerations:
+    """Chunk to its packed ids, held by the worker process for the last vocabulary used."""
+    key = tokenizer_path, code
+    if key not in PACKED:
+        PACKED.clear()
+        words = encoder(tokenizer_path)
+        PACKED[key] = TwoGenerations(lambda chunk: array(code, words.chunk_ids(chunk)).tobytes())
+    return PACKED[key]
+
+
 def write_tokens(
     docs: DataFrame,
     tokenizer_path: str,
@@ -165,7 +179,7 @@ def write_tokens(
         words = encoder(tokenizer_path)
         dtype = id_type(words.library.get_vocab_size())
         code = "H" if dtype == np.uint16 else "I"
-        packed = TwoGenerations(lambda chunk: array(code, words.chunk_ids(chunk)).tobytes()).__getitem__
+        packed = packed_chunks(tokenizer_path, code).__getitem__
         end = array(code, [end_id]).tobytes()
         context = TaskContext.get()
         shard = context.partitionId()
