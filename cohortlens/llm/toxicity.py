@@ -135,16 +135,22 @@ class Marks:
 HELD: dict[tuple, Marks] = {}
 
 
+def held_marks(key: tuple) -> Marks:
+    """Not inside the UDF: that would bring a copy of ``HELD`` along."""
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = Marks(dict(key))
+    return HELD[key]
+
+
 def features_of(lexicon: dict[str, float], texts: Column) -> Column:
     key = tuple(sorted(lexicon.items()))
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in HELD:
-            HELD.clear()
-            HELD[key] = Marks(dict(key))
+        marks = held_marks(key)
         for batch in batches:
-            yield pd.Series([HELD[key].features(text) for text in batch], dtype="object")
+            yield pd.Series([marks.features(text) for text in batch], dtype="object")
 
     return array_to_vector(measured(texts))
 
