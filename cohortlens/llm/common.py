@@ -36,9 +36,25 @@ def ship_code(spark: SparkSession) -> None:
     SHIPPED.add(application)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table, for operators whose Python tasks need this package on the workers."""
+#: Rows of whole texts that go to a Python task at once.
+ROWS_AT_ONCE = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the session ready for Python tasks on whole texts: code on the workers, and small batches.
+
+    Spark bounds an Arrow batch by rows only; ten thousand long texts are more than a worker should hold.
+    A smaller bound that is set already stays.
+    """
     ship_code(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ROWS_AT_ONCE:
+        spark.conf.set(setting, ROWS_AT_ONCE)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A test table, for operators whose Python tasks work on whole texts."""
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

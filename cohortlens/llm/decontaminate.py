@@ -1,29 +1,37 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items' words.
 
-Items are normalised to words. The automaton of all items (a state per class of word sequences with
-the same ends) is built on blocks of items of bounded size and broadcast. Documents stream through it
-in the map stage: after each word the automaton gives the longest sequence ending there that occurs in
-an item. Where that length reaches the window, the window's words are hit. Several blocks take several
-passes over the rows, each adding its hits; nothing is shuffled.
+Items are normalised to words and dealt to blocks of bounded size; a very long item is dealt in pieces
+that overlap by a window less one word, which have the same windows. A task builds the generalised
+automaton of a block (a state per class of word sequences with the same ends) and stores it in the shared
+folder. Documents stream through the automata in one map stage: after each word an automaton gives the
+longest sequence ending there that occurs in an item. Where that length reaches the window, the window's
+words are hit. A worker process holds one automaton; with several blocks it takes them in turn for each
+portion of documents. No text is shuffled, and the driver sees only the names of the stored automata.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from cohortlens.llm.common import packed, text_or_empty
+from cohortlens.llm.common import open_folder, text_or_empty
+from cohortlens.session import cut_lineage, scratch_path
 
 WINDOW = 10
-#: Characters of items in one automaton; bounds what is broadcast and held by a worker.
+#: Characters of items in one automaton, and words of an item's piece; they bound what a worker holds.
 BLOCK_CHARS = 2_000_000
+PIECE_WORDS = 50_000
+#: Bytes of documents that go through one automaton before the next is loaded.
+PORTION_BYTES = 32_000_000
 MAX_COVERAGE = 0.5
 
 #: Bytes to the same bytes in lower case (A-Z only), all that separates words to spaces.
@@ -155,48 +163,112 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return joined
 
 
-def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items with words, in blocks of about ``block_chars`` characters, one at a time."""
+def pieces(words: list[bytes], window: int, size: int) -> Iterator[list[bytes]]:
+    """``words`` in pieces with the same windows: each but the last ``size`` words longer than its step."""
+    step = max(size, window)
+    first = 0
+    while len(words) - first > step + window - 1:
+        yield words[first : first + step + window - 1]
+        first += step
+    yield words[first:]
+
+
+def stored_automata(items: DataFrame, window: int, block_chars: int, piece_words: int = PIECE_WORDS) -> tuple[str, list[str]]:
+    """The folder and the names of the automata of all blocks of items with words."""
+    spark = items.sparkSession
+    folder = scratch_path(spark, "automata")
     chosen = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), text_or_empty().alias("text")
     )
     chars = chosen.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = 1 + chars // block_chars
-    for block in range(n_blocks):
-        part = chosen.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        yield [(row["item_id"], words_of(row["text"])) for row in part.toLocalIterator()]
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = [b" ".join(piece).decode() for piece in pieces(words_of(text), window, piece_words)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts)), pa.array(parts)], ["item_id", "text"])
+
+    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (pair for batch in batches for pair in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()))
+        automaton = SuffixAutomaton([(item, text.encode().split(b" ")) for item, text in rows], window)
+        name = f"block-{key[0].as_py()}-{TaskContext.get().taskAttemptId()}"
+        system, path = open_folder(folder)
+        with system.open_output_stream(f"{path}/{name}") as stream:
+            pickle.dump(automaton, stream, pickle.HIGHEST_PROTOCOL)
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    blocks = (
+        chosen.mapInArrow(cut, "item_id string, text string")
+        .where("text <> ''")
+        .withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+        .groupBy("block")
+        .applyInArrow(build, "name string")
+    )
+    return folder, sorted(row["name"] for row in cut_lineage(blocks).collect())
+
+
+#: The automaton of this worker process, the last one used, by its file.
+AUTOMATA: dict[tuple[str, str], SuffixAutomaton] = {}
+
+
+def held_automaton(folder: str, name: str) -> SuffixAutomaton:
+    if (folder, name) not in AUTOMATA:
+        AUTOMATA.clear()
+        system, path = open_folder(folder)
+        with system.open_input_stream(f"{path}/{name}") as stream:
+            AUTOMATA[folder, name] = pickle.load(stream)
+    return AUTOMATA[folder, name]
+
+
+def found_in(texts: list[str | None], folder: str, names: list[str]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Per text: number of words, merged hit word ranges, items with occurring windows."""
+    words = [words_of(text or "") for text in texts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[str]] = [set() for _ in texts]
+    for name in names:
+        find = held_automaton(folder, name).find
+        for own, ranges, names_ in zip(words, spans, items):
+            if own:
+                more, others = find(own)
+                ranges += more
+                names_ |= others
+    return [(len(own), merged(ranges), names_) for own, ranges, names_ in zip(words, spans, items)]
+
+
+def portions(batches: Iterable[pa.RecordBatch], joined: bool) -> Iterator[pa.RecordBatch]:
+    """Batches as they come, or ``joined`` to about ``PORTION_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if not joined or size >= PORTION_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def with_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with the columns of ``STATE``: number of words, merged hit word ranges, hit item ids."""
-    spark = docs.sparkSession
+    folder, names = stored_automata(items, window, block_chars)
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(STATE).fields])
-    found = docs.withColumns(
-        {field.name: F.lit(None).cast(field.dataType) for field in StructType.fromDDL(STATE).fields}
-    )
-    at = len(docs.columns)
     text_at = docs.columns.index("text")
-    for block in item_blocks(items, block_chars):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = shared.value.find
-            for batch in batches:
-                counts, ranges, names = [], [], []
-                before = (batch.column(at + k).to_pylist() for k in (1, 2))
-                for text, spans, items in zip(batch.column(text_at).to_pylist(), *before):
-                    words = words_of(text or "")
-                    more, others = find(words)
-                    own = [(s["first"], s["end"]) for s in spans or ()]
-                    counts.append(len(words))
-                    ranges.append([{"first": a, "end": b} for a, b in merged(own + more)])
-                    names.append(sorted(others.union(items or ())))
-                types = [batch.schema.field(at + k).type for k in range(3)]
-                added = [pa.array(*pair) for pair in zip((counts, ranges, names), types)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *added], batch.schema.names)
-
-        found = found.mapInArrow(run, schema)
-    return found
+    span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    types = [pa.int64(), span, pa.list_(pa.string())]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, len(names) > 1):
+            found = found_in(batch.column(text_at).to_pylist(), folder, names)
+            added = (
+                [n for n, _, _ in found],
+                [[{"first": a, "end": b} for a, b in spans] for _, spans, _ in found],
+                [sorted(others) for _, _, others in found],
+            )
+            columns = [*batch.columns, *(pa.array(*pair) for pair in zip(added, types))]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -218,37 +290,49 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )
 
 
-@F.arrow_udf(StringType())
-def without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    """Texts without the words of the ranges and what stands between them."""
-    kept = []
-    for text, ranges in zip(texts.to_pylist(), spans.to_pylist()):
-        if ranges:
-            places = [(m.start(), m.end()) for m in WORD.finditer(text)]
-            parts, at = [], 0
-            for part in ranges:
-                parts.append(text[at : places[part["first"]][0]])
-                at = places[part["end"] - 1][1]
-            text = "".join([*parts, text[at:]])
-        kept.append(text)
-    return pa.array(kept, pa.string())
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words of the ranges and what stands between them."""
+    places = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    parts, at = [], 0
+    for first, end in spans:
+        parts.append(text[at : places[first][0]])
+        at = places[end - 1][1]
+    return "".join([*parts, text[at:]])
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    max_coverage: float = MAX_COVERAGE,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``docs`` without hit spans, and without documents more than ``max_coverage`` of whose words are hit.
 
-    Same columns as ``docs``; ``n_chars``, if there, follows the text. Texts without hits stay as they
-    are, NULL included.
+    Same columns as ``docs``; ``n_chars``, if there, follows the text. Texts without hits stay as they are,
+    NULL and empty ones included; repeated rows are treated alike and stay as often as they occur. Without
+    items nothing changes; an empty table gives an empty table. Each text goes to Python and back once.
     """
-    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["first"])
-    beside = docs.select(packed(docs).alias("row"), "text")
-    kept = with_hits(beside, items, window).where(hit <= F.lit(max_coverage) * F.col("hit_n_words"))
-    some = F.size("hit_spans") > 0
-    cleaned = kept.withColumn("text", F.when(some, without_spans("text", "hit_spans")).otherwise(F.col("text")))
-    values = {name: F.col(f"row.`{name}`") for name in docs.columns} | {"text": F.col("text")}
+    folder, names = stored_automata(items, window, block_chars)
+    # The other columns travel as one, so that none can clash with a working column.
+    others = [F.col(f"`{name}`") for name in docs.columns if name != "text"] or [F.lit(None).cast("int").alias("none")]
+    beside = docs.select(F.struct(*others).alias("row"), "text")
+    schema = StructType([*beside.schema.fields, StructField("changed", BooleanType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, len(names) > 1):
+            texts = batch.column(1).to_pylist()
+            found = found_in(texts, folder, names)
+            hit = [sum(end - first for first, end in spans) for _, spans, _ in found]
+            keep = [k for k, (n, _, _) in enumerate(found) if hit[k] <= max_coverage * n]
+            kept = [without_spans(texts[k], found[k][1]) if hit[k] else texts[k] for k in keep]
+            changed = pa.array([hit[k] > 0 for k in keep], pa.bool_())
+            rows = batch.column(0).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(kept, pa.string()), changed], ["row", "text", "changed"])
+
+    cleaned = beside.mapInArrow(run, schema)
+    values = {name: F.col("text") if name == "text" else F.col(f"row.`{name}`") for name in docs.columns}
     if "n_chars" in values:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        values["n_chars"] = F.when(some, length).otherwise(values["n_chars"])
+        values["n_chars"] = F.when(F.col("changed"), length).otherwise(values["n_chars"])
     return cleaned.select(*(value.alias(name) for name, value in values.items()))

@@ -218,5 +218,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: flo
     small = docs.select("doc_id", "lang", "text")
     measured = cut_lineage(with_features(small).select("doc_id", "stratum", "features"))
     cutoffs = thresholds(measured, labels, risk, level)
-    beside = with_features(docs.select(packed(docs).alias("row"), "lang", "text"))
+    # Each text stands in a row once, so that no second copy waits beside it for its features.
+    beside = with_features(docs.select(packed(docs).alias("row")), "row.text", "row.lang")
     return judged(beside, cutoffs).where("kept").select("row.*")

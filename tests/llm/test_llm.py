@@ -204,6 +204,53 @@ def test_page_lines_leave_out_what_stands_beside():
     assert page_lines("") == [] and page_lines("<") != [] and page_lines("<!-- never closed") == []
 
 
+TEXT = "Real text here."
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body class="page has-sidebar"><article>{TEXT}</article></body>',
+        f'<html class="no-js cookie-consent"><body><p>{TEXT}</p>',
+        f'<div class="container with-sidebar"><p>{TEXT}</p></div>',
+        f'<div class="sidebar menu"><main>{TEXT}</main></div>',
+        f'<form action="x"><div><article>{TEXT}</article></div></form>',
+        f'<article class="post share-price">{TEXT}</article>',
+        f'<section id="related-work">{TEXT}</section>',
+        f'<p title="a hidden gem">{TEXT}</p>',
+        f'<p data-role="menu" data-style="display:none">{TEXT}</p>',
+        f'<div aria-hidden="false">{TEXT}</div>',
+        f'<p><a href="/hidden/valley">{TEXT}</a></p>',
+        f'<ul><li class="menu">Home<li class="menu">About</ul><article>{TEXT}</article>',
+        f'<p class="ad">buy<p>{TEXT}',
+        f'<p>{TEXT}<div class="comments"><article class="comment">no</article></div><main></main>',
+        f'<dl><dt class="ad">x<dd>{TEXT}</dl></span></b>',
+    ],
+)
+def test_ordinary_names_and_open_elements_lose_no_text(html):
+    assert [line.text for line in page_lines(html)] == [TEXT]
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<div class="cookie-banner">x</div>', "<nav>x</nav>", '<div id="sidebar">x</div>', '<div class="main-nav">x',
+        "<p hidden>x</p>", '<div style="display: none">x</div>', "<div role=navigation>x</div>", "<div class=ad-slot-2>x</div>",
+        '<div class="cookieBanner">x</div>', "<form>x</form>", "<header>x</header>", '<span class="share">x</span>',
+    ],
+)
+def test_what_stands_beside_is_left_out(html):
+    assert page_lines(html) == []
+
+
+def test_very_long_and_deep_pages():
+    deep = "<div><b>" * 30_000 + "z" + "</p></i>" * 30_000
+    assert [line.text for line in page_lines(deep)] == ["z"]
+    long = "<ul>" + "<li><b>w" * 50_000 + "</ul><article>" + "<p>v" * 50_000
+    lines = page_lines(long)
+    assert len(lines) == 100_000 and lines[0] == ("w", False) and lines[-1] == ("v", True)
+
+
 def test_main_text_by_differencing(spark):
     def page(k, body):
         return k, f"http://h.example/a/{k:03d}", f"<div>Home</div><div>Terms</div><p>{body}</p><div>Foot</div>"
@@ -425,6 +472,34 @@ def test_contamination(spark, messy, nothing, block_chars):
     assert decontaminate.contamination(nothing, bench).count() == 0
 
 
+def test_blocks_share_one_python_node(spark):
+    """Twenty blocks, built in tasks; long items in pieces; documents go through Python once."""
+    random = Random(9)
+    letters = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    items = [(k, " ".join(random.choices(letters, k=random.randint(8, 40)))) for k in range(60)]
+    items.append((99, " ".join(random.choices(letters, k=900))))
+    texts = [" ".join(random.choices(letters, k=40)) + " " + " ".join(random.choice(items)[1].split()[3:25]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    chars = sum(len(text) for _, text in items)
+    folder, names = decontaminate.stored_automata(bench, 6, chars // 20, piece_words=50)
+    assert len(names) >= 18
+    found = decontaminate.with_hits(docs, bench, window=6, block_chars=chars // 20)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for row in found.collect():
+        n_hit = sum(s["end"] - s["first"] for s in row["hit_spans"])
+        assert (row["hit_n_words"], n_hit, row["hit_items"]) == hits_by_force(texts[row["doc_id"]], items, 6)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 6, 54, 55, 56, 105, 300])
+def test_pieces_have_the_windows_of_the_whole(n):
+    words = [str(k).encode() for k in range(n)]
+    parts = list(decontaminate.pieces(words, 6, 50))
+    windows = {tuple(part[k : k + 6]) for part in parts for k in range(len(part) - 5)}
+    assert windows == {tuple(words[k : k + 6]) for k in range(n - 5)}
+    assert len(parts) == 1 or all(6 <= len(part) <= 55 for part in parts)
+
+
 def test_passages_are_cut_out(spark, messy):
     passage = "One two, three four five six seven eight nine TEN eleven"
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
