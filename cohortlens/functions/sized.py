@@ -21,11 +21,21 @@ def small_side(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def distinct_values(df: DataFrame, column: str) -> list:
-    """The sorted distinct non-NULL values of a category column.
+#: A factor's levels become terms, and the driver holds a square matrix of terms: 1,000 of them take 8 MB.
+MAX_LEVELS = 1_000
 
-    Meant for the levels of a model factor: each becomes a term of the design, whose square matrix the
-    driver holds anyway. Pass the levels instead of reading them if they are known.
+
+class TooManyLevels(ValueError):
+    """A column has more values than a model factor can have levels."""
+
+
+def distinct_values(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list:
+    """The sorted distinct non-NULL values of a category column; more than ``max_levels`` are refused.
+
+    Meant for the levels of a model factor. At most ``max_levels + 1`` values reach the driver. Pass the
+    levels instead of reading them if they are known.
     """
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
+        raise TooManyLevels(f"{column} has more than {max_levels} values")
     return sorted(row[0] for row in rows)

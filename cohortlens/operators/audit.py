@@ -15,10 +15,35 @@ from cohortlens.functions.numeric import mean_of, rounded
 from cohortlens.functions.ordering import ascending, descending
 from cohortlens.functions.text import UNSIGNED, matches
 
-#: Raw numbers may be long: all audits read them as widely as Spark can, and sum up to 28 digits.
-WIDE_DECIMAL, WIDE_INTEGER, WIDE_TOTAL = "decimal(38,4)", "decimal(38,0)", 28
+#: Raw numbers may be long. Up to this many digits before the point they are exact decimals, and so are their
+#: sums; longer ones are read as doubles, and only then is a mean one too.
+EXACT_DIGITS = 28
+WIDE_DECIMAL, WIDE_INTEGER = "decimal(38,4)", "decimal(38,0)"
 
 
+def is_long(text: Column) -> Column:
+    """Whether a number's text has more digits before the point than are read exactly."""
+    return F.length(F.ltrim(F.substring_index(text, ".", 1), F.lit("-0"))) > EXACT_DIGITS
+
+
+def exact_and_long(text: Column, pattern: str, type: str) -> tuple[Column, Column]:
+    """The exact decimal and the double of a number's text; one of them, or for other texts both, is NULL."""
+    number = matches(text, pattern)
+    return F.when(number & ~is_long(text), text.cast(type)), F.when(number & is_long(text), text.cast("double"))
+
+
+def profile_of(type: str) -> list[Column]:
+    """Minimum, maximum, mean and sample standard deviation of the columns ``value`` and ``long``."""
+    scale = int(type.rstrip(")").split(",")[1]) if "," in type else 0
+    both = F.coalesce(F.col("value").cast("double"), F.col("long"))
+    exact = rounded(mean_of(F.col("value"), scale, EXACT_DIGITS), 1)
+    return [
+        F.least(F.min("value").cast("double"), F.min("long")).alias("minimum"),
+        F.greatest(F.max("value").cast("double"), F.max("long")).alias("maximum"),
+        F.when(F.count("long") == 0, exact).otherwise(F.round(F.avg(both), 1)).alias("durchschnitt"),
+        F.round(F.stddev_samp(both), 1).alias("streuung"),
+    ]
+
 
 def distinct_profile(df: DataFrame, group: str, entities: Mapping[str, str]) -> DataFrame:
     """Exact number of distinct entities per group, most first. ``entities``: result name → column."""
@@ -43,17 +68,11 @@ def numeric_profile(
     type: str = WIDE_DECIMAL,
 ) -> DataFrame:
     """Minimum, maximum, mean and sample standard deviation of a text column's numeric values."""
-    number = F.when(matches(F.col(column), pattern), F.col(column).cast(type))
-    scale = int(type.rstrip(")").split(",")[1]) if "," in type else 0
-    values = df.select(*([group] if group else []), number.alias("value")).where(
-        F.col("value").isNotNull()
-    )
-    profile = (values.groupBy(group) if group else values.groupBy()).agg(
-        F.min("value").cast("double").alias("minimum"),
-        F.max("value").cast("double").alias("maximum"),
-        rounded(mean_of(F.col("value"), scale, WIDE_TOTAL), 1).alias("durchschnitt"),
-        F.round(F.stddev_samp("value"), 1).alias("streuung"),
+    value, long = exact_and_long(F.col(column), pattern, type)
+    values = df.select(*([group] if group else []), value.alias("value"), long.alias("long")).where(
+        F.col("value").isNotNull() | F.col("long").isNotNull()
     )
+    profile = (values.groupBy(group) if group else values.groupBy()).agg(*profile_of(type))
     return profile.orderBy(*descending("streuung"), *ascending(group)) if group else profile
 
 
@@ -103,8 +122,10 @@ def placeholder_counts(
 
 
 def number_in(column: str) -> Column:
-    """The integer in a text column, NULL for any other format."""
-    return F.when(matches(F.col(column), UNSIGNED), F.col(column).cast(WIDE_INTEGER))
+    """The integer in a text column, NULL for any other format; one that is too long as the least such number."""
+    text = F.col(column)
+    least_long = F.lit("1" + "0" * EXACT_DIGITS).cast(WIDE_INTEGER)
+    return F.when(matches(text, UNSIGNED), F.when(is_long(text), least_long).otherwise(text.cast(WIDE_INTEGER)))
 
 
 def outlier_count(df: DataFrame, column: str, threshold: int) -> DataFrame:
@@ -143,16 +164,13 @@ def numeric_audit(df: DataFrame, column: str, threshold: int, pattern: str = UNS
     The same figures as ``invalid_format_count``, ``numeric_profile`` and ``outlier_count``.
     """
     text = F.col(column)
-    number = F.when(matches(text, pattern), text.cast(WIDE_INTEGER))
-    valued = df.select(text.alias("text"), number.alias("value"))
+    value, long = exact_and_long(text, pattern, WIDE_INTEGER)
+    valued = df.select(text.alias("text"), value.alias("value"), long.alias("long"))
     return valued.agg(
         F.count("*").alias("zeilen"),
         F.count_if(~matches(F.col("text"), pattern)).alias("ungueltig"),
-        F.min("value").cast("double").alias("minimum"),
-        F.max("value").cast("double").alias("maximum"),
-        rounded(mean_of(F.col("value"), 0, WIDE_TOTAL), 1).alias("durchschnitt"),
-        F.round(F.stddev_samp("value"), 1).alias("streuung"),
-        F.count_if(F.col("value") > threshold).alias("ausreisser"),
+        *profile_of(WIDE_INTEGER),
+        F.count_if(F.coalesce(F.col("value") > threshold, F.col("long") > threshold)).alias("ausreisser"),
     )
 
 

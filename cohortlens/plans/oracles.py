@@ -338,26 +338,20 @@ add(
         for name, raw in RAW_ROWS.items()
     ),
 )
-add(
-    "orphans_assessment",
-    """SELECT count(*) AS waisen FROM submitted s WHERE NOT EXISTS
-       (SELECT 1 FROM exams e WHERE e.id_assessment = s.id_assessment AND date IS NOT NULL)""",
-)
-add(
-    "orphans_site",
-    """SELECT count(*) AS waisen FROM clicks c WHERE NOT EXISTS
-       (SELECT 1 FROM sites s WHERE s.id_site = c.id_site AND week_from IS NOT NULL)""",
-)
-PARENTS = {
-    "courses": "SELECT * FROM courses WHERE module_presentation_length = 268",
-    "assessments": "SELECT * FROM exams WHERE date IS NOT NULL",
-    "vle": "SELECT * FROM sites WHERE week_from IS NOT NULL",
-    "student_info": "SELECT * FROM info WHERE imd_band IS NOT NULL",
-}
-CHILDREN = PARENTS | {
-    "student_registration": "SELECT * FROM registered",
-    "student_assessment": "SELECT * FROM submitted",
-    "student_vle": "SELECT * FROM clicks",
+SPOILED = {
+    "courses": "SELECT * FROM courses",
+    "assessments": """SELECT * REPLACE (CASE WHEN id_assessment % 13 = 0 THEN '1899' ELSE code_presentation END
+        AS code_presentation) FROM exams""",
+    "vle": """SELECT * REPLACE (CASE WHEN id_site % 41 = 0 THEN '1899' ELSE code_presentation END
+        AS code_presentation) FROM sites""",
+    "student_info": """SELECT * REPLACE (CASE WHEN id_student % 53 = 0 THEN '1899' ELSE code_presentation END
+        AS code_presentation) FROM info""",
+    "student_registration": """SELECT * REPLACE (CASE WHEN id_student % 47 = 0 THEN -id_student ELSE id_student END
+        AS id_student) FROM registered""",
+    "student_assessment": """SELECT * REPLACE (CASE WHEN id_student % 59 = 0 THEN -id_assessment
+        ELSE id_assessment END AS id_assessment) FROM submitted""",
+    "student_vle": """SELECT * REPLACE (CASE WHEN id_site % 37 = 0 THEN -id_site WHEN id_site % 43 <> 0 THEN id_site
+        END AS id_site) FROM clicks""",
 }
 COURSE = ("code_module", "code_presentation")
 EDGES = (
@@ -369,12 +363,21 @@ EDGES = (
     ("student_vle", "student_info", (*COURSE, "id_student")),
     ("student_vle", "vle", ("id_site",)),
 )
+
+
+def orphans_of(child: str, parent: str, keys: tuple[str, ...]) -> str:
+    """Child rows whose key is complete and that no parent has."""
+    return f"""FROM ({SPOILED[child]}) c WHERE {" AND ".join(f"c.{k} IS NOT NULL" for k in keys)}
+        AND NOT EXISTS (SELECT 1 FROM ({SPOILED[parent]}) p WHERE {" AND ".join(f"p.{k} = c.{k}" for k in keys)})"""
+
+
+add("orphans_assessment", f"SELECT count(*) AS waisen {orphans_of('student_assessment', 'assessments', ('id_assessment',))}")
+add("orphans_site", f"SELECT count(*) AS waisen {orphans_of('student_vle', 'vle', ('id_site',))}")
 add(
     "fk_violations",
     " UNION ALL ".join(
-        f"""SELECT '{child}_{parent}' AS beziehung, '{child}' AS kind, '{parent}' AS eltern, count(*) AS waisen
-        FROM ({CHILDREN[child]}) c WHERE NOT EXISTS (SELECT 1 FROM ({PARENTS[parent]}) p
-        WHERE {" AND ".join(f"p.{k} = c.{k}" for k in keys)})"""
+        f"""SELECT '{child}_{parent}' AS beziehung, '{child}' AS kind, '{parent}' AS eltern, count(*) AS waisen,
+        count(DISTINCT ({", ".join(f"c.{k}" for k in keys)})) AS schluessel {orphans_of(child, parent, keys)}"""
         for child, parent, keys in EDGES
     ),
 )
@@ -585,10 +588,44 @@ add(
        SELECT 'person', count(*) FROM
            (SELECT 1 FROM base GROUP BY code_module, id_student HAVING count(*) > 1)""",
 )
+OLDER = """SELECT * REPLACE (CASE WHEN id_student % 83 = 0 THEN -id_student ELSE id_student END AS id_student,
+    CASE WHEN id_student % 31 = 0 THEN klicks_gesamt + 1 ELSE klicks_gesamt END AS klicks_gesamt,
+    CASE WHEN id_student % 29 = 0 THEN coalesce(imd_band, 'unbekannt') ELSE imd_band END AS imd_band,
+    CASE WHEN id_student % 37 <> 0 THEN score_durchschnitt END AS score_durchschnitt) FROM report"""
 add(
     "report_diff",
-    f"""SELECT {n_if("final_result = 'Withdrawn'")} AS nur_links, 0::BIGINT AS nur_rechts,
-        {n_if("final_result = 'Withdrawn'")} AS nur_links_mehrfach, 0::BIGINT AS nur_rechts_mehrfach FROM base""",
+    """SELECT (SELECT count(*) FROM (FROM report EXCEPT FROM older)) AS nur_links,
+        (SELECT count(*) FROM (FROM older EXCEPT FROM report)) AS nur_rechts,
+        (SELECT count(*) FROM (FROM report EXCEPT ALL FROM older)) AS nur_links_mehrfach,
+        (SELECT count(*) FROM (FROM older EXCEPT ALL FROM report)) AS nur_rechts_mehrfach""",
+    older=OLDER,
+)
+REPORT_VALUES = (
+    "gender age_band imd_band highest_education disability final_result bestanden klicks_gesamt aktive_tage abgaben "
+    "score_durchschnitt klicks_diff_vom_modulschnitt"
+).split()
+DIFFERS = " OR ".join(f"n.{c} IS DISTINCT FROM o.{c}" for c in REPORT_VALUES)
+add(
+    "report_changes",
+    " UNION ALL ".join(
+        [
+            f"SELECT 'hinzugekommen' AS art, NULL::VARCHAR AS spalte, count(*) AS anzahl FROM report n ANTI JOIN older o USING ({KEYS})",
+            f"SELECT 'entfallen', NULL, count(*) FROM older o ANTI JOIN report n USING ({KEYS})",
+            f"SELECT 'geaendert', NULL, count(*) FROM report n JOIN older o USING ({KEYS}) WHERE {DIFFERS}",
+            "SELECT 'schluessel_mehrfach', NULL, 0",
+        ]
+        + [
+            f"""SELECT 'spalte', '{c}', count(*) FROM report n JOIN older o USING ({KEYS})
+            WHERE n.{c} IS DISTINCT FROM o.{c}"""
+            for c in REPORT_VALUES
+        ]
+    ),
+    older=OLDER,
+)
+add(
+    "report_refreshed_modules",
+    f"""SELECT code_module, count(*) AS zeilen, {mean("sum(klicks_gesamt)", "count(*)")} AS klicks_schnitt,
+        CASE WHEN code_module = 'BUILDING' THEN 1 ELSE 0 END AS neu_geschrieben FROM base GROUP BY 1""",
 )
 add(
     "csv_roundtrip",
@@ -781,7 +818,48 @@ add(
             FROM paired GROUP BY code_module"""
             for t in TYPES
         ]
+        + [f"SELECT 'rang', '', '', {len(TYPES) + 1}::DOUBLE, 0"]
+    ),
+)
+
+
+def elimination(rows: str, size: int, tolerance: str = "1e-9") -> dict[str, str]:
+    """Table ``reduced``: Gauss-Jordan on the cross products of x0.. of ``rows``, a{i}_{j}, and per term whether d{i} a pivot was left."""
+    every = [(i, j) for i in range(size) for j in range(size)]
+    sums = [f"sum(x{i} * x{j})::DOUBLE AS a{i}_{j}" for i, j in every] + [f"sum(x{i} * x{i})::DOUBLE AS g{i}" for i in range(size)]
+    tables = {"e_0": f"SELECT {', '.join(sums)} FROM {rows}"}
+    for k in range(size):
+        pivot = f"a{k}_{k} > {tolerance} * g{k}"
+        cells = [
+            f"""CASE WHEN NOT ({pivot}) THEN a{i}_{j} {f"ELSE a{k}_{j} / a{k}_{k}" if i == k else
+            f"ELSE a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k}"} END AS a{i}_{j}"""
+            for i, j in every
+        ]
+        kept = [f"g{i}" for i in range(size)] + [f"d{i}" for i in range(k)]
+        tables[f"e_{k + 1}"] = f"SELECT {', '.join(cells + kept)}, ({pivot})::INT AS d{k} FROM e_{k}"
+    tables["reduced"] = f"SELECT *, {' + '.join(f'd{i}' for i in range(size))} AS rang FROM e_{size}"
+    return {name: f"MATERIALIZED {text}" for name, text in tables.items()}
+
+
+DESIGN = ["(Konstante)", *TYPES, "summe"]
+add(
+    "design_rank",
+    " UNION ALL ".join(
+        [
+            f"""SELECT '{term}' AS term, d{k} AS unabhaengig, NULL::VARCHAR AS abhaengig_von, NULL::DOUBLE AS koeffizient,
+            rang::INT AS rang, {len(DESIGN)} AS terme FROM reduced WHERE d{k} = 1"""
+            for k, term in enumerate(DESIGN)
+        ]
+        + [
+            f"""SELECT '{term}', d{k}, '{other}', round(a{i}_{k}, 6), rang::INT, {len(DESIGN)} FROM reduced
+            WHERE d{k} = 0 AND d{i} = 1 AND round(a{i}_{k}, 6) <> 0"""
+            for k, term in enumerate(DESIGN)
+            for i, other in enumerate(DESIGN[:k])
+        ]
     ),
+    designed=f"""SELECT 1 AS x0, {", ".join(f"{t} AS x{k}" for k, t in enumerate(TYPES, 1))},
+        {" + ".join(TYPES)} AS x{len(TYPES) + 1} FROM paired""",
+    **elimination("designed", len(DESIGN)),
 )
 add(
     "group_mean_z",

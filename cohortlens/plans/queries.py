@@ -12,18 +12,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions.numeric import mean_of, rounded
+from cohortlens.functions.ordering import ascending
 from cohortlens.operators import (
     audit,
+    changes,
     clean,
     features,
     identifiability,
     integrity,
     logit,
     rates,
+    references,
     report,
     scorecard,
     shares,
     usage,
+    versions,
 )
 from cohortlens.session import cut_lineage, scratch_path
 from cohortlens.sources import csvfiles, standins
@@ -252,32 +257,22 @@ def row_reconcile(spark, folder):
     )
 
 
-def incomplete_tables(spark, folder):
-    """The typed tables with parents left out, so that references have orphans."""
-    tables = typed_tables(spark, folder)
-    return tables | {
-        "courses": tables["courses"].where(F.col("module_presentation_length") == 268),
-        "assessments": tables["assessments"].where(F.col("date").isNotNull()),
-        "vle": tables["vle"].where(F.col("week_from").isNotNull()),
-        "student_info": tables["student_info"].where(F.col("imd_band").isNotNull()),
-    }
-
-
 @query
 def orphans_assessment(spark, folder):
-    tables = incomplete_tables(spark, folder)
+    tables = standins.with_defects(spark, folder)
     return integrity.orphans(tables["student_assessment"], tables["assessments"], ["id_assessment"])
 
 
 @query
 def orphans_site(spark, folder):
-    tables = incomplete_tables(spark, folder)
+    tables = standins.with_defects(spark, folder)
     return integrity.orphans(tables["student_vle"], tables["vle"], ["id_site"])
 
 
 @query
 def fk_violations(spark, folder):
-    return integrity.fk_violations(incomplete_tables(spark, folder), S.REFERENCES)
+    """All references of the whole tables, some of whose keys are spoiled, in one pass."""
+    return references.reference_violations(standins.with_defects(spark, folder), S.REFERENCES)
 
 
 @query
@@ -473,7 +468,13 @@ def report_counts(spark, folder):
 def stored_report(spark, folder):
     target = scratch_path(spark, "report")
     table = f"bericht_{uuid.uuid4().hex}"  # runs at the same time do not share a table
-    return report.materialise(enrolment_report(spark, folder), table, target)
+    return released(report.materialise(enrolment_report(spark, folder), table, target), table)
+
+
+def released(stored: DataFrame, table: str) -> DataFrame:
+    """``stored``, still read from its files after its table has left the catalog."""
+    stored.sparkSession.sql(f"DROP TABLE {table}")
+    return stored
 
 
 @query
@@ -499,7 +500,7 @@ def report_refreshed(spark, folder):
     older = current.where(F.col("final_result") != S.WITHDRAWN)
     table, target = f"bericht_{uuid.uuid4().hex}", scratch_path(spark, "report")
     report.materialise(older, table, target)
-    return report.mean_clicks(report.refresh(current, table, target))
+    return report.mean_clicks(released(report.refresh(current, table, target), table))
 
 
 @query
@@ -511,9 +512,12 @@ def rebuild_counts(spark, folder):
         rebuild_database(spark, database, root)
         write_tables(typed, database)
     stored = read_tables(spark, database, list(REBUILT))
-    return integrity.union_all(
+    counts = integrity.union_all(
         [df.agg(F.count("*").alias("zeilen")).select(F.lit(name).alias("tabelle"), "zeilen") for name, df in stored.items()]
     )
+    counted = cut_lineage(counts)
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return counted
 
 
 @query
@@ -531,13 +535,66 @@ def report_key_duplicates(spark, folder):
     )
 
 
+#: How a stored copy of the report differs from it: ids, clicks, bands and means of some enrolments.
+OLDER_REPORT = {
+    "id_student": "IF(id_student % 83 = 0, -id_student, id_student)",
+    "klicks_gesamt": "IF(id_student % 31 = 0, klicks_gesamt + 1, klicks_gesamt)",
+    "imd_band": "IF(id_student % 29 = 0, coalesce(imd_band, 'unbekannt'), imd_band)",
+    "score_durchschnitt": "IF(id_student % 37 <> 0, score_durchschnitt, NULL)",
+}
+
+
+def report_and_older_copy(spark, folder) -> tuple[DataFrame, DataFrame]:
+    computed = cut_lineage(enrolment_report(spark, folder))
+    older = computed.selectExpr(*[f"{OLDER_REPORT.get(c, c)} AS {c}" for c in computed.columns])
+    return computed, spark.read.parquet(report.write_version(older, scratch_path(spark, "report"), S.ENROLMENT))
+
+
 @query
 def report_diff(spark, folder):
-    """The computed report against a stored one without the withdrawn enrolments."""
-    computed = enrolment_report(spark, folder)
-    older = computed.where(F.col("final_result") != S.WITHDRAWN)
-    path = report.write_version(older, scratch_path(spark, "report"), S.ENROLMENT)
-    return report.report_diff(computed, spark.read.parquet(path))
+    """The computed report against a stored copy in which some rows are different."""
+    return report.report_diff(*report_and_older_copy(spark, folder))
+
+
+@query
+def report_changes(spark, folder):
+    """The same, by key: enrolments added, removed and changed since the copy, and which columns changed."""
+    computed, older = report_and_older_copy(spark, folder)
+    return changes.table_changes(older, computed, S.ENROLMENT)
+
+
+#: The module whose clicks differ when the refresh by modules begins.
+CHANGED_MODULE = "BUILDING"
+
+
+def report_sources(spark, folder, clicks: DataFrame) -> dict[str, DataFrame]:
+    return {"einschreibungen": info(spark, folder), "klicks": clicks, "abgaben": submissions(spark, folder)}
+
+
+def report_from(sources) -> DataFrame:
+    return report.enrolment_report(
+        sources["einschreibungen"], usage.clicks_from_start(sources["klicks"]), sources["abgaben"]
+    )
+
+
+@query
+def report_refreshed_modules(spark, folder):
+    """A report stored per module, after one module's clicks changed and a refresh wrote that module anew."""
+    clicks = cut_lineage(events(spark, folder))
+    older = clicks.withColumn(
+        "sum_click", F.expr(f"IF(code_module = '{CHANGED_MODULE}' AND id_student % 2 = 0, sum_click + 1, sum_click)")
+    )
+    table, target = f"stand_{uuid.uuid4().hex}", scratch_path(spark, "report")
+    refresh = partial(versions.refresh_changed, build=report_from, table=table, folder=target, group="code_module", keys=S.ENROLMENT)
+    refresh(report_sources(spark, folder, older))
+    listed = refresh(report_sources(spark, folder, clicks))
+    stored = versions.read_groups(listed, report_from(report_sources(spark, folder, clicks)))
+    written = cut_lineage(listed.select(F.col("gruppe").alias("code_module"), F.col("neu").cast("int").alias("neu_geschrieben")))
+    spark.sql(f"DROP TABLE {table}")
+    means = stored.groupBy("code_module").agg(
+        F.count("*").alias("zeilen"), rounded(mean_of(F.col("klicks_gesamt")), 1).alias("klicks_schnitt")
+    )
+    return means.join(written, "code_module").orderBy(*ascending("code_module"))
 
 
 @query
@@ -742,6 +799,14 @@ def identifiability_report(spark, folder):
     )
 
 
+@query
+def design_rank(spark, folder):
+    """All types and their sum in one design: the sum depends on the types."""
+    total = " + ".join(standins.ACTIVITY_TYPES)
+    wide = wide_features(spark, folder).selectExpr(*standins.ACTIVITY_TYPES, f"{total} AS summe")
+    return identifiability.rank_report(wide, [*standins.ACTIVITY_TYPES, "summe"])
+
+
 @query
 def group_mean_z(spark, folder):
     return features.group_mean(model_features(spark, folder), "alter_35plus", "klicks_z", 4)

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from cohortlens.functions.sized import distinct_values, small_side
+from cohortlens.functions.sized import TooManyLevels, distinct_values, small_side
 from cohortlens.plans.queries import QUERIES
 from conftest import plan_of
 
@@ -94,5 +94,7 @@ def test_size_check_refuses_to_broadcast(spark, nothing_small):
     assert small.count() == large.count() == 10
 
 
-def test_distinct_values_have_no_limit(spark):
-    assert distinct_values(spark.range(150), "id") == list(range(150))
\ No newline at end of file
+def test_distinct_values_are_whole_or_refused(spark):
+    assert distinct_values(spark.range(150), "id") == list(range(150))
+    with pytest.raises(TooManyLevels):
+        distinct_values(spark.range(150), "id", max_levels=149)
\ No newline at end of file
