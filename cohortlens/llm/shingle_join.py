@@ -136,44 +136,68 @@ def signed(docs: DataFrame, frequent: np.ndarray, words: int, link: int) -> Data
 BUCKET = "bucket long, node long, n long, size_class long, first long, first_n long, members long"
 
 
+#: Rows of signatures looked at together.
+ROWS_TOGETHER = 1 << 16
+
+
+def by_signature(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows sorted by the first one, in portions that end where a signature ends."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(column) for column in zip(*held))
+
+    for batch in batches:
+        own = tuple(column.to_numpy() for column in batch.columns)
+        if not len(own[0]):
+            continue
+        held.append(own)
+        size += len(own[0])
+        if size >= ROWS_TOGETHER and held[0][0][0] != own[0][-1]:
+            whole = joined()
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # where the last signature begins
+            yield tuple(column[:cut] for column in whole)
+            held = [tuple(column[cut:].copy() for column in whole)]
+            size = len(held[0][0])
+    if held:
+        yield joined()
+
+
 def buckets(signatures_: DataFrame) -> DataFrame:
     """The rows of signatures that several classes share. Buckets of the same classes found in one task
-    become one. A task holds three numbers per row of its partition."""
+    become one. Rows come sorted by signature, and a task holds those of a signature and a portion more."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[batch.column(c).to_numpy() for c in range(3)] for batch in batches]
-        if not parts:
-            return
-        sig, node, n = (np.concatenate(column) for column in zip(*parts))
-        del parts
-        order = np.lexsort((node, sig))
-        sig, node, n = sig[order], node[order], n[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node, n = sig[fresh], node[fresh], n[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        ends = np.append(starts[1:], len(sig))
         seen: set[int] = set()
-        rows: list[tuple[np.ndarray, ...]] = []
-        for start, end in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            bucket = xxh3_64_intdigest(node[start:end].tobytes()) - (1 << 63)
-            if bucket in seen:
-                continue
-            seen.add(bucket)
-            own, sizes, m = node[start:end], n[start:end], end - start
-            fixed = (np.full(m, v, np.int64) for v in (class_of(sizes.min()), own[0], sizes[0], m))
-            rows.append((np.full(m, bucket, np.int64), own, sizes, *fixed))
-            if sum(len(row[0]) for row in rows[-64:]) > 1 << 14 or len(rows) >= 1 << 12:
+        for sig, node, n in by_signature(batches):
+            fresh = np.ones(len(sig), bool)
+            fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node, n = sig[fresh], node[fresh], n[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            ends = np.append(starts[1:], len(sig))
+            rows: list[tuple[np.ndarray, ...]] = []
+            held = 0
+            for start, end in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+                bucket = xxh3_64_intdigest(node[start:end].tobytes()) - (1 << 63)
+                if bucket in seen:
+                    continue
+                seen.add(bucket)
+                own, sizes, m = node[start:end], n[start:end], end - start
+                fixed = (np.full(m, v, np.int64) for v in (class_of(sizes.min()), own[0], sizes[0], m))
+                rows.append((np.full(m, bucket, np.int64), own, sizes, *fixed))
+                held += m
+                if held > 1 << 14:
+                    yield as_batch(rows)
+                    rows, held = [], 0
+            if rows:
                 yield as_batch(rows)
-                rows = []
-        if rows:
-            yield as_batch(rows)
 
     def as_batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         columns = [pa.array(np.concatenate(column), pa.int64()) for column in zip(*rows)]
         return pa.RecordBatch.from_arrays(columns, [field.split()[0] for field in BUCKET.split(", ")])
 
-    return signatures_.repartition("sig").mapInArrow(run, BUCKET)
+    return signatures_.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, BUCKET)
 
 
 def listed(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int, link: int) -> DataFrame:
