@@ -134,20 +134,22 @@ def categorical(df: DataFrame, column: str, reference: str | None = None) -> Cat
     return Categorical(column, levels, levels[0] if reference is None else reference)
 
 
-def design_matrix(
+def design_columns(
     df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[Categorical] = ()
 ) -> DataFrame:
-    """The label and one double column per term, categorical terms first.
-
-    Rows with a NULL in any of them, such as a value that is no listed level, are left out.
-    """
+    """The label and one double column per term, categorical terms first; NULL where a value is missing."""
     terms: dict[str, Column] = {}
     for factor in categorical:
         terms |= factor.columns()
     terms |= {name: F.col(name).cast("double") for name in numeric}
-    return df.select(
-        F.col(label).cast("double").alias(label), *[c.alias(name) for name, c in terms.items()]
-    ).dropna()
+    return df.select(F.col(label).cast("double").alias(label), *[c.alias(name) for name, c in terms.items()])
+
+
+def design_matrix(
+    df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[Categorical] = ()
+) -> DataFrame:
+    """``design_columns`` without rows with a NULL in any of them, such as a value that is no listed level."""
+    return design_columns(df, label, numeric, categorical).dropna()
 
 
 def group_mean(df: DataFrame, flag: str, value: str, digits: int = 2) -> DataFrame:

@@ -4,11 +4,15 @@ Spark's generalised linear regression fits by maximum likelihood: each iteration
 pass that sums the weighted cross products, and only that small matrix reaches the driver. Designs
 of a few discrete terms are first counted per distinct row, which leaves the likelihood as it is and
 turns each pass over all enrolments into one over a few hundred weighted rows.
+
+Several models of the same rows are fitted together: their terms are stored once, and each pass over the
+stored design sums the cross products of every model that has not settled yet. So the number of passes is
+that of the slowest model, however many there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 import math
 
@@ -19,9 +23,10 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators.features import Categorical, design_matrix
-from cohortlens.operators.identifiability import gram_matrix, require_identifiable, term_name
+from cohortlens.operators.features import Categorical, design_columns, design_matrix
+from cohortlens.operators.identifiability import SingularDesign, gram_matrix, require_identifiable, term_name
 from cohortlens.operators.integrity import union_all
+from cohortlens.session import cut_lineage
 
 INTERCEPT = "Intercept"
 MAX_ITERATIONS = 50
@@ -191,6 +196,120 @@ def fit_model(
     return logit_fit(model_design(features, spec, factors, label), label, not spec.activity)
 
 
+def model_sums(design: DataFrame, models: Sequence[tuple[list[int], list[float]]]) -> list[np.ndarray]:
+    """Per model (places of its terms among the columns after the label, and coefficients, the intercept first)
+    the sums of one pass: second derivatives, first derivatives, deviance, rows and successes, in one vector.
+
+    A row counts for a model if it has a label and all the model's terms. Each task sums its rows in dense
+    matrix products and sends one row per number.
+    """
+
+    def sums(batches: Iterable) -> Iterator:
+        # Sent to the workers as it is: nothing of this package is needed there.
+        import numpy as np
+        import pyarrow as pa
+
+        totals = [np.zeros(len(beta) * (len(beta) + 1) + 3) for _, beta in models]
+        for batch in batches:
+            columns = [column.to_numpy(zero_copy_only=False).astype(float) for column in batch.columns]
+            label = columns[0]
+            for total, (places, beta) in zip(totals, models):
+                terms = np.column_stack([np.ones(len(label)), *(columns[place + 1] for place in places)])
+                whole = ~(np.isnan(terms).any(axis=1) | np.isnan(label))
+                terms, y = terms[whole], label[whole]
+                score = terms @ np.array(beta)
+                mean = np.exp(-np.logaddexp(0, -score))
+                second = terms.T @ (terms * (mean * (1 - mean))[:, None])
+                deviance = 2 * (np.logaddexp(0, score) - y * score).sum()
+                total += [*second.ravel(), *(terms.T @ (y - mean)), deviance, len(y), y.sum()]
+        parts = [(m, np.arange(len(total)), total) for m, total in enumerate(totals)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([np.full(len(total), m, np.int32) for m, _, total in parts])),
+                pa.array(np.concatenate([place.astype(np.int32) for _, place, _ in parts])),
+                pa.array(np.concatenate([total for _, _, total in parts])),
+            ],
+            ["model", "place", "value"],
+        )
+
+    found = [np.zeros(len(beta) * (len(beta) + 1) + 3) for _, beta in models]
+    summed = design.mapInArrow(sums, "model int, place int, value double").groupBy("model", "place")
+    for row in summed.agg(F.sum("value").alias("value")).collect():
+        found[row["model"]][row["place"]] = row["value"]
+    return found
+
+
+class Newton:
+    """One model on its way to its fit: coefficients, and what the last pass said about them."""
+
+    def __init__(self, terms: Sequence[str]) -> None:
+        self.terms = list(terms)
+        self.beta = np.zeros(len(terms) + 1)
+        self.before, self.least = self.beta, math.inf
+        self.fit: LogitFit | None = None
+        self.passes = 0
+
+    def take(self, sums: np.ndarray) -> None:
+        """Use the sums of a pass with the present coefficients: settle, halve the step or take the next one."""
+        k = len(self.beta)
+        second, first = sums[: k * k].reshape(k, k), sums[k * k : k * k + k]
+        deviance, n, successes = sums[k * k + k :]
+        self.passes += 1
+        if self.passes == 1:
+            # Without coefficients every weight is a quarter, so this is the design's own cross product.
+            self.gram = 4 * second
+            if n == 0:
+                raise SingularDesign("no rows")
+            require_identifiable(self.gram, self.terms)
+            self.null = null_deviance(n, successes)
+        if deviance > self.least * (1 + 1e-9) and self.passes <= MAX_ITERATIONS:
+            self.beta = (self.beta + self.before) / 2
+            return
+        if deviance < PERFECT_FIT * self.null:
+            raise SeparatedData("the terms tell the outcomes apart without error")
+        try:
+            step = np.linalg.solve(second, first)
+            errors = np.sqrt(np.diag(np.linalg.inv(second)))
+        except np.linalg.LinAlgError:
+            raise SeparatedData("the fit has no curvature left") from None
+        spread = np.sqrt(np.maximum(np.diag(self.gram) / n - (self.gram[0] / n) ** 2, 0.0))
+        settled = bool(np.all(np.abs(step) <= 1e-9 * np.maximum(1.0, np.abs(self.beta))))
+        if (settled or self.passes > MAX_ITERATIONS) and float(np.max(spread * errors)) > LARGEST_ERROR:
+            raise SeparatedData("a term's standard error has no bound")
+        if settled:
+            self.fit = LogitFit((INTERCEPT, *self.terms), tuple(self.beta.tolist()), tuple(errors.tolist()), float(deviance), self.null)
+        elif self.passes > MAX_ITERATIONS:
+            raise NotConverged(f"no convergence after {MAX_ITERATIONS} iterations")
+        else:
+            self.before, self.least, self.beta = self.beta, deviance, self.beta + step
+
+
+def logit_fits(design: DataFrame, label: str, models: Mapping[str, Sequence[str]]) -> dict[str, LogitFit]:
+    """Unregularised logits of ``label`` on several sets of the columns of ``design``, fitted together.
+
+    A model is fitted on the rows that have the label (0 or 1) and all its terms. Raises what ``logit_fit``
+    raises, if any model cannot be fitted.
+    """
+    terms = list(dict.fromkeys(term for chosen in models.values() for term in chosen))
+    stored = cut_lineage(design.select(*[term_name(name) for name in (label, *terms)]).toDF(*[f"c{i}" for i in range(len(terms) + 1)]))
+    runs = {name: Newton(chosen) for name, chosen in models.items()}
+    while open_runs := [run for run in runs.values() if run.fit is None]:
+        passed = [([terms.index(term) for term in run.terms], run.beta.tolist()) for run in open_runs]
+        for run, sums in zip(open_runs, model_sums(stored, passed)):
+            run.take(sums)
+    return {name: run.fit for name, run in runs.items()}
+
+
+def fit_models(
+    features: DataFrame, specs: Sequence[ModelSpec], factors: Sequence[Categorical], label: str = "bestanden"
+) -> dict[str, LogitFit]:
+    """The models by title, fitted together on one stored design."""
+    activity = list(dict.fromkeys(term for spec in specs for term in spec.activity))
+    design = design_columns(features, label, [*DEMOGRAPHY, *activity], factors)
+    shared = [name for name in design.columns if name != label and name not in activity]
+    return logit_fits(design, label, {spec.title: [*shared, *spec.activity] for spec in specs})
+
+
 def odds_ratios(spark: SparkSession, fit: LogitFit, digits: int | None = 3) -> DataFrame:
     """One row per term: odds ratio, 95 % confidence interval and p-value; unrounded without ``digits``."""
 

@@ -748,10 +748,7 @@ for spec in logit.model_specs(MODEL_TYPES):
 
 
 def all_fits(spark, folder) -> dict[str, logit.LogitFit]:
-    table = model_features(spark, folder)
-    return {
-        spec.title: logit.fit_model(table, spec, factors()) for spec in logit.model_specs(MODEL_TYPES)
-    }
+    return logit.fit_models(model_features(spark, folder), logit.model_specs(MODEL_TYPES), factors())
 
 
 @query

@@ -203,6 +203,4 @@ def fit_models(table: DataFrame, types: Sequence[str] = MODEL_TYPES) -> dict[str
         features.Categorical("bildung", levels, features.EDUCATION_REFERENCE),
         features.categorical(table, "code_module"),
     )
-    return {
-        spec.title: logit.fit_model(table, spec, factors) for spec in logit.model_specs(types)
-    }
+    return logit.fit_models(table, logit.model_specs(types), factors)

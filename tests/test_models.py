@@ -223,3 +223,53 @@ def test_a_factor_may_have_many_levels(spark):
     factor = features.categorical(df, "m")
     assert len(factor.levels) == 150
     assert len(features.design_matrix(df, "y", [], [factor]).columns) == 150
+
+
+def random_design(spark, n=3000, seed=1):
+    generator = np.random.default_rng(seed)
+    x = generator.normal(size=(n, 3)) * [1.0, 20.0, 0.01]
+    p = 1 / (1 + np.exp(-(0.3 + x @ [0.8, -0.05, 40.0])))
+    y = (generator.random(n) < p).astype(float)
+    rows = [(float(b), *map(float, a), None if k % 7 == 0 else float(a[0] * a[1])) for k, (a, b) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows + [(None, 1.0, 1.0, 1.0, 1.0)], "y double, a double, `b=b` double, c double, d double")
+
+
+def test_models_fitted_together_equal_single_fits(spark):
+    design = random_design(spark)
+    models = {"one": ["a"], "all": ["a", "b=b", "c", "d"], "none": [], "two": ["c", "a"]}
+    fits = logit.logit_fits(design, "y", models)
+    for name in ("one", "all", "two"):
+        whole = design.select("y", *[f"`{term}`" for term in models[name]]).dropna()
+        single = logit.logit_fit(whole, "y")
+        assert fits[name].terms == single.terms
+        for part in ("coefficients", "standard_errors", "p_values"):
+            assert getattr(fits[name], part) == pytest.approx(getattr(single, part), rel=1e-5, abs=1e-9)
+        assert fits[name].deviance == pytest.approx(single.deviance) and fits[name].null_deviance == pytest.approx(single.null_deviance)
+    assert fits["none"].deviance == pytest.approx(fits["none"].null_deviance)
+
+
+def test_passes_do_not_grow_with_models(spark, monkeypatch):
+    passes = []
+    whole = logit.model_sums
+    monkeypatch.setattr(logit, "model_sums", lambda design, models: passes.append(len(models)) or whole(design, models))
+    design = random_design(spark)
+    logit.logit_fits(design, "y", {"all": ["a", "b=b", "c"]})
+    alone = len(passes)
+    passes.clear()
+    logit.logit_fits(design, "y", {str(k): ["a", "b=b", "c"][: 1 + k % 3] for k in range(9)})
+    assert len(passes) <= alone + 1 and passes[0] == 9
+
+
+@pytest.mark.parametrize(
+    "rows, error",
+    [
+        ([(1.0, 1.0, 2.0), (0.0, 2.0, 4.0), (1.0, 3.0, 6.0), (0.0, 5.0, 10.0)], identifiability.SingularDesign),
+        ([(0.0, 1.0, 0.0), (0.0, 2.0, 1.0), (1.0, 3.0, 0.0), (1.0, 4.0, 1.0), (1.0, 5.0, 1.0)], logit.SeparatedData),
+        ([(1.0, 1.0, 0.5), (1.0, 2.0, 3.0), (1.0, 4.0, 1.0), (1.0, 3.0, 0.0)], logit.SeparatedData),
+        ([], identifiability.SingularDesign),
+    ],
+)
+def test_models_without_a_fit_are_refused_together(spark, rows, error):
+    design = spark.createDataFrame(rows, "y double, a double, b double")
+    with pytest.raises(error):
+        logit.logit_fits(design, "y", {"m": ["a", "b"]})
