@@ -16,7 +16,7 @@ The distance of two groups over the whole vocabulary is then evaluated sparsely:
 
 The second line needs only how many terms of a group have which probability, a short list by Zipf's law;
 only the third joins terms, and each pair of groups is summed in the map stage. All numbers are integers
-held in decimals or longs.
+held in longs, and in decimals where 10^9 times a count may exceed one.
 
 The vocabulary (terms in at least ``min_df`` documents of a language) is held by the driver and sent to
 the executors: that is how ``CountVectorizer`` works, and it is the one thing here that grows with the
@@ -78,11 +78,16 @@ def kept_terms(docs: DataFrame, min_df: int) -> list[str]:
     return vectorizer.fit(terms.unionByName(filler)).vocabulary
 
 
-def sparse_vectors(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Per document ``lang``, ``source`` and its sparse count vector over ``words``: ``indices`` and ``counts``; stored.
+#: Entries of document vectors that a task holds before it sums them by group.
+ENTRIES_AT_ONCE = 1 << 20
 
-    What the vectorizer's own model gives, with whole numbers: built in Arrow batches from counted terms,
-    since the model looks up every occurrence of a term as a string of its own.
+
+def group_vectors(docs: DataFrame, words: list[str]) -> DataFrame:
+    """Sparse sums of document vectors over ``words``, several rows per group: ``lang, source, indices, counts``; stored.
+
+    A document's vector is what the vectorizer's own model gives, with whole numbers; it is built from counted
+    terms, since the model looks up every occurrence as a string of its own. A task sums the vectors of a
+    group as ``Summarizer`` does, but sparsely and a portion at a time, so that a document is no row of its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -91,22 +96,38 @@ def sparse_vectors(docs: DataFrame, words: list[str]) -> DataFrame:
         for index, word in enumerate(shared.value):
             tag, _, term = word.encode().partition(MARK.encode())
             index_of.setdefault(tag, {})[term] = index
+        groups: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for batch in batches:
-            indices, counts, ends = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [0]
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for text, tag in zip(texts, batch.column(3).cast(pa.binary()).to_pylist()):
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, tags = (batch.column(c).cast(pa.binary()).to_pylist() for c in (2, 3))
+            for lang, source, text, tag in zip(langs, sources, texts, tags):
                 found = Counter(text.translate(LETTERS).split())
                 known = index_of.get(tag[: -len(MARK)], {})
                 own = np.fromiter(map(known.get, found, repeat(-1)), np.int32, len(found))
                 times = np.fromiter(found.values(), np.int64, len(found))
-                kept = np.flatnonzero(own >= 0)
-                kept = kept[np.argsort(own[kept])]
-                indices.append(own[kept])
-                counts.append(times[kept])
-                ends.append(ends[-1] + len(kept))
-            offsets = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat))) for flat in (indices, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["lang", "source", "indices", "counts"])
+                groups.setdefault((lang, source), []).append((own[own >= 0], times[own >= 0]))
+                size += len(own) + 1
+                if size >= ENTRIES_AT_ONCE:
+                    yield summed(groups)
+                    groups, size = {}, 0
+        if groups:
+            yield summed(groups)
+
+    def summed(groups: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+        indices, counts, ends = [], [], [0]
+        for vectors in groups.values():
+            every = np.concatenate([own for own, _ in vectors])
+            different, place = np.unique(every, return_inverse=True)
+            total = np.zeros(len(different), np.int64)
+            np.add.at(total, place, np.concatenate([times for _, times in vectors]))
+            indices.append(different)
+            counts.append(total)
+            ends.append(ends[-1] + len(different))
+        offsets = pa.array(ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat))) for flat in (indices, counts)]
+        names = [pa.array(column, pa.string()) for column in zip(*groups)]
+        return pa.RecordBatch.from_arrays([*names, *lists], ["lang", "source", "indices", "counts"])
 
     lang = text_or_empty("lang")
     chosen = docs.select(
@@ -126,10 +147,6 @@ def vocabulary_of(docs: DataFrame, words: list[str]) -> DataFrame:
     )
 
 
-def whole(column: Column) -> Column:
-    return column.cast("decimal(38,0)")
-
-
 def probability(count: Column, total: Column, terms: Column) -> Column:
     """``1 + floor(SCALE (count + SMOOTHING) / (total + SMOOTHING terms))`` in exact integers."""
     top = (F.lit(SCALE).cast("decimal(10,0)") * (count + SMOOTHING).cast("decimal(20,0)")).alias("top")
@@ -148,7 +165,8 @@ def term_counts(vectors: DataFrame) -> DataFrame:
 def pair_values(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """Per language and pair ``a < b`` of its sources: ``value``, the summed distance over all kept terms.
 
-    ``groups``: lang, source, terms (V), floor; ``counts``: lang, source, index, p.
+    ``groups``: lang, source, terms (V), floor; ``counts``: lang, source, index, p. A group's probabilities sum
+    to at most 10^9 + V, so no sum here comes near the bound of a long.
     """
     a = groups.select("lang", F.col("source").alias("a"), F.col("floor").alias("floor_a"), "terms")
     b = groups.select("lang", F.col("source").alias("b"), F.col("floor").alias("floor_b"))
@@ -158,9 +176,9 @@ def pair_values(groups: DataFrame, counts: DataFrame) -> DataFrame:
     one_sided = (
         both_ways.join(spectrum, ["lang", "a"])
         .groupBy("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .agg(F.sum(whole(F.col("n")) * (F.abs(F.col("p") - F.col("floor_b")) - apart)).alias("part"))
+        .agg(F.sum(F.col("n") * (F.abs(F.col("p") - F.col("floor_b")) - apart)).alias("part"))
     )
-    empty = both_ways.where("a < b").select("lang", "a", "b", (whole(F.col("terms")) * apart).alias("part"))
+    empty = both_ways.where("a < b").select("lang", "a", "b", (F.col("terms") * apart).alias("part"))
     left = counts.select("lang", "index", F.col("source").alias("a"), F.col("p").alias("p_a"), F.col("floor").alias("floor_a"))
     right = counts.select("lang", "index", F.col("source").alias("b"), F.col("p").alias("p_b"), F.col("floor").alias("floor_b"))
     overlap = (
@@ -173,13 +191,11 @@ def pair_values(groups: DataFrame, counts: DataFrame) -> DataFrame:
         left.join(right, ["lang", "index"])
         .where("a < b")
         .groupBy("lang", "a", "b")
-        .agg(F.sum(whole(overlap)).alias("part"))
+        .agg(F.sum(overlap).alias("part"))
     )
-    parts = [part.select("lang", "a", "b", whole(F.col("part")).alias("part")) for part in (empty, one_sided, shared)]
     return (
-        parts[0]
-        .unionByName(parts[1])
-        .unionByName(parts[2])
+        empty.unionByName(one_sided)
+        .unionByName(shared)
         .groupBy("lang", "a", "b")
         .agg(F.coalesce(F.sum("part"), F.lit(0)).cast("long").alias("value"))
     )
@@ -197,7 +213,7 @@ def source_divergence(docs: DataFrame, min_df: int = MIN_DF, top_terms: int = TO
     has no pairs. Other columns are ignored. An empty table gives an empty table.
     """
     words = kept_terms(docs, min_df)
-    vectors, vocabulary = sparse_vectors(docs, words), vocabulary_of(docs, words)
+    vectors, vocabulary = group_vectors(docs, words), vocabulary_of(docs, words)
     counted = cut_lineage(term_counts(vectors))
     terms = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
     totals = counted.groupBy("lang", "source").agg(F.sum("count").alias("total"))
