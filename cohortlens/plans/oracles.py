@@ -592,6 +592,32 @@ OLDER = """SELECT * REPLACE (CASE WHEN id_student % 83 = 0 THEN -id_student ELSE
     CASE WHEN id_student % 31 = 0 THEN klicks_gesamt + 1 ELSE klicks_gesamt END AS klicks_gesamt,
     CASE WHEN id_student % 29 = 0 THEN coalesce(imd_band, 'unbekannt') ELSE imd_band END AS imd_band,
     CASE WHEN id_student % 37 <> 0 THEN score_durchschnitt END AS score_durchschnitt) FROM report"""
+PASSED_COUNTS = """SELECT code_module, code_presentation, id_assessment, count(*) AS n,
+    count(*) FILTER (score >= 40) AS passed FROM submitted JOIN exams USING (id_assessment)
+    WHERE score IS NOT NULL GROUP BY 1, 2, 3"""
+add(
+    "pair_consistency",
+    """SELECT code_module, code_presentation, a AS pruefung_a, b AS pruefung_b, n AS abgaben, round(chi, 6) AS chi_quadrat,
+        round(sqrt(chi / n), 6) AS cramers_v, (chi > 3.841459)::INT AS auffaellig
+        FROM (SELECT x.code_module, x.code_presentation, x.id_assessment AS a, y.id_assessment AS b, x.n + y.n AS n,
+              coalesce((x.n + y.n) * pow(x.passed * (y.n - y.passed) - y.passed * (x.n - x.passed), 2)
+                  / nullif(x.n::DOUBLE * y.n * (x.passed + y.passed) * (x.n + y.n - x.passed - y.passed), 0), 0) AS chi
+              FROM counted x JOIN counted y USING (code_module, code_presentation)
+              WHERE x.id_assessment < y.id_assessment)""",
+    counted=PASSED_COUNTS,
+)
+add(
+    "group_consistency",
+    """SELECT code_module, count(*) AS pruefungen, sum(n)::BIGINT AS abgaben, round(any_value(chi), 6) AS chi_quadrat,
+        count(*) - 1 AS freiheitsgrade, round(sqrt(any_value(chi) / sum(n)), 6) AS cramers_v
+        FROM counted JOIN (
+            SELECT code_module, coalesce(total * (sum(pow(passed, 2) / n) - pow(s, 2) / total) * total
+                / nullif(s::DOUBLE * (total - s), 0), 0) AS chi
+            FROM counted JOIN (SELECT code_module, sum(n) AS total, sum(passed) AS s FROM counted GROUP BY 1) USING (code_module)
+            GROUP BY code_module, total, s
+        ) USING (code_module) GROUP BY 1""",
+    counted=PASSED_COUNTS,
+)
 add(
     "report_diff",
     """SELECT (SELECT count(*) FROM (FROM report EXCEPT FROM older)) AS nur_links,

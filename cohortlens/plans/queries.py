@@ -18,6 +18,7 @@ from cohortlens.operators import (
     audit,
     changes,
     clean,
+    consistency,
     features,
     identifiability,
     integrity,
@@ -442,6 +443,20 @@ def submissions(spark, folder):
     )
 
 
+def passed_per_assessment(spark, folder):
+    return consistency.pass_counts(standins.student_assessment(spark, folder), standins.assessments(spark, folder))
+
+
+@query
+def pair_consistency(spark, folder):
+    return consistency.pair_consistency(passed_per_assessment(spark, folder))
+
+
+@query
+def group_consistency(spark, folder):
+    return consistency.group_consistency(passed_per_assessment(spark, folder))
+
+
 @query
 def enrolment_report(spark, folder):
     return report.enrolment_report(

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import pytest
 
-from cohortlens.operators import report, usage
+from cohortlens.operators import consistency, report, usage
 from cohortlens.sources import schemas as S
 from conftest import plan_of, tuples
 
@@ -180,3 +180,30 @@ def test_view_follows_its_tables(spark, tmp_path, parts):
     enrolments.where("code_module = 'B'").write.mode("append").parquet(path)
     assert create_view(spark, "bericht_sicht", read).count() == 5
     assert spark.table("bericht_sicht").count() == 5
+
+
+def test_consistency_of_assessments(spark):
+    scores = [(1, s) for s in (50, 60, 10, None)] + [(2, s) for s in (39, 12, 40, 90, 80)] + [(3, 100)] * 4 + [(9, 50)]
+    submitted = spark.createDataFrame([(k, n, s) for n, (k, s) in enumerate(scores)], "id_assessment int, id_student int, score int")
+    rows = [("m", "p", 1), ("m", "p", 2), ("m", "p", 3), ("m", "q", 9), ("m", "p", 5)]
+    exams = spark.createDataFrame(rows, "code_module string, code_presentation string, id_assessment int")
+    counts = consistency.pass_counts(submitted, exams)
+    assert sorted(tuples(counts.select("id_assessment", "n", "bestanden"))) == [(1, 3, 2), (2, 5, 3), (3, 4, 4), (9, 1, 1)]
+
+    def chi_square(table):
+        n, columns = sum(map(sum, table)), [sum(column) for column in zip(*table)]
+        expected = [[sum(row) * column / n for column in columns] for row in table]
+        return sum((o - e) ** 2 / e for r, w in zip(table, expected) for o, e in zip(r, w) if e)
+
+    tables = {(1, 2): [(2, 1), (3, 2)], (1, 3): [(2, 1), (4, 0)], (2, 3): [(3, 2), (4, 0)]}
+    got = {(r["pruefung_a"], r["pruefung_b"]): (r["abgaben"], r["chi_quadrat"], r["cramers_v"]) for r in consistency.pair_consistency(counts).collect()}
+    assert set(got) == set(tables)
+    for pair, table in tables.items():
+        n = sum(map(sum, table))
+        assert got[pair] == pytest.approx((n, chi_square(table), (chi_square(table) / n) ** 0.5), abs=1e-6)
+    group = consistency.group_consistency(counts).first()
+    whole = chi_square([(2, 1), (3, 2), (4, 0), (1, 0)])
+    assert tuple(group) == ("m", 4, 13, pytest.approx(whole, abs=1e-6), 3, pytest.approx((whole / 13) ** 0.5, abs=1e-6))
+    all_passed = counts.where("id_assessment IN (3, 9)")
+    assert consistency.group_consistency(all_passed).first()["chi_quadrat"] == 0
+    assert consistency.group_consistency(counts.limit(0)).collect() == []
