@@ -253,7 +253,7 @@ class Newton:
         """Use the sums of a pass with the present coefficients: settle, halve the step or take the next one."""
         k = len(self.beta)
         second, first = sums[: k * k].reshape(k, k), sums[k * k : k * k + k]
-        deviance, n, successes = sums[k * k + k :]
+        deviance, n, successes = map(float, sums[k * k + k :])
         self.passes += 1
         if self.passes == 1:
             # Without coefficients every weight is a quarter, so this is the design's own cross product.
@@ -277,7 +277,7 @@ class Newton:
         if (settled or self.passes > MAX_ITERATIONS) and float(np.max(spread * errors)) > LARGEST_ERROR:
             raise SeparatedData("a term's standard error has no bound")
         if settled:
-            self.fit = LogitFit((INTERCEPT, *self.terms), tuple(self.beta.tolist()), tuple(errors.tolist()), float(deviance), self.null)
+            self.fit = LogitFit((INTERCEPT, *self.terms), tuple(self.beta.tolist()), tuple(errors.tolist()), deviance, self.null)
         elif self.passes > MAX_ITERATIONS:
             raise NotConverged(f"no convergence after {MAX_ITERATIONS} iterations")
         else:
