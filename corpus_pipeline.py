@@ -6,8 +6,8 @@
 4. personal data: spans are replaced by what kind they are.
 5. token ids: byte-level BPE, with the decoded text beside the ids.
 
-Stages 1 to 4 return the columns of ``documents``; an empty table passes through all of them. Extra
-columns of ``documents`` are carried along.
+Stages 1 to 4 return the columns of ``documents``, extra ones too; an empty table passes through all of
+them. Rows are decided one by one: ids may be NULL or repeat, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -30,23 +30,30 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the rules. A NULL or empty text has no words and goes; repeated rows are judged alike."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked texts, that of the smallest id (a NULL one only if there is no other).
+
+    Rows are told apart by id and text; of rows equal in both one stays. Texts without words all stay.
+    """
     return one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without benchmark passages; NULL and empty texts, and those without a hit, stay as they are."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with spans replaced; NULL and empty texts, and those without a span, stay as they are."""
     return sanitise(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: ``doc_id``, ``n_tokens``, ``ids`` and ``text``, decoded from the ids."""
+    """Per row only: ``doc_id``, ``n_tokens``, ``ids`` and ``text``, decoded from the ids (a NULL text is empty)."""
     done = byte_bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text")
