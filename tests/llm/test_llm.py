@@ -708,7 +708,7 @@ def test_queries_against_sql(spark, duck, folder, name):
     assert multiset(got, *columns) == Counter(map(tuple, expected))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_conversation_repair"}))
 def test_queries_return_a_row_per_document(spark, folder, name):
     table = "pages" if name == "op4_main_text" else "documents"
     key = "page_id" if name == "op4_main_text" else "doc_id"
@@ -728,7 +728,7 @@ def test_pipeline(spark, folder):
             features = ((i, features_by_force(t)) for i, t in rows)
             assert set(now) == {i for i, f in features if f[0] >= 50 and 100 * f[4] <= 50 * f[0]}
         elif name == "near_duplicates":
-            assert set(now) == {c for _, _, c in components_by_force(rows)}
+            assert set(now) == kept_by_force(dict(rows), 5, 80)
         elif name == "decontamination":
             before = {i: hits_by_force(t, items, 10) for i, t in rows}
             assert set(now) == {i for i, (n, hit, _) in before.items() if hit <= 0.5 * n}
