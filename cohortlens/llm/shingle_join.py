@@ -1,16 +1,17 @@
-"""Exact Jaccard join of documents on word shingles, as a blocked sparse matrix product.
+"""Exact Jaccard join of documents on word shingles, by joins of block signatures.
 
-Documents are the rows and shingles the columns of a 0/1 matrix; the product with its transpose holds
-the overlaps. Only pairs that can reach the link threshold are multiplied out:
+Documents are the rows and shingles the columns of a 0/1 matrix; the product with its transpose would hold
+the overlaps. That product is not accumulated here: rows meet by signatures of whole blocks of columns, and
+only pairs that can reach the link threshold are compared:
 
 1. Equal sets are one row (a class). A class goes on as a 64-bit hash of its set.
 2. The columns are cut into blocks by hash, their number following from the sizes: linked sets of a size
    class differ in at most so many shingles, hence agree on some whole block. Each row signs its strongest
    blocks; rows are brought together by signature (``signed`` to ``buckets``).
-3. Within a bucket the first row is multiplied with the others (a star, not all pairs). A sketch of the
+3. Within a bucket the first row is compared with the others (a star, not all pairs). A sketch of the
    row, a parity bit for each of many cells of its columns, accumulates a lower bound of the difference;
    pairs above what their sizes allow are discarded, the others verified on the whole texts.
-4. The links so far give components. Only buckets that hold several components are multiplied further, all
+4. The links so far give components. Only buckets that hold several components are compared further, all
    pairs across components, in blocks of ``CHUNK`` rows; the sketches discard nearly all of them inside
    the task, and what is left is verified: first as many pairs as would span a dense group, then, with the
    components that gives, every pair still across. Pairs within a component cannot change the result.
