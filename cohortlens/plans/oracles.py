@@ -698,6 +698,7 @@ add(
     + ", ".join(f'{e} AS "{t}"' for t, e in LEVELS.items())
     + ", count(*) AS zeilen FROM modelled GROUP BY ALL",
 )
+# Titles and labels of the models, as the fitted tables show them.
 MODELS = {
     "m1": ("Modell 1: nur Demografie", {}),
     "m2": ("Modell 2: + Klicks gesamtes Semester", {"klicks_z": "klicks_z"}),
@@ -783,6 +784,7 @@ add(
     ),
     **everything,
 )
+# As above.
 TITLES = {
     "imd": "IMD (1=arm .. 10=reich)",
     "bildung=A_Level": "Bildung: A-Level (Ref: unter A-Level)",
