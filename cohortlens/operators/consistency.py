@@ -13,12 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.ordering import ascending
+from cohortlens.session import cut_lineage
 from cohortlens.sources.schemas import COURSE
 
 #: Pass mark of a score, and the 5 % point of chi-square with one degree of freedom.
 PASS_MARK = 40
 CRITICAL = 3.841459
 
+#: Pairs made and sorted in one task.
+TASK_PAIRS = 500_000
+
 
 def pass_counts(
     submissions: DataFrame, assessments: DataFrame, keys: Sequence[str] = COURSE, pass_mark: int = PASS_MARK
@@ -47,10 +51,19 @@ def cramers_v(chi_square: Column, n: Column) -> Column:
 def pair_consistency(counts: DataFrame, keys: Sequence[str] = COURSE, digits: int = 6) -> DataFrame:
     """Per pair of assessments of one course: chi-square, Cramér's V, and whether their pass rates differ.
 
-    A course has a handful of assessments, and the pairs are those of a course. Pairs of which all or
-    none passed have 0.
+    The pairs are those of a course, so they grow as the square of its assessments. ``counts`` is stored, and
+    the assessments, not their pairs, are dealt out in the order of the result, to as many tasks as there are
+    portions of ``TASK_PAIRS`` pairs: with ``b`` broadcast, each task makes and sorts its own pairs, and none
+    is shuffled. If ``b`` is too long for a broadcast Spark joins and sorts as it sees fit. Pairs of which
+    all or none passed have 0.
     """
-    a = counts.select(*keys, F.col("id_assessment").alias("a"), F.col("n").alias("n_a"), F.col("bestanden").alias("b_a"))
+    counts = cut_lineage(counts)
+    per_course = counts.groupBy(*keys).agg(F.count("*").alias("m"))
+    n_pairs = per_course.agg(F.sum(F.expr("m * (m - 1) / 2"))).first()[0] or 0
+    a = (
+        counts.select(*keys, F.col("id_assessment").alias("a"), F.col("n").alias("n_a"), F.col("bestanden").alias("b_a"))
+        .repartitionByRange(1 + int(n_pairs) // TASK_PAIRS, *ascending(*keys, "a"))
+    )
     b = counts.select(*keys, F.col("id_assessment").alias("b"), F.col("n").alias("n_b"), F.col("bestanden").alias("b_b"))
     n, passed = F.col("n_a") + F.col("n_b"), F.col("b_a") + F.col("b_b")
     chi = expected_gap(F.col("n_a"), F.col("b_a"), n, passed) + expected_gap(F.col("n_b"), F.col("b_b"), n, passed)

@@ -207,3 +207,20 @@ def test_consistency_of_assessments(spark):
     all_passed = counts.where("id_assessment IN (3, 9)")
     assert consistency.group_consistency(all_passed).first()["chi_quadrat"] == 0
     assert consistency.group_consistency(counts.limit(0)).collect() == []
+
+
+def test_pairs_are_made_in_order_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """Several courses, one of them with most assessments; repeated and NULL ids as in a plain join."""
+    monkeypatch.setattr(consistency, "TASK_PAIRS", 50)
+    rows = [("A", "1", k % 37, 20 + k % 5, k % 13) for k in range(60)]
+    rows += [("B", "1", k, 10, k) for k in range(9)] + [("B", None, 3, 5, 2), ("A", "1", None, 4, 1), ("C", "2", 1, 9, 9)]
+    counts = spark.createDataFrame(rows, "code_module string, code_presentation string, id_assessment long, n long, bestanden long")
+    df = consistency.pair_consistency(counts)
+    got = [(r["code_module"], r["pruefung_a"], r["pruefung_b"], r["abgaben"]) for r in df.collect()]
+    known = [row for row in rows if row[1] is not None and row[2] is not None]
+    wanted = [(x[0], x[2], y[2], x[3] + y[3]) for x in known for y in known if x[:2] == y[:2] and x[2] < y[2]]
+    assert sorted(got) == sorted(wanted) and [g[:3] for g in got] == sorted(g[:3] for g in got)
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    above = final[: final.index("BroadcastHashJoin")]
+    assert "Exchange" not in above and "Sort [" in above
+    assert consistency.pair_consistency(counts.limit(0)).collect() == []
