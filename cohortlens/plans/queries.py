@@ -582,8 +582,10 @@ def report_changes(spark, folder):
 CHANGED_MODULE = "BUILDING"
 
 
-def report_sources(spark, folder, clicks: DataFrame) -> dict[str, DataFrame]:
-    return {"einschreibungen": info(spark, folder), "klicks": clicks, "abgaben": submissions(spark, folder)}
+def report_sources(spark, folder) -> dict[str, DataFrame]:
+    """The sources, stored: a refresh reads each of them for its digests and again for what it builds."""
+    sources = {"einschreibungen": info(spark, folder), "klicks": events(spark, folder), "abgaben": submissions(spark, folder)}
+    return {name: cut_lineage(df) for name, df in sources.items()}
 
 
 def report_from(sources) -> DataFrame:
@@ -595,15 +597,16 @@ def report_from(sources) -> DataFrame:
 @query
 def report_refreshed_modules(spark, folder):
     """A report stored per module, after one module's clicks changed and a refresh wrote that module anew."""
-    clicks = cut_lineage(events(spark, folder))
-    older = clicks.withColumn(
+    sources = report_sources(spark, folder)
+    older = sources["klicks"].withColumn(
         "sum_click", F.expr(f"IF(code_module = '{CHANGED_MODULE}' AND id_student % 2 = 0, sum_click + 1, sum_click)")
     )
     table, target = f"stand_{uuid.uuid4().hex}", scratch_path(spark, "report")
     refresh = partial(versions.refresh_changed, build=report_from, table=table, folder=target, group="code_module", keys=S.ENROLMENT)
-    refresh(report_sources(spark, folder, older))
-    listed = refresh(report_sources(spark, folder, clicks))
-    stored = versions.read_groups(listed, report_from(report_sources(spark, folder, clicks)))
+    refresh(sources | {"klicks": older})
+    listed = refresh(sources)
+    # Only the columns of the report are asked for, so its build gets no rows.
+    stored = versions.read_groups(listed, report_from({name: df.limit(0) for name, df in sources.items()}))
     written = cut_lineage(listed.select(F.col("gruppe").alias("code_module"), F.col("neu").cast("int").alias("neu_geschrieben")))
     spark.sql(f"DROP TABLE {table}")
     means = stored.groupBy("code_module").agg(

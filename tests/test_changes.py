@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import changes, identifiability, integrity, references, report, versions
+from cohortlens.plans import queries
 from cohortlens.session import scratch_path
 from cohortlens.sources.schemas import Reference
 from conftest import plan_of, tuples
@@ -145,6 +146,26 @@ def test_refresh_refuses_repeated_keys_and_keeps_the_old_list(spark):
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
+def test_a_refresh_by_modules_computes_its_sources_once(spark, folder, monkeypatch):
+    """Submissions and enrolments are derived once for both refreshes, and the columns are read without rows."""
+    built, derived = [], []
+
+    def build(sources, run=queries.report_from):
+        built.append(sources)
+        return run(sources)
+
+    def submissions(*args, run=queries.submissions):
+        derived.append(args)
+        return run(*args)
+
+    monkeypatch.setattr(queries, "report_from", build)
+    monkeypatch.setattr(queries, "submissions", submissions)
+    assert len(queries.QUERIES["report_refreshed_modules"](spark, folder).collect()) == 5
+    assert len(derived) == 1 and len(built) == 3
+    assert all("Join" not in plan_of(df) for sources in built for df in sources.values())
+    assert [any(not df.isEmpty() for df in sources.values()) for sources in built] == [True, True, False]
+
+
 def test_refresh_of_nothing(spark):
     table, folder = f"stand_{uuid.uuid4().hex}", scratch_path(spark, "versions")
     try:
