@@ -8,6 +8,7 @@ import pytest
 
 from cohortlens.functions.sized import TooManyLevels, distinct_values, small_side
 from cohortlens.plans.queries import QUERIES
+from cohortlens.sources import standins
 from conftest import plan_of
 
 LAZY = [
@@ -87,6 +88,14 @@ def test_group_totals_reuse_the_counts(spark, folder, nothing_small):
     assert len(re.findall(r"FileScan parquet \[o_custkey", final)) == 1
 
 
+def test_enrolments_are_not_made_in_the_task_of_the_nations(spark, folder):
+    df = standins.student_info(spark, folder)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert "SortMergeJoin [id_student" in final and "BroadcastHashJoin [id_student" not in final
+    assert not re.search(r"FileScan parquet \[n_nationkey", final)  # counted before, and broadcast
+
+
 def test_size_check_refuses_to_broadcast(spark, nothing_small):
     small = spark.range(10).join(small_side(spark.range(50), 50), "id")
     large = spark.range(10).join(small_side(spark.range(50), 49), "id")
