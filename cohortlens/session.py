@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,6 +29,32 @@ def local_session(cores: int | str = 8, app: str = "cohortlens", **settings: str
     return spark
 
 
+#: Bytes of a table, and of shuffled rows, that one task reads. A task that groups by nearly unique keys holds
+#: up to 30 times that, since shuffled rows are compressed.
+TASK_BYTES = {
+    "spark.sql.files.maxPartitionBytes": 16 << 20,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20,
+}
+BYTE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+
+
+def byte_count(text: str) -> int:
+    """Bytes of a size as Spark writes it: ``64MB``, ``16k``, ``134217728b``."""
+    number, unit = re.fullmatch(r"([0-9]+)([a-z]*)", text.strip().lower()).groups()
+    return int(number) * BYTE_UNITS[unit if unit == "b" else unit.removesuffix("b")]
+
+
+def bound_tasks(spark: SparkSession) -> None:
+    """Let a task read at most ``TASK_BYTES``, unless the session has smaller bounds.
+
+    Spark's own bounds (128 and 64 MB) let a task's hash tables grow with the input up to gigabytes. Only the
+    number of tasks follows from this, never what they compute.
+    """
+    for key, most in TASK_BYTES.items():
+        if byte_count(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the one named by ``spark.checkpoint.dir``.
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cohortlens.functions.sized import small_side
+from cohortlens.session import bound_tasks
 
 # The mapping from the test tables to the domain.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -46,6 +47,7 @@ def star_schema(application: str, path: str) -> T.StructType:
 
 
 def star_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bound_tasks(spark)
     path = os.path.join(folder, f"{name}.parquet")
     return spark.read.schema(star_schema(spark.sparkContext.applicationId, path)).parquet(path)
 

@@ -8,6 +8,7 @@ import pytest
 
 from cohortlens.functions.sized import TooManyLevels, distinct_values, small_side
 from cohortlens.plans.queries import QUERIES
+from cohortlens.session import TASK_BYTES, byte_count
 from cohortlens.sources import standins
 from conftest import plan_of
 
@@ -96,6 +97,30 @@ def test_enrolments_are_not_made_in_the_task_of_the_nations(spark, folder):
     assert not re.search(r"FileScan parquet \[n_nationkey", final)  # counted before, and broadcast
 
 
+@pytest.fixture
+def own_bounds(spark):
+    saved = {key: spark.conf.get(key) for key in TASK_BYTES}
+    yield
+    for key, value in saved.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("bound", ["64MB", "134217728b", "1g", "16777217"])
+def test_reading_a_table_bounds_its_tasks(spark, folder, own_bounds, bound):
+    for key in TASK_BYTES:
+        spark.conf.set(key, bound)
+    assert byte_count(spark.conf.get("spark.sql.files.maxPartitionBytes")) > max(TASK_BYTES.values())
+    standins.star_table(spark, folder, "region")
+    assert {key: byte_count(spark.conf.get(key)) for key in TASK_BYTES} == TASK_BYTES
+
+
+def test_smaller_bounds_stay(spark, folder, own_bounds):
+    for key in TASK_BYTES:
+        spark.conf.set(key, "64k")
+    standins.star_table(spark, folder, "region")
+    assert {spark.conf.get(key) for key in TASK_BYTES} == {"64k"}
+
+
 def test_size_check_refuses_to_broadcast(spark, nothing_small):
     small = spark.range(10).join(small_side(spark.range(50), 50), "id")
     large = spark.range(10).join(small_side(spark.range(50), 49), "id")
