@@ -16,7 +16,8 @@ named article (``article``, ``main``) are taken if they are at least half of the
 decides where there is no page to compare with or the difference leaves nothing of the named article.
 
 The heavy html is not shuffled: a first pass reduces each page to fingerprints of its lines, only those
-are ordered and paired, and the line numbers to delete are joined back.
+are ordered and paired, and the line numbers to delete are joined back to the texts of the lines, which a
+second pass takes from the html again.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from os.path import commonprefix
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
 from cohortlens.llm.common import text_or_empty
@@ -208,17 +209,26 @@ def deletions(light: DataFrame) -> DataFrame:
     )
 
 
+LINES = ArrayType(StructType([StructField("text", StringType()), StructField("in_main", BooleanType())]))
+
+
+@F.arrow_udf(LINES)
+def lines_of(htmls: pa.Array) -> pa.Array:
+    """The lines of each page."""
+    lines = [[line._asdict() for line in page_lines(html)] for html in htmls.to_pylist()]
+    return pa.array(lines, pa.list_(pa.struct([("text", pa.string()), ("in_main", pa.bool_())])))
+
+
 @F.arrow_udf(StringType())
-def main_text_of(htmls: pa.Array, deleted: pa.Array) -> pa.Array:
+def main_text_of(pages: pa.Array, deleted: pa.Array) -> pa.Array:
     texts = []
-    for html, gone in zip(htmls.to_pylist(), deleted.to_pylist()):
-        lines = page_lines(html)
+    for lines, gone in zip(pages.to_pylist(), deleted.to_pylist()):
         without = set(gone or ())
         kept = [line for k, line in enumerate(lines) if k not in without]
-        inside = [line for line in kept if line.in_main]
-        named = sum(len(line.text) for line in inside)
-        teaser = gone is not None and 2 * named < sum(len(line.text) for line in kept)
-        texts.append(" ".join(line.text for line in (inside if inside and not teaser else kept)))
+        inside = [line for line in kept if line["in_main"]]
+        named = sum(len(line["text"]) for line in inside)
+        teaser = gone is not None and 2 * named < sum(len(line["text"]) for line in kept)
+        texts.append(" ".join(line["text"] for line in (inside if inside and not teaser else kept)))
     return pa.array(texts, pa.string())
 
 
@@ -230,10 +240,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     gone = cut_lineage(deletions(fingerprints(pages)))
     content = F.xxhash64("url", "html")
-    held = pages.select("page_id", "url", "html", F.col("page_id").cast("long").alias("page"), content.alias("content"))
+    held = pages.select(
+        "page_id", "url", F.col("page_id").cast("long").alias("page"), content.alias("content"), lines_of(text_or_empty("html")).alias("own")
+    )
+    # A row per page is too long for a broadcast as soon as there are many pages.
     same = [held["page"].eqNullSafe(gone["page"]), held["content"] == gone["content"]]
     return (
-        held.join(gone, same, "left")
-        .select("page_id", "url", main_text_of(text_or_empty("html"), "deleted").alias("text"))
+        held.join(gone.hint("merge"), same, "left")
+        .select("page_id", "url", main_text_of("own", "deleted").alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )

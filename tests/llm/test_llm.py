@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from cohortlens.llm import byte_bpe, chat_format, decontaminate, lcs, pii, quality_rules, shingles, warc
 from cohortlens.llm.components import components
+from conftest import plan_of
 from cohortlens.llm.main_text import deletions, fingerprints, main_text
 from cohortlens.llm.page_lines import page_lines
 from cohortlens.llm.perfect_hash import PerfectHash
@@ -251,6 +252,17 @@ def test_very_long_and_deep_pages():
     assert len(lines) == 100_000 and lines[0] == ("w", False) and lines[-1] == ("v", True)
 
 
+def test_main_text_shuffles_lines_instead_of_html(spark):
+    """At every size: the html stays where it is read, and no list as long as the pages is broadcast."""
+    pages = spark.createDataFrame([(1, "http://h/a", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string")
+    df = main_text(pages)
+    assert {tuple(row) for row in df.collect()} == {(1, "http://h/a", "x", 1), (None, None, "", 0)}
+    plan = plan_of(df).split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    above = plan[: plan.index("lines_of(")]
+    assert "html#" not in above
+
+
 def test_main_text_by_differencing(spark):
     def page(k, body):
         return k, f"http://h.example/a/{k:03d}", f"<div>Home</div><div>Terms</div><p>{body}</p><div>Foot</div>"
