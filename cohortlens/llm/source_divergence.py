@@ -32,10 +32,11 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from cohortlens.llm.common import text_or_empty
@@ -50,19 +51,26 @@ LARGEST_INT = 2**31 - 1
 MARK = ":"
 
 
-@F.arrow_udf(StringType())
+@F.arrow_udf(ArrayType(StringType()))
 def different_terms(texts: pa.Array, tags: pa.Array) -> pa.Array:
-    """The terms of each text, each once and behind the text's tag, separated by spaces."""
+    """The terms of each text, each once and behind the text's tag; NULL for a text without terms."""
     out = []
     for text, tag in zip(texts.cast(pa.binary()).to_pylist(), tags.cast(pa.binary()).to_pylist()):
-        out.append((b" " + tag).join([b"", *dict.fromkeys(text.translate(LETTERS).split())])[1:])
-    return pa.array(out, pa.binary()).cast(pa.string())
+        out.append((b" " + tag).join([b"", *dict.fromkeys(text.translate(LETTERS).split())])[1:] or None)
+    # Split here: Spark's own split makes a Java string of the text and of each term, and encodes them again.
+    return pc.split_pattern(pa.array(out, pa.binary()).cast(pa.string()), " ")
 
 
 def tag_of(lang: Column) -> Column:
     return F.concat(F.hex(lang), F.lit(MARK))
 
 
+def term_lists() -> Column:
+    """The different terms of a row's text, tagged; an empty list for none."""
+    found = different_terms(text_or_empty("text"), tag_of(text_or_empty("lang")))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
 def kept_terms(docs: DataFrame, min_df: int) -> list[str]:
     """The tagged terms in at least ``min_df`` documents of their language: a ``CountVectorizer``'s vocabulary.
 
@@ -71,8 +79,7 @@ def kept_terms(docs: DataFrame, min_df: int) -> list[str]:
     the fit gets each only once.
     """
     spark = docs.sparkSession
-    joined = different_terms(text_or_empty("text"), tag_of(text_or_empty("lang")))
-    terms = docs.select(F.array_remove(F.split(joined, " "), "").alias("terms"))
+    terms = docs.select(term_lists().alias("terms"))
     filler = spark.range(0, min_df, 1, 1).select(F.array(F.lit(MARK)).alias("terms"))
     vectorizer = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT)
     return vectorizer.fit(terms.unionByName(filler)).vocabulary

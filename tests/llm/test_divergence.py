@@ -9,6 +9,7 @@ from random import Random
 from pyspark.sql import functions as F
 
 from cohortlens.llm import source_divergence as sd
+from conftest import plan_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,3 +75,13 @@ def test_probabilities_are_exact_beyond_doubles(spark):
         sd.probability(F.lit(big), F.lit(3 * big), F.lit(1000)).alias("p"), sd.probability(F.lit(0), F.lit(0), F.lit(0)).alias("none")
     ).first()
     assert row["p"] == 1 + sd.SCALE * (big + 5) // (3 * big + 5000) and row["none"] is None
+
+
+def test_terms_arrive_as_a_list_that_spark_does_not_split(spark):
+    """A text without terms has an empty list; Spark's own split would copy each term several times."""
+    texts = [("a B a-b \u00c9\u00e9", "x"), ("", "x"), (None, None), ("1 2", ""), (" c", None)]
+    docs = spark.createDataFrame([(k, text, lang, "s", 0) for k, (text, lang) in enumerate(texts)], SCHEMA)
+    listed = docs.select("doc_id", sd.term_lists().alias("terms"))
+    got = {row["doc_id"]: row["terms"] for row in listed.collect()}
+    assert got == {0: ["78:a", "78:b", "78:\u00c9\u00e9"], 1: [], 2: [], 3: [], 4: [":c"]}
+    assert "split(" not in plan_of(listed)
