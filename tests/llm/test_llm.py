@@ -254,12 +254,12 @@ def test_very_long_and_deep_pages():
 
 def test_main_text_shuffles_lines_instead_of_html(spark):
     """At every size: the html stays where it is read, and no list as long as the pages is broadcast."""
-    pages = spark.createDataFrame([(1, "http://h/a", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string")
-    df = main_text(pages)
-    assert {tuple(row) for row in df.collect()} == {(1, "http://h/a", "x", 1), (None, None, "", 0)}
+    rows = [(k, f"http://h/{k}", f"<p>menu</p><p>text {k}</p>") for k in range(6)] + [(None, None, None)]
+    df = main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {(row["page_id"], row["text"]) for row in df.collect()} == {(None, ""), *((k, f"text {k}") for k in range(6))}
     plan = plan_of(df).split("== Initial Plan ==")[0]
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
-    above = plan[: plan.index("lines_of(")]
+    above = plan[: plan.index("Exchange hashpartitioning")]
     assert "html#" not in above
 
 
