@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import TwoGenerations, text_or_empty
+from cohortlens.llm.common import TwoGenerations, kept_for, text_or_empty
 from cohortlens.llm.perfect_hash import PerfectHash
 
 #: A space next to other white space, or at an end: there a pre-token may span what lies beside a space.
@@ -135,25 +135,39 @@ class ByteEncoder:
         first, *rest = text.split(" ")
         return self.cut(first) + b"".join(map(self.after_space.__getitem__, rest))
 
+    def ids(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text."""
+        packed = [self.packed(text) for text in texts.to_pylist()]
+        ends = np.cumsum([0, *(len(own) // 4 for own in packed)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
-#: The encoder and the decoder's tokens of this worker process, the last ones used. Only functions of this
-#: module may name them: a function that is sent to the workers would bring a copy along.
-ENCODERS: dict[tuple[str, str], ByteEncoder] = {}
-TOKENS: dict[str, pa.BinaryArray] = {}
 
+class Decoder:
+    """Lists of token ids to bytes."""
 
-def held_encoder(path: str, pattern: str, vocabulary) -> ByteEncoder:
-    if (path, pattern) not in ENCODERS:
-        ENCODERS.clear()
-        ENCODERS[path, pattern] = ByteEncoder(vocabulary.value, pattern)
-    return ENCODERS[path, pattern]
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.tokens = vocabulary.array()
 
+    def decoded(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """The bytes each list stands for; no ids give no bytes, NULL gives NULL."""
+        taken = self.tokens.take(ids.flatten())
+        if taken.null_count:
+            raise ValueError("an id stands for no token")
+        # The tokens taken lie one after the other: a row's bytes are those between two offsets.
+        lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+        places = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :]
+        ends = places[np.concatenate([[0], np.cumsum(lengths)])]
+        data = taken.buffers()[2] or pa.py_buffer(b"")
+        whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), data])
+        return pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary()))
 
-def held_tokens(path: str, vocabulary) -> pa.BinaryArray:
-    if path not in TOKENS:
-        TOKENS.clear()
-        TOKENS[path] = vocabulary.value.array()
-    return TOKENS[path]
+
+def held(kind: type, vocabulary, *key: str):
+    """A ``ByteEncoder`` or ``Decoder`` of this worker process, the last one used of its kind."""
+    mine = kept_for("byte_bpe")
+    if mine.get(kind, (None, None))[0] != key:
+        mine[kind] = key, kind(vocabulary.value, *key[1:])
+    return mine[kind][1]
 
 
 def encode(
@@ -169,13 +183,9 @@ def encode(
     id_type = chosen.schema[0].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held_encoder(path, pattern, vocabulary)
+        encoder = held(ByteEncoder, vocabulary, path, pattern)
         for batch in batches:
-            packed = [encoder.packed(text) for text in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *(len(ids) // 4 for ids in packed)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(ends), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_column, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.ids(batch.column(1))], [id_column, "ids"])
 
     return chosen.mapInArrow(run, f"`{id_column}` {id_type}, ids array<int>")
 
@@ -186,23 +196,26 @@ def decoder(spark, path: str):
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = held_tokens(path, vocabulary)
-        for batch in batches:
-            taken = tokens.take(batch.flatten())
-            if taken.null_count:
-                raise ValueError("an id stands for no token")
-            # The tokens taken lie one after the other: a row's bytes are those between two offsets.
-            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
-            places = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :]
-            ends = places[np.concatenate([[0], np.cumsum(lengths)])]
-            data = taken.buffers()[2] or pa.py_buffer(b"")
-            whole = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32)), data])
-            yield pc.if_else(batch.is_valid(), whole, pa.scalar(None, pa.binary()))
+        yield from map(held(Decoder, vocabulary, path).decoded, batches)
 
     return decode
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
-    """``encode`` with ``decoded``, the bytes that the ids stand for."""
-    encoded = encode(docs, path, pattern, id_column)
-    return encoded.withColumn("decoded", decoder(docs.sparkSession, path)(F.col("ids")))
+    """``encode`` with ``decoded``, the bytes that the ids stand for, as ``decoder`` gives them.
+
+    Both in one pass: with a Python function each, a task would hold two worker processes, and since workers
+    are handed out in turn, every one of them would come to keep an encoder and its caches.
+    """
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(path)))
+    chosen = docs.select(F.col(id_column), text_or_empty().alias("text"))
+    id_type = chosen.schema[0].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder_ = held(ByteEncoder, vocabulary, path, pattern), held(Decoder, vocabulary, path)
+        for batch in batches:
+            ids = encoder.ids(batch.column(1))
+            columns = [batch.column(0), ids, decoder_.decoded(ids)]
+            yield pa.RecordBatch.from_arrays(columns, [id_column, "ids", "decoded"])
+
+    return chosen.mapInArrow(run, f"`{id_column}` {id_type}, ids array<int>, decoded binary")

@@ -7,6 +7,7 @@ import os
 from pathlib import Path
 from zipfile import ZipFile
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,22 @@ class TwoGenerations(dict):
         return value
 
 
+#: What this worker process keeps from task to task, by operator; only ``kept_for`` names it.
+KEPT: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """What ``operator`` keeps in this worker process, empty at first.
+
+    Workers pass from one operator to the next, so what others kept is let go: it would only add up.
+    """
+    if operator not in KEPT:
+        KEPT.clear()
+        KEPT[operator] = {}
+        pa.default_memory_pool().release_unused()
+    return KEPT[operator]
+
+
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a shared folder and the folder's path in it, for files that tasks write."""
     system, path = fs.FileSystem.from_uri(uri)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from cohortlens.llm.common import open_folder, text_or_empty
+from cohortlens.llm.common import kept_for, open_folder, text_or_empty
 from cohortlens.session import cut_lineage, scratch_path
 
 WINDOW = 10
@@ -208,17 +208,15 @@ def stored_automata(items: DataFrame, window: int, block_chars: int, piece_words
     return folder, sorted(row["name"] for row in cut_lineage(blocks).collect())
 
 
-#: The automaton of this worker process, the last one used, by its file.
-AUTOMATA: dict[tuple[str, str], SuffixAutomaton] = {}
-
-
 def held_automaton(folder: str, name: str) -> SuffixAutomaton:
-    if (folder, name) not in AUTOMATA:
-        AUTOMATA.clear()
+    """The automaton of a file; this worker process keeps the last one used."""
+    mine = kept_for("decontaminate")
+    if (folder, name) not in mine:
+        mine.clear()
         system, path = open_folder(folder)
         with system.open_input_stream(f"{path}/{name}") as stream:
-            AUTOMATA[folder, name] = pickle.load(stream)
-    return AUTOMATA[folder, name]
+            mine[folder, name] = pickle.load(stream)
+    return mine[folder, name]
 
 
 def found_in(texts: list[str | None], folder: str, names: list[str]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortlens.functions.sized import small_side
-from cohortlens.llm.common import packed, text_or_empty
+from cohortlens.llm.common import kept_for, packed, text_or_empty
 from cohortlens.session import cut_lineage
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -70,10 +70,16 @@ def text_features(text: str) -> tuple[int, ...]:
 
 @F.pandas_udf(StructType([StructField(name, LongType()) for name in FEATURES]))
 def features_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kept_for("quality_rules")
     for texts in batches:
         yield pd.DataFrame([text_features(text) for text in texts], columns=FEATURES, dtype="int64")
 
 
+#: Declared non-deterministic, which it is not: else Spark runs it once more, in a second worker process of each
+#: task, for the conditions that it moves below the join with the cutoffs.
+features_once = features_of.asNondeterministic()
+
+
 def base_failed(features: str = "features") -> Column:
     n, repeats = F.col(f"{features}.n_words"), F.col(f"{features}.n_repeat_words")
     return (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
@@ -141,7 +147,7 @@ def stratum_of(column: str | None) -> Column:
 def with_features(docs: DataFrame, text_column: str = "text", stratum_column: str | None = "lang") -> DataFrame:
     """``docs`` with the struct ``features`` and ``stratum``, computed in the map stage."""
     return docs.withColumns(
-        {"features": features_of(text_or_empty(text_column)), "stratum": stratum_of(stratum_column)}
+        {"features": features_once(text_or_empty(text_column)), "stratum": stratum_of(stratum_column)}
     )
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from cohortlens.llm.common import packed, text_or_empty
+from cohortlens.llm.common import kept_for, packed, text_or_empty
 from cohortlens.llm.components import components
 from cohortlens.llm.shingles import (
     LINK,
@@ -72,6 +72,7 @@ def measured(docs: DataFrame, words: int) -> DataFrame:
     of sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("shingle_join")
         for batch in batches:
             sets = [shingle_set(text, words) for text in batch.column(2).to_pylist()]
             nodes = [class_id(members) for members in sets]

@@ -27,7 +27,7 @@ from cohortlens.llm.queries import ORACLES, QUERIES
 from cohortlens.llm.shingle_join import one_of_each, shingle_components
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.token_files import Shard, read_tokens, token_files, write_tokens
-from cohortlens.llm.common import open_folder
+from cohortlens.llm.common import kept_for, open_folder
 from cohortlens.session import scratch_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -126,6 +126,29 @@ def test_byte_bpe_cuts_as_the_library_does():
         assert np.frombuffer(own.packed(text), np.int32).tolist() == library.encode_ordinary(text), text
 
 
+def test_ids_decode_apart_from_encoding(messy):
+    both = byte_bpe.round_trip(messy, BYTE_BPE, public_tokenizers.PATTERN)
+    ids = byte_bpe.encode(messy, BYTE_BPE, public_tokenizers.PATTERN)
+    apart = ids.withColumn("decoded", byte_bpe.decoder(messy.sparkSession, BYTE_BPE)("ids"))
+    rows = [Counter((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in df.collect()) for df in (both, apart)]
+    assert rows[0] == rows[1]
+
+
+def test_a_task_has_one_python_process(spark):
+    docs = spark.createDataFrame([(1, "word " * 60, "en", "s", 300)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    encoded = byte_bpe.round_trip(docs, BYTE_BPE, public_tokenizers.PATTERN)
+    for stage in (quality_rules.keep_good(docs, labels), encoded):
+        plan = plan_of(stage)
+        assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1, plan
+
+
+def test_an_operator_lets_go_what_another_kept():
+    kept_for("one")["key"] = "value"
+    assert kept_for("one") == {"key": "value"}
+    assert kept_for("two") == {} and kept_for("one") == {}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 500])
 def test_perfect_hash_is_minimal_and_knows_strangers(n):
     keys = [f"key {k}".encode() for k in range(n)]
