@@ -17,18 +17,19 @@ decides where there is no page to compare with or the difference leaves nothing
 
 The heavy html is not shuffled: a first pass reduces each page to fingerprints of its lines, only those
 are ordered and paired, and the line numbers to delete are joined back to the texts of the lines, which a
-second pass takes from the html again.
+second pass takes from the html again and compresses page by page.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, StringType
 from xxhash import xxh3_64_intdigest
 
 from cohortlens.llm.common import text_or_empty
@@ -112,10 +113,19 @@ def ranked(light: DataFrame) -> DataFrame:
     )
 
 
+@F.arrow_udf(ArrayType(BooleanType()))
+def among(lines: pa.Array, some: pa.Array) -> pa.Array:
+    """For each line of a page whether it is one of ``some``."""
+    flags = [[line in held for line in own] for own, held in zip(lines.to_pylist(), map(set, some.to_pylist()))]
+    return pa.array(flags, pa.list_(pa.bool_()))
+
+
 def with_rare(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``rare``, the lines that at most one in ``RARE_PART`` pages of the host has.
+    """``pages`` with ``is_rare``, for each line whether at most one in ``RARE_PART`` pages of the host has it, and
+    ``rare_hash``, a hash of the rare lines.
 
-    The other lines are at most ``RARE_PART`` times as many a host as an average page has.
+    The other lines are at most ``RARE_PART`` times as many a host as an average page has. A flag a line is
+    stored and sent on, not the fingerprints of the rare lines a second time.
     """
     distinct = cut_lineage(pages.select("host", "page", "content", F.array_distinct("lines").alias("own")).distinct())
     n_pages = distinct.groupBy("host").agg(F.count("*").alias("n_pages"))
@@ -128,18 +138,21 @@ def with_rare(pages: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<bigint>")
     rare = F.array_sort(F.array_except("lines", F.coalesce("common", none)))
-    return cut_lineage(pages.join(cut_lineage(common), "host", "left").withColumn("rare", rare).drop("common"))
+    flagged = pages.join(cut_lineage(common), "host", "left").withColumn("rare", rare)
+    return cut_lineage(
+        flagged.withColumn("is_rare", among("lines", "rare")).withColumn("rare_hash", F.xxhash64("rare")).drop("common", "rare")
+    )
 
 
 def seen_by_blocks(pages: DataFrame) -> DataFrame:
     """The rows that each block sees, with ``seen_by`` its number: its own, the two blocks beside it, and of
     each of its hosts the pages of the smallest and the largest hash of the rare lines."""
-    columns = ["page", "content", "host", "path", "main", "lines", "sizes", "rare", "rank", "block"]
+    columns = ["page", "content", "host", "path", "main", "lines", "sizes", "is_rare", "rank", "block"]
     beside = F.explode(F.array(*(F.col("block") + k for k in (-1, 0, 1)))).alias("seen_by")
-    key = F.struct(F.xxhash64("rare").alias("hash"), "rank")
-    ends = pages.groupBy("host").agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    ranks = ends.select("host", F.explode(F.array_distinct(F.array("low.rank", "high.rank"))).alias("rank"))
-    shown = pages.join(ranks, ["host", "rank"])
+    key, row = F.struct("rare_hash", "rank"), F.struct(*(name for name in columns if name != "host"))
+    # The two rows of a host come out of the grouping: a join by rank would shuffle every page for them.
+    ends = pages.groupBy("host").agg(F.min_by(row, key).alias("low"), F.max_by(row, key).alias("high"))
+    shown = ends.select("host", F.inline(F.array("low", "high")))
     hosts = pages.select("host", F.col("block").alias("seen_by")).distinct()
     return pages.select(*columns, beside).unionByName(shown.join(hosts, "host").select(*columns, "seen_by"))
 
@@ -147,9 +160,8 @@ def seen_by_blocks(pages: DataFrame) -> DataFrame:
 def is_copy(page: dict, other: dict) -> bool:
     if not page["rare"] and not other["rare"]:
         return True
-    held, sizes = set(other["rare"]), dict(zip(page["lines"], page["sizes"]))
-    shared = sum(sizes[line] for line in page["rare"] if line in held)
-    return shared > COPY_SHARE * sum(sizes[line] for line in page["rare"])
+    shared = sum(size for line, size in page["rare"].items() if line in other["rare"])
+    return shared > COPY_SHARE * sum(page["rare"].values())
 
 
 def partner(pages: list[dict], page: dict) -> dict | None:
@@ -188,6 +200,7 @@ def deletions(light: DataFrame) -> DataFrame:
     def differenced(block: list[dict]) -> Iterator[pa.RecordBatch]:
         by_host: dict[str, dict[int, dict]] = {}
         for row in block:
+            row["rare"] = {line: size for line, size, rare in zip(row["lines"], row["sizes"], row["is_rare"]) if rare}
             by_host.setdefault(row["host"], {})[row["rank"]] = row
         found: list[tuple[int | None, int, list[int]]] = []
         for by_rank in by_host.values():
@@ -209,26 +222,36 @@ def deletions(light: DataFrame) -> DataFrame:
     )
 
 
-LINES = ArrayType(StructType([StructField("text", StringType()), StructField("in_main", BooleanType())]))
+def packed(lines: list[Line]) -> bytes:
+    """Lines as compressed bytes, each behind a mark whether it is in a named article.
+
+    Spark compresses what it shuffles in short blocks for speed; a page's text is about a third smaller so.
+    """
+    return zlib.compress("\n".join(("+" if line.in_main else "-") + line.text for line in lines).encode(), 1)
+
+
+def unpacked(data: bytes) -> list[Line]:
+    """The lines of ``packed``; a line has no break inside."""
+    text = zlib.decompress(data).decode()
+    return [Line(line[1:], line[0] == "+") for line in text.split("\n")] if text else []
 
 
-@F.arrow_udf(LINES)
+@F.arrow_udf(BinaryType())
 def lines_of(htmls: pa.Array) -> pa.Array:
-    """The lines of each page."""
-    lines = [[line._asdict() for line in page_lines(html)] for html in htmls.to_pylist()]
-    return pa.array(lines, pa.list_(pa.struct([("text", pa.string()), ("in_main", pa.bool_())])))
+    """The lines of each page, packed."""
+    return pa.array([packed(page_lines(html)) for html in htmls.to_pylist()], pa.binary())
 
 
 @F.arrow_udf(StringType())
 def main_text_of(pages: pa.Array, deleted: pa.Array) -> pa.Array:
     texts = []
-    for lines, gone in zip(pages.to_pylist(), deleted.to_pylist()):
+    for own, gone in zip(pages.to_pylist(), deleted.to_pylist()):
         without = set(gone or ())
-        kept = [line for k, line in enumerate(lines) if k not in without]
-        inside = [line for line in kept if line["in_main"]]
-        named = sum(len(line["text"]) for line in inside)
-        teaser = gone is not None and 2 * named < sum(len(line["text"]) for line in kept)
-        texts.append(" ".join(line["text"] for line in (inside if inside and not teaser else kept)))
+        kept = [line for k, line in enumerate(unpacked(own)) if k not in without]
+        inside = [line for line in kept if line.in_main]
+        named = sum(len(line.text) for line in inside)
+        teaser = gone is not None and 2 * named < sum(len(line.text) for line in kept)
+        texts.append(" ".join(line.text for line in (inside if inside and not teaser else kept)))
     return pa.array(texts, pa.string())
 
 

@@ -20,8 +20,8 @@ import corpus_pipeline
 from cohortlens.llm import byte_bpe, chat_format, decontaminate, lcs, pii, quality_rules, shingles, warc
 from cohortlens.llm.components import components
 from conftest import plan_of
-from cohortlens.llm.main_text import deletions, fingerprints, main_text
-from cohortlens.llm.page_lines import page_lines
+from cohortlens.llm.main_text import deletions, fingerprints, lines_of, main_text, packed, ranked, unpacked, with_rare
+from cohortlens.llm.page_lines import Line, page_lines
 from cohortlens.llm.perfect_hash import PerfectHash
 from cohortlens.llm.queries import ORACLES, QUERIES
 from cohortlens.llm.shingle_join import one_of_each, shingle_components
@@ -286,6 +286,25 @@ def test_main_text_shuffles_lines_instead_of_html(spark):
     assert "html#" not in above
 
 
+def test_main_text_shuffles_packed_lines(spark):
+    """What the join and the blocks shuffle of a page: packed texts, and no line's fingerprint twice."""
+    odd = "<p>a\x1fb\u2028c &amp; d</p><article>+ in it</article><p>- &#10; \U0001f600</p>"
+    for html in ("", "<p> </p>", odd):
+        assert unpacked(packed(page_lines(html))) == page_lines(html)
+    assert unpacked(packed([Line("+", False), Line("-", True)])) == [Line("+", False), Line("-", True)]
+    random = Random(5)
+    words = ["".join(random.choices("etaoinshrdlu", k=random.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(random.choices(words, k=700)) for _ in range(6)]
+    rows = [(k, f"http://h/{k}", f"<p>{text}</p><p>menu</p>") for k, text in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sizes = pages.select(F.octet_length(lines_of("html")).alias("n")).collect()
+    assert sum(row["n"] for row in sizes) < 0.5 * sum(map(len, texts))
+    seen = with_rare(ranked(fingerprints(pages)))
+    assert [name for name, kind in seen.dtypes if kind == "array<bigint>"] == ["lines"]
+    assert {tuple(row["is_rare"]) for row in seen.collect()} == {(True, False)}
+    assert plan_of(deletions(fingerprints(pages))).count("Join") == 1  # only the hosts' two rows meet the blocks
+
+
 def test_main_text_by_differencing(spark):
     def page(k, body):
         return k, f"http://h.example/a/{k:03d}", f"<div>Home</div><div>Terms</div><p>{body}</p><div>Foot</div>"
