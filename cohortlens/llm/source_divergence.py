@@ -16,7 +16,10 @@ The distance of two groups over the whole vocabulary is then evaluated sparsely:
 
 The second line needs only how many terms of a group have which probability, a short list by Zipf's law;
 only the third joins terms, and each pair of groups is summed in the map stage. All numbers are integers
-held in longs, and in decimals where 10^9 times a count may exceed one.
+held in longs, and in decimals where 10^9 times a count exceeds one.
+
+Large intermediate rows name a group by a number and a term by its index in the vocabulary, which implies the
+language; names come back once the rows are few.
 
 The vocabulary (terms in at least ``min_df`` documents of a language) is held by the driver and sent to
 the executors: that is how ``CountVectorizer`` works, and it is the one thing here that grows with the
@@ -25,8 +28,8 @@ number of different terms.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -51,23 +54,54 @@ LARGEST_INT = 2**31 - 1
 MARK = ":"
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def different_terms(texts: pa.Array, tags: pa.Array) -> pa.Array:
-    """The terms of each text, each once and behind the text's tag; NULL for a text without terms."""
-    out = []
-    for text, tag in zip(texts.cast(pa.binary()).to_pylist(), tags.cast(pa.binary()).to_pylist()):
-        out.append((b" " + tag).join([b"", *dict.fromkeys(text.translate(LETTERS).split())])[1:] or None)
-    # Split here: Spark's own split makes a Java string of the text and of each term, and encodes them again.
-    return pc.split_pattern(pa.array(out, pa.binary()).cast(pa.string()), " ")
+#: Terms not yet listed often enough that a task remembers; beyond, it starts to count anew.
+LISTED_AT_ONCE = 1 << 18
+
+
+def different_terms(at_most: int | None, remembered: int) -> Callable[..., Column]:
+    """A function of texts and their tags: the terms of each text, each once and behind the tag; NULL for none.
+
+    With ``at_most``, a task leaves out a term that it has listed for so many texts of the tag already. So a term
+    is listed for at least ``at_most`` texts in all if and only if it is in so many, and else for all it is in.
+    """
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        listed: defaultdict[bytes, dict[bytes, int]] = defaultdict(dict)
+        enough: defaultdict[bytes, set[bytes]] = defaultdict(set)
+        size = 0
+        for texts, tags in batches:
+            out = []
+            for text, tag in zip(texts.cast(pa.binary()).to_pylist(), tags.cast(pa.binary()).to_pylist()):
+                own = dict.fromkeys(text.translate(LETTERS).split())
+                if at_most is not None:
+                    own = own.keys() - enough[tag]
+                    times = listed[tag]
+                    size -= len(times)
+                    for term in own:
+                        time = times.get(term, 0) + 1
+                        if time < at_most:
+                            times[term] = time
+                        else:
+                            enough[tag].add(term)
+                            times.pop(term, None)
+                    size += len(times)
+                    if size >= remembered:
+                        listed.clear()
+                        size = 0
+                out.append((b" " + tag).join([b"", *own])[1:] or None)
+            # Split here: Spark's own split makes a Java string of the text and of each term, and encodes them again.
+            yield pc.split_pattern(pa.array(out, pa.binary()).cast(pa.string()), " ")
+
+    return F.arrow_udf(run, ArrayType(StringType()))
 
 
 def tag_of(lang: Column) -> Column:
     return F.concat(F.hex(lang), F.lit(MARK))
 
 
-def term_lists() -> Column:
-    """The different terms of a row's text, tagged; an empty list for none."""
-    found = different_terms(text_or_empty("text"), tag_of(text_or_empty("lang")))
+def term_lists(at_most: int | None = None, remembered: int = LISTED_AT_ONCE) -> Column:
+    """The different terms of a row's text, tagged; an empty list for none. See ``different_terms``."""
+    found = different_terms(at_most, remembered)(text_or_empty("text"), tag_of(text_or_empty("lang")))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
@@ -76,10 +110,11 @@ def kept_terms(docs: DataFrame, min_df: int) -> list[str]:
 
     ``min_df`` rows with one term of their own keep the vocabulary from being empty, which the fit
     refuses. A document frequency counts a term of a document once, however often it occurs there, so
-    the fit gets each only once.
+    the fit gets each only once. Whether a term is kept is known after ``min_df`` documents, so a task lists
+    none for more: frequent terms are most of what the fit would hash as Java strings.
     """
     spark = docs.sparkSession
-    terms = docs.select(term_lists().alias("terms"))
+    terms = docs.select(term_lists(min_df).alias("terms"))
     filler = spark.range(0, min_df, 1, 1).select(F.array(F.lit(MARK)).alias("terms"))
     vectorizer = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=LARGEST_INT)
     return vectorizer.fit(terms.unionByName(filler)).vocabulary
@@ -90,7 +125,7 @@ ENTRIES_AT_ONCE = 1 << 20
 
 
 def group_vectors(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Sparse sums of document vectors over ``words``, several rows per group: ``lang, source, indices, counts``; stored.
+    """Sparse sums of document vectors over ``words``, several rows per group: ``lang, source, entries``; stored.
 
     A document's vector is what the vectorizer's own model gives, with whole numbers; it is built from counted
     terms, since the model looks up every occurrence as a string of its own. A task sums the vectors of a
@@ -132,15 +167,15 @@ def group_vectors(docs: DataFrame, words: list[str]) -> DataFrame:
             counts.append(total)
             ends.append(ends[-1] + len(different))
         offsets = pa.array(ends, pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat))) for flat in (indices, counts)]
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(part)) for part in (indices, counts)], ["index", "count"])
         names = [pa.array(column, pa.string()) for column in zip(*groups)]
-        return pa.RecordBatch.from_arrays([*names, *lists], ["lang", "source", "indices", "counts"])
+        return pa.RecordBatch.from_arrays([*names, pa.ListArray.from_arrays(offsets, flat)], ["lang", "source", "entries"])
 
     lang = text_or_empty("lang")
     chosen = docs.select(
         lang.alias("lang"), text_or_empty("source").alias("source"), text_or_empty("text").alias("text"), tag_of(lang).alias("tag")
     )
-    return cut_lineage(chosen.mapInArrow(run, "lang string, source string, indices array<int>, counts array<long>"))
+    return cut_lineage(chosen.mapInArrow(run, "lang string, source string, entries array<struct<index: int, count: long>>"))
 
 
 def vocabulary_of(docs: DataFrame, words: list[str]) -> DataFrame:
@@ -154,56 +189,64 @@ def vocabulary_of(docs: DataFrame, words: list[str]) -> DataFrame:
     )
 
 
+#: Up to here, ``SCALE (count + SMOOTHING)`` is a long.
+LARGEST_SLIM = (2**63 - 1) // SCALE - SMOOTHING
+
+
 def probability(count: Column, total: Column, terms: Column) -> Column:
     """``1 + floor(SCALE (count + SMOOTHING) / (total + SMOOTHING terms))`` in exact integers."""
-    top = (F.lit(SCALE).cast("decimal(10,0)") * (count + SMOOTHING).cast("decimal(20,0)")).alias("top")
-    return F.when(terms > 0, 1 + F.call_function("div", top, (total + SMOOTHING * terms).cast("decimal(20,0)")))
+    more, below = count.cast("long") + SMOOTHING, total.cast("long") + SMOOTHING * terms
+    slim = F.call_function("div", F.lit(SCALE) * more, below)
+    top = F.lit(SCALE).cast("decimal(10,0)") * more.cast("decimal(20,0)")
+    wide = F.call_function("div", top, below.cast("decimal(20,0)"))
+    return F.when(terms > 0, 1 + F.when(count <= LARGEST_SLIM, slim).otherwise(wide))
+
 
+def numbered_groups(vectors: DataFrame) -> DataFrame:
+    """``lang, source, group``: each occurring group with a number of its own; stored, so that the numbers stay."""
+    return cut_lineage(vectors.select("lang", "source").distinct().withColumn("group", F.monotonically_increasing_id()))
 
-def term_counts(vectors: DataFrame) -> DataFrame:
-    """Occurrences per ``lang``, ``source`` and term ``index``, summed in the map stage first."""
+
+def term_counts(vectors: DataFrame, names: DataFrame) -> DataFrame:
+    """Occurrences per ``group`` and term ``index``, summed in the map stage first."""
     return (
-        vectors.select("lang", "source", F.explode(F.arrays_zip("indices", "counts")).alias("entry"))
-        .groupBy("lang", "source", F.col("entry.indices").alias("index"))
-        .agg(F.sum("entry.counts").alias("count"))
+        vectors.join(names, ["lang", "source"])
+        .select("group", F.inline("entries"))
+        .groupBy("group", "index")
+        .agg(F.sum("count").alias("count"))
     )
 
 
 def pair_values(groups: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per language and pair ``a < b`` of its sources: ``value``, the summed distance over all kept terms.
+    """Per pair ``a < b`` of groups of a language: ``value``, the summed distance over all kept terms.
 
-    ``groups``: lang, source, terms (V), floor; ``counts``: lang, source, index, p. A group's probabilities sum
-    to at most 10^9 + V, so no sum here comes near the bound of a long.
+    ``groups``: group, lang, terms (V), floor; ``counts``: group, index, p, floor. A group's probabilities sum
+    to at most 10^9 + V, so no sum here comes near the bound of a long. An index belongs to one language.
     """
-    a = groups.select("lang", F.col("source").alias("a"), F.col("floor").alias("floor_a"), "terms")
-    b = groups.select("lang", F.col("source").alias("b"), F.col("floor").alias("floor_b"))
+    a = groups.select("lang", F.col("group").alias("a"), F.col("floor").alias("floor_a"), "terms")
+    b = groups.select("lang", F.col("group").alias("b"), F.col("floor").alias("floor_b"))
     apart = F.abs(F.col("floor_a") - F.col("floor_b"))
     both_ways = a.join(b, "lang").where("a <> b")
-    spectrum = counts.groupBy("lang", F.col("source").alias("a"), "p").agg(F.count("*").alias("n"))
+    spectrum = counts.groupBy(F.col("group").alias("a"), "p").agg(F.count("*").alias("n"))
     one_sided = (
-        both_ways.join(spectrum, ["lang", "a"])
-        .groupBy("lang", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        both_ways.join(spectrum, "a")
+        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .agg(F.sum(F.col("n") * (F.abs(F.col("p") - F.col("floor_b")) - apart)).alias("part"))
     )
-    empty = both_ways.where("a < b").select("lang", "a", "b", (F.col("terms") * apart).alias("part"))
-    left = counts.select("lang", "index", F.col("source").alias("a"), F.col("p").alias("p_a"), F.col("floor").alias("floor_a"))
-    right = counts.select("lang", "index", F.col("source").alias("b"), F.col("p").alias("p_b"), F.col("floor").alias("floor_b"))
+    empty = both_ways.where("a < b").select("a", "b", (F.col("terms") * apart).alias("part"))
+    left = counts.select("index", F.col("group").alias("a"), F.col("p").alias("p_a"), F.col("floor").alias("floor_a"))
+    right = counts.select("index", F.col("group").alias("b"), F.col("p").alias("p_b"), F.col("floor").alias("floor_b"))
     overlap = (
         F.abs(F.col("p_a") - F.col("p_b"))
         - F.abs(F.col("p_a") - F.col("floor_b"))
         - F.abs(F.col("floor_a") - F.col("p_b"))
         + apart
     )
-    shared = (
-        left.join(right, ["lang", "index"])
-        .where("a < b")
-        .groupBy("lang", "a", "b")
-        .agg(F.sum(overlap).alias("part"))
-    )
+    shared = left.join(right, "index").where("a < b").groupBy("a", "b").agg(F.sum(overlap).alias("part"))
     return (
         empty.unionByName(one_sided)
         .unionByName(shared)
-        .groupBy("lang", "a", "b")
+        .groupBy("a", "b")
         .agg(F.coalesce(F.sum("part"), F.lit(0)).cast("long").alias("value"))
     )
 
@@ -221,46 +264,46 @@ def source_divergence(docs: DataFrame, min_df: int = MIN_DF, top_terms: int = TO
     """
     words = kept_terms(docs, min_df)
     vectors, vocabulary = group_vectors(docs, words), vocabulary_of(docs, words)
-    counted = cut_lineage(term_counts(vectors))
+    names = numbered_groups(vectors)
+    counted = cut_lineage(term_counts(vectors, names))
     terms = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
-    totals = counted.groupBy("lang", "source").agg(F.sum("count").alias("total"))
+    totals = counted.groupBy("group").agg(F.sum("count").alias("total"))
     no_terms = F.coalesce("terms", F.lit(0))
     groups = cut_lineage(
-        vectors.select("lang", "source")
-        .distinct()
-        .join(totals, ["lang", "source"], "left")
+        names.join(totals, "group", "left")
         .join(terms, "lang", "left")
-        .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), no_terms.alias("terms"))
+        .select("group", "lang", F.coalesce("total", F.lit(0)).alias("total"), no_terms.alias("terms"))
         .withColumn("floor", probability(F.lit(0), F.col("total"), F.col("terms"))),
     )
     likely = cut_lineage(
-        counted.join(groups, ["lang", "source"]).select(
-            "lang", "source", "index", "count", "floor",
-            probability(F.col("count"), F.col("total"), F.col("terms")).alias("p"),
+        counted.join(groups, "group").select(
+            "group", "index", "floor", probability(F.col("count"), F.col("total"), F.col("terms")).alias("p")
         ),
-    )
+    )
     # Distances need a floor; without kept terms there is none, and no distance either.
     pairs = pair_values(groups.withColumn("floor", F.coalesce("floor", F.lit(0))), likely)
-    mirrored = pairs.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(
-        pairs.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value")
+    mirrored = pairs.select(F.col("a").alias("group"), F.col("b").alias("other"), "value").unionByName(
+        pairs.select(F.col("b").alias("group"), F.col("a").alias("other"), "value")
     )
+    others = names.select(F.col("group").alias("other"), F.col("source").alias("item"))
 
     by_lang = groups.groupBy("lang").agg(F.sum("total").alias("all_total"), F.max("terms").alias("all_terms"))
     overall = (
-        counted.groupBy("lang", "index")
+        counted.groupBy("index")
         .agg(F.sum("count").alias("all_count"))
+        .join(vocabulary, "index")
         .join(by_lang, "lang")
-        .select("lang", "index", probability(F.col("all_count"), F.col("all_total"), F.col("all_terms")).alias("q"))
+        .select("index", "term", probability(F.col("all_count"), F.col("all_total"), F.col("all_terms")).alias("q"))
     )
     above = (
-        likely.join(overall, ["lang", "index"])
+        likely.join(overall, "index")
         .where("p > q")
-        .join(vocabulary.select("index", "term"), "index")
-        .select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).cast("long").alias("value"))
+        .select("group", F.col("term").alias("item"), (F.col("p") - F.col("q")).cast("long").alias("value"))
     )
 
     def ranked(rows: DataFrame, part: str) -> DataFrame:
-        order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
-        return rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
+        order = Window.partitionBy("group").orderBy(F.desc("value"), F.asc("item"))
+        return rows.select("group", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
-    return ranked(mirrored, "pair").unionByName(ranked(above, "term").where(F.col("rank") <= top_terms))
+    parts = ranked(mirrored.join(others, "other"), "pair").unionByName(ranked(above, "term").where(F.col("rank") <= top_terms))
+    return parts.join(names, "group").select("lang", "source", "part", "item", "value", "rank")

@@ -85,3 +85,25 @@ def test_terms_arrive_as_a_list_that_spark_does_not_split(spark):
     got = {row["doc_id"]: row["terms"] for row in listed.collect()}
     assert got == {0: ["78:a", "78:b", "78:\u00c9\u00e9"], 1: [], 2: [], 3: [], 4: [":c"]}
     assert "split(" not in plan_of(listed)
+
+
+def test_a_task_lists_a_term_only_until_it_is_known_to_be_kept(spark):
+    """The fit need not see a frequent term more than ``min_df`` times a task, and keeps the same terms."""
+    texts = [(f"the The of w{'abcdefghij'[k % 10]} {'x' * (k + 1)}", "en" if k % 4 else "de") for k in range(200)]
+    docs = spark.createDataFrame([(k, text, lang, "s", 0) for k, (text, lang) in enumerate(texts)], SCHEMA).coalesce(1)
+    different = Counter(term for k, (text, lang) in enumerate(texts)
+                        for term in {f"{lang.encode().hex().upper()}:{word}" for word in text.lower().split()})
+    for min_df, remembered in ((1, 1 << 18), (4, 1 << 18), (4, 7), (30, 50)):
+        listed = Counter(term for row in docs.select(sd.term_lists(min_df, remembered).alias("t")).collect() for term in row["t"])
+        if remembered > len(different):
+            assert listed == {term: min(n, min_df) for term, n in different.items()}
+        assert {term for term, n in listed.items() if n >= min_df} == {term for term, n in different.items() if n >= min_df}
+        assert sorted(sd.kept_terms(docs, min_df)) == sorted([sd.MARK, *(t for t, n in different.items() if n >= min_df)])
+
+
+def test_probabilities_on_both_sides_of_the_bound_of_a_long(spark):
+    for count in (0, sd.LARGEST_SLIM - 1, sd.LARGEST_SLIM, sd.LARGEST_SLIM + 1, sd.LARGEST_SLIM + 2):
+        row = spark.createDataFrame([(count, 3 * count, 11)], "c long, t long, v long").select(
+            sd.probability(F.col("c"), F.col("t"), F.col("v")).alias("p")
+        ).first()
+        assert row["p"] == 1 + sd.SCALE * (count + 5) // (3 * count + 55)
