@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their words, and which words make a source stand out.
 
 A ``CountVectorizer`` with a minimum document frequency and no limit on the vocabulary says which terms
-count, and every text becomes an exact sparse count vector over them. A term is counted under its
+count, and the texts become exact sparse count vectors over them. A term is counted under its
 language, so that one fit gives each language its own vocabulary, however many languages there are. The
 vectors are summed per source and term like ``Summarizer`` does, but without its dense buffer per group:
 only occurring terms are rows.
@@ -28,9 +28,8 @@ number of different terms.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -52,6 +51,8 @@ MIN_DF, SMOOTHING, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 LARGEST_INT = 2**31 - 1
 #: Stands between a language (in hexadecimal) and a term; neither contains it, nor a space.
 MARK = ":"
+#: Stands for languages without kept terms; no language in hexadecimal.
+NO_LANGUAGE = "none"
 
 
 #: Terms not yet listed often enough that a task remembers; beyond, it starts to count anew.
@@ -120,56 +121,63 @@ def kept_terms(docs: DataFrame, min_df: int) -> list[str]:
     return vectorizer.fit(terms.unionByName(filler)).vocabulary
 
 
-#: Entries of document vectors that a task holds before it sums them by group.
-ENTRIES_AT_ONCE = 1 << 20
+#: Bytes of texts that a task holds before it counts their terms by group.
+BYTES_AT_ONCE = 16 << 20
 
 
-def group_vectors(docs: DataFrame, words: list[str]) -> DataFrame:
+def group_vectors(docs: DataFrame, words: list[str], at_once: int = BYTES_AT_ONCE) -> DataFrame:
     """Sparse sums of document vectors over ``words``, several rows per group: ``lang, source, entries``; stored.
 
-    A document's vector is what the vectorizer's own model gives, with whole numbers; it is built from counted
-    terms, since the model looks up every occurrence as a string of its own. A task sums the vectors of a
-    group as ``Summarizer`` does, but sparsely and a portion at a time, so that a document is no row of its own.
+    A sum is what the vectorizer's own model and ``Summarizer`` give, with whole numbers, but a task takes the texts of
+    a portion together: their terms are split, numbered and looked up as Arrow columns, where the model looks up every
+    occurrence as a string of its own and makes a row of every document.
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index_of: dict[bytes, dict[bytes, int]] = {}
+        terms: defaultdict[str, list[str]] = defaultdict(list)
+        indices: defaultdict[str, list[int]] = defaultdict(list)
         for index, word in enumerate(shared.value):
-            tag, _, term = word.encode().partition(MARK.encode())
-            index_of.setdefault(tag, {})[term] = index
-        groups: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]] = {}
+            tag, _, term = word.partition(MARK)
+            if term:  # not that of the rows that fill up the fit
+                terms[tag].append(term)
+                indices[tag].append(index)
+        # The last place, -1, is that of terms that are not kept.
+        known = {t: (pa.array(terms[t], pa.large_string()), np.array([*indices[t], -1], np.int32)) for t in [NO_LANGUAGE, *terms]}
+        texts: defaultdict[str, defaultdict[tuple[str, str], list[bytes]]] = defaultdict(lambda: defaultdict(list))
         size = 0
         for batch in batches:
-            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts, tags = (batch.column(c).cast(pa.binary()).to_pylist() for c in (2, 3))
-            for lang, source, text, tag in zip(langs, sources, texts, tags):
-                found = Counter(text.translate(LETTERS).split())
-                known = index_of.get(tag[: -len(MARK)], {})
-                own = np.fromiter(map(known.get, found, repeat(-1)), np.int32, len(found))
-                times = np.fromiter(found.values(), np.int64, len(found))
-                groups.setdefault((lang, source), []).append((own[own >= 0], times[own >= 0]))
-                size += len(own) + 1
-                if size >= ENTRIES_AT_ONCE:
-                    yield summed(groups)
-                    groups, size = {}, 0
-        if groups:
-            yield summed(groups)
-
-    def summed(groups: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
-        indices, counts, ends = [], [], [0]
-        for vectors in groups.values():
-            every = np.concatenate([own for own, _ in vectors])
-            different, place = np.unique(every, return_inverse=True)
-            total = np.zeros(len(different), np.int64)
-            np.add.at(total, place, np.concatenate([times for _, times in vectors]))
-            indices.append(different)
-            counts.append(total)
-            ends.append(ends[-1] + len(different))
-        offsets = pa.array(ends, pa.int32())
+            columns = (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3))
+            for lang, source, text, tag in zip(*(column.to_pylist() for column in columns)):
+                texts[tag[: -len(MARK)]][lang, source].append(text)
+                size += len(text) + 1
+                if size >= at_once:
+                    yield summed(texts, known)
+                    texts.clear()
+                    size = 0
+        if texts:
+            yield summed(texts, known)
+
+    def summed(texts: dict[str, dict[tuple[str, str], list[bytes]]], known: dict[str, tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        names, indices, counts, ends = [], [], [], [0]
+        for tag, groups in texts.items():
+            joined = pa.array([b" ".join(group).translate(LETTERS) for group in groups.values()], pa.large_binary())
+            lists = pc.ascii_split_whitespace(joined.cast(pa.large_string()))
+            # Text without a term at its start or end leaves an empty one, which is not kept.
+            found = lists.values.dictionary_encode()
+            kept, index_of = known.get(tag, known[NO_LANGUAGE])
+            place = pc.fill_null(pc.index_in(found.dictionary, value_set=kept), -1).to_numpy()
+            index = index_of[place][found.indices.to_numpy()]
+            for group, start, end in zip(groups, lists.offsets.to_numpy(), lists.offsets.to_numpy()[1:]):
+                own = index[start:end]
+                different, times = np.unique(own[own >= 0], return_counts=True)
+                names.append(group)
+                indices.append(different)
+                counts.append(times.astype(np.int64))
+                ends.append(ends[-1] + len(different))
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate(part)) for part in (indices, counts)], ["index", "count"])
-        names = [pa.array(column, pa.string()) for column in zip(*groups)]
-        return pa.RecordBatch.from_arrays([*names, pa.ListArray.from_arrays(offsets, flat)], ["lang", "source", "entries"])
+        entries = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([*(pa.array(n, pa.string()) for n in zip(*names)), entries], ["lang", "source", "entries"])
 
     lang = text_or_empty("lang")
     chosen = docs.select(

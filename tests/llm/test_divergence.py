@@ -107,3 +107,18 @@ def test_probabilities_on_both_sides_of_the_bound_of_a_long(spark):
             sd.probability(F.col("c"), F.col("t"), F.col("v")).alias("p")
         ).first()
         assert row["p"] == 1 + sd.SCALE * (count + 5) // (3 * count + 55)
+
+
+def test_texts_counted_together_keep_their_groups(spark):
+    """A portion's texts share one dictionary of terms; empty texts, unkept languages and byte 0x85 change nothing."""
+    texts = [("b a B", "en", "s"), (" a\u0085b a\u00a0 ", "en", "t"), ("", "en", "none"), ("a", "fr", "s"), ("c 1 a", "en", "s"),
+             (" 1 d ", None, None), ("zz a", "e:n", "s"), ("\u00c9 a\u0085b", "en", "s")]
+    docs = spark.createDataFrame([(k, *row, 0) for k, row in enumerate(texts)], SCHEMA).coalesce(1)
+    words = [sd.MARK, "656E:b", "656E:a\u0085b", "656E:a", "653A6E:a", ":a", ":d"]
+    wanted = {("en", "s"): {1: 2, 2: 1, 3: 2}, ("en", "t"): {2: 1}, ("en", "none"): {}, ("fr", "s"): {}, ("", ""): {6: 1}, ("e:n", "s"): {4: 1}}
+    for at_once in (1, 9, sd.BYTES_AT_ONCE):
+        got = defaultdict(Counter)
+        rows = sd.group_vectors(docs, words, at_once).collect()
+        for lang, source, entries in rows:
+            got[lang, source].update(dict(map(tuple, entries)))
+        assert got == wanted and (len(rows) == len(wanted) or at_once < sd.BYTES_AT_ONCE)
